@@ -121,3 +121,60 @@ def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id
     for value, n in counts.items():
         bound = F.when(F.col(label) == value, F.lit(int(grain * min(1.0, per_class / n)))).otherwise(bound)
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(grain)) < bound).limit(2 * per_class * len(counts) + 1000)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+LOWER_ASCII = np.arange(256, dtype=np.uint8)
+LOWER_ASCII[65:91] += 32
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    x = x + np.uint64((salt * 0xD1B54A32D192ED03) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(1 << 16, n + 1)
+        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, f, np.uint64)])) for f in (_BASE, _BACK)]
+    return _powers[0], _powers[1]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, the row of each and its length in bytes.
+    Whole texts are read; slices end between words, so that memory follows the
+    slice and not the longest text."""
+    hashes, rows, sizes = [], [], []
+    begin, total = 0, len(data)
+    first = np.zeros(total + 1, bool)
+    first[offsets] = True
+    while begin < total:
+        end = min(total, begin + step)
+        while end < total and not _SPACE[data[end]] and not first[end]:
+            more = np.flatnonzero(_SPACE[data[end : end + step]] | first[end : min(total, end + step)])
+            end = end + int(more[0]) if len(more) else min(total, end + step)
+        piece = data[begin:end]
+        inside = ~_SPACE[piece]
+        edge = first[begin:end]
+        head = inside & (edge | np.concatenate([[True], ~inside[:-1]]))
+        tail = inside & np.concatenate([edge[1:] | ~inside[1:], [True]])
+        s, e = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        if len(s):
+            power, back = _power(len(piece))
+            value = (fold[piece] if fold is not None else piece).astype(np.uint64) + np.uint64(1)
+            run = np.concatenate([[np.uint64(0)], np.cumsum(value * power[: len(piece)])])
+            size = (e - s).astype(np.int64)
+            hashes.append(mixed((run[e] - run[s]) * back[s] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+            rows.append(np.searchsorted(offsets, s + begin, "right") - 1)
+            sizes.append(size)
+        begin = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(sizes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid, licenses, quality, toxicity
 from .common import read
 
 
@@ -15,12 +15,35 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path(), outputs=("digests",))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "passages")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
