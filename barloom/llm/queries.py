@@ -3,9 +3,9 @@ can express them. Each query reads whole tables with production parameters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, licenses, quality, toxicity
+from . import bpe, chat, langid, licenses, mixing, quality, topk, toxicity
 from .common import read
 
 
@@ -15,6 +15,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "conversations")
+    return chat.read_back(chat.format_events(chat.conversation_events(own).unionByName(chat.planted_events(own))))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_rows(read(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -39,6 +53,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
+    "op2_mixing": op2_mixing,
+    "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
@@ -46,4 +63,8 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": chat.ORACLE_SQL,
+    "op2_mixing": mixing.ORACLE_SQL,
+    "op4_topk": topk.ORACLE_SQL,
+}
