@@ -150,7 +150,7 @@ def calibrated(model: ToxicityModel, values: list[float], labels: list[int]) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows: about ``per_class`` of each
     label, never of the held-out fold. Rows without label or id are not used;
     an id that is labelled twice counts as toxic. Only distinct words and raw
