@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, langid, licenses, mixing, quality, topk, toxicity
+from . import bpe, chat, langid, licenses, mixing, neardup, quality, topk, toxicity
 from .common import read
 
 
@@ -48,6 +48,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "passages")
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_neardup": op9_neardup,
     "op10_licenses": op10_licenses,
 }
 
@@ -67,4 +72,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat": chat.ORACLE_SQL,
     "op2_mixing": mixing.ORACLE_SQL,
     "op4_topk": topk.ORACLE_SQL,
+    "op9_neardup": neardup.ORACLE_SQL,
 }
