@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, langid, licenses, mixing, neardup, quality, topk, toxicity
+from . import bpe, chat, jaccard, langid, licenses, mixing, neardup, quality, topk, toxicity
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_rows(read(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -59,6 +63,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_mixing": op2_mixing,
+    "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
@@ -71,6 +76,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": chat.ORACLE_SQL,
     "op2_mixing": mixing.ORACLE_SQL,
+    "op3_jaccard": jaccard.ORACLE_SQL,
     "op4_topk": topk.ORACLE_SQL,
     "op9_neardup": neardup.ORACLE_SQL,
 }
