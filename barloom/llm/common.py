@@ -3,8 +3,11 @@ Arrow batch sizes, and flat views of string columns for vectorised work."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +17,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, unless their
+    Python finds it by ``PYTHONPATH`` or the working folder."""
+    home = Path(__file__).resolve().parents[2]
+    known = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p.exists() and p.resolve() == home for p in known):
+        return
+    _shipped.add(app)
+    path = Path(tempfile.mkdtemp(prefix="barloom-")) / "barloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((home / "barloom").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def text_batches(spark: SparkSession, rows: int = 256) -> None:
     """Keep Arrow batches of whole texts small: a batch is bounded in rows, and
     in bytes where this Spark version can."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -121,7 +121,7 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
             level = np.minimum(255, np.round(6 * np.log2(1.0 + v))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([float(v.sum())])], names=["slice", "level", "total"])
 
-    signed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    text_batches(signed.sparkSession, 64)
     rows = signed.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(16, "slice")
     got = rows.mapInArrow(run, "slice int, level binary, total double").collect()
     out = np.zeros(1 << bits, np.uint8)

@@ -49,7 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     """``source, source_size, target`` from ``source, source_size``, one row a
     source (code point order, null last). A source fills at the level cap /
     weight; with all fuller ones set aside, the level of the others is (total -
-    their caps) / (weights left)."""
+    their caps) / (weights left); the highest level that no source fills below is
+    the one that holds."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(by_name) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
@@ -61,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     gone = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
     level = (share * F.sum("source_size").over(every) - gone("cap")) / (F.sum("weight").over(every) - gone("weight"))
     t = t.withColumn("level", level)
-    open_level = F.min(F.when(F.col("fills") > F.col("level"), F.col("level"))).over(every)
+    open_level = F.max(F.when(F.col("fills") > F.col("level"), F.col("level"))).over(every)
     return t.withColumn("open", open_level).select("source", "source_size", F.when(F.col("fills") <= F.col("level"), F.col("cap")).otherwise(F.col("open") * F.col("weight")).alias("target"))
 
 
@@ -116,7 +117,7 @@ w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOU
 f AS (SELECT *, 3 * source_size / weight AS fills FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM f WINDOW b AS (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, CASE WHEN fills <= level THEN 3 * source_size ELSE min(CASE WHEN fills > level THEN level END) OVER () * weight END AS target FROM l),
+t AS (SELECT source, source_size, CASE WHEN fills <= level THEN 3 * source_size ELSE max(CASE WHEN fills > level THEN level END) OVER () * weight END AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 p AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before

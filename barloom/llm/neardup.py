@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import text_batches, written
 from .components import components
 
 TABLES, PROBES, CHUNK = 8, 4, 2048
@@ -125,7 +125,7 @@ def links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes:
     """Members (``vec_id, cls``), classes (``cls, n``) and the verified links
     between classes (``a, b``), each once."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    text_batches(spark, 1024)
     own = classes(vectors)
     reps = own.groupBy("cls", "label", "unit").agg(F.count("*").alias("n"))
     file = written(filed(reps, tables, probes), "vectors")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import text_batches
+
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 4096
 
@@ -75,7 +77,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     that is repeated is answered once; two vectors under one query id are
     answered each, in one list of ranks a vector."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATE_BLOCK))
+    text_batches(spark, CANDIDATE_BLOCK)
     queries = queries.withColumn("variant", F.xxhash64("w")).dropDuplicates(["vec_id", "variant"])
     n_queries, n = queries.count(), vectors.count()
     q_blocks, cells = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
