@@ -131,13 +131,13 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 
 
 def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits: int, num: int, den: int) -> DataFrame:
-    """Prefixes under the rare-first order: ``token, node, n, pos, hot``. A
-    token that only one set holds for certain is left out. ``hot``: its count
-    is far above the mean, so it certainly has partners."""
+    """Prefixes under the rare-first order as ``key, node, code``. ``code``
+    packs set size, position and whether the token is ``hot``: its count is far
+    above the mean, so it certainly has partners. The key is the token; that of
+    a hot one also holds six bits of the node, so that no task gets it whole."""
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(levels.tobytes())
-    alone = int(round(6 * np.log2(2.0)))
     hot = int(min(255, round(6 * np.log2(1.0 + 64 + 16 * load))))
 
     def run(batches):
@@ -156,15 +156,24 @@ def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits:
                 p = n - -(-num * n // den) + 1
                 # rarest first, then by hash: s is sorted, so a stable sort keeps ties in order
                 first = np.argsort(mine, kind="stable")[:p]
-                pos = np.flatnonzero(mine[first] > alone)
-                first = first[pos]
-                out.append((s[first].view(np.int64), np.full(len(pos), v, np.int64), np.full(len(pos), n, np.int32), pos.astype(np.int32), mine[first] >= hot))
+                often = mine[first] >= hot
+                key = s[first].view(np.int64) ^ (often * np.int64((v % 64) << 57))
+                out.append((key, np.full(p, v, np.int64), (n << 32) + 2 * np.arange(p, dtype=np.int64) + often))
             if len(seen) > 1_000_000:
                 seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "node", "n", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "node", "code"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int, pos int, hot boolean")
+    return docs.select("text").mapInArrow(run, "key long, node long, code long")
+
+
+def shared_entries(found: DataFrame) -> DataFrame:
+    """``token, node, n, pos`` of tokens that more than one entry holds."""
+    hot = F.col("code").bitwiseAND(F.lit(1)) == 1
+    held = found.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where((F.col("m") > 1) | hot)
+    token = F.when(hot, F.col("key").bitwiseXOR(F.shiftleft(F.pmod("node", F.lit(64)), 57))).otherwise(F.col("key"))
+    n, pos = F.shiftright("code", 32).cast("int"), F.shiftright(F.col("code").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    return held.select(token.alias("token"), "node", n.alias("n"), pos.alias("pos"))
 
 
 def may_reach(n: Column, pos: Column, n2: Column, pos2: Column, num: int, den: int) -> Column:
@@ -242,11 +251,7 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
     where = by_node.select("node", "handle")
 
     # what the first order brings together; tokens of one set alone go
-    found = written(entries(docs, levels, load, words, bits, num, den), "entries")
-    rare = found.where("not hot").withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
-    cols = ["token", "node", "n", "pos"]
-    held = written(rare.select(*cols).unionByName(found.where("hot").select(*cols)), "held")
-    discard(found)
+    held = written(shared_entries(entries(docs, levels, load, words, bits, num, den)), "held")
 
     hubs = held.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
     star = held.join(hubs, "token").where((F.col("node") != F.col("h.node")) & may_reach(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos"), num, den))
