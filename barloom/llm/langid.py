@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[48:58] = 48
 SIZES = (1, 2, 3)
+#: Names of result columns.
+RESULTS = ("held_out", "lang_pred", "score", "ambiguous")
 
 
 def codewords(languages: int, seed: int = 5) -> np.ndarray:
@@ -119,16 +121,18 @@ def identify(docs: DataFrame, model: LanguageModel, fold: tuple[int, int] = (4,
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.code, model.weights.astype(np.float32)))
-    names = [c + "_" if c in ("text", "held_out", "lang_pred", "score", "ambiguous") else c for c in keep]
-    own = docs.select("text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"), held_out(F.col("doc_id"), *fold).alias("held_out"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in ["held_out", *names]), "lang_pred string, score double, ambiguous boolean"])
+    kept = [F.col(c).alias(c + "_" if c in RESULTS else c) for c in keep]
+    own = docs.select(*kept, *([] if "text" in keep else ["text"]), held_out(F.col("doc_id"), *fold).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
+    names = [c for c in own.columns if c != "_lettered" and (c != "text" or "text" in keep)]
+    schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, score double, ambiguous boolean"])
 
     def run(batches):
         m = LanguageModel(*shared.value)
         for batch in batches:
-            lang, score, close = m.predict(batch.column(0))
-            lettered = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            lang, score, close = m.predict(batch.column("text"))
+            lettered = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
             lang = [x if ok else "und" for x, ok in zip(lang, lettered, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lang, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64()), pa.array(close | ~lettered, pa.bool_())], names=["held_out", *names, "lang_pred", "score", "ambiguous"])
+            cols = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64()), pa.array(close | ~lettered, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
 
     return own.mapInArrow(run, schema)

@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import class_sample, discard, held_out, text_batches, written
 
+#: Names of result columns.
+RESULTS = ("held_out", "score", "predicted", "passages")
+
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -184,12 +187,14 @@ def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0),
     """Score every whole text: the kept columns, ``held_out``, ``score``,
     ``predicted`` (score at least 0.5) and, with ``passages``, the toxic
     passages as word spans. Null and empty texts score 0; repeated rows give
-    repeated rows; a null id is in no fold."""
+    repeated rows; a null id is in no fold. Kept columns that are named like
+    results come back with an underscore behind."""
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast((model.odds, model.drift, model.lam, model.k, model.cut))
-    own = docs.select("text", held_out(F.col("doc_id"), *fold).alias("held_out"), *[F.col(c) if c != "text" else F.col(c).alias("text_") for c in keep])
-    names = ["held_out", *[c if c != "text" else "text_" for c in keep]]
+    kept = [F.col(c).alias(c + "_" if c in RESULTS else c) for c in keep]
+    own = docs.select(*kept, *([] if "text" in keep else ["text"]), held_out(F.col("doc_id"), *fold).alias("held_out"))
+    names = [c for c in own.columns if c != "text" or "text" in keep]
     schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in names), "score double", "predicted int"])
     if passages:
         schema += ", passages array<struct<from_word:int,to_word:int,strength:double>>"
@@ -197,9 +202,9 @@ def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0),
     def run(batches):
         m = ToxicityModel(*shared.value)
         for batch in batches:
-            got = [m.score(t or "") for t in batch.column(0).to_pylist()]
+            got = [m.score(t or "") for t in batch.column("text").to_pylist()]
             value = np.array([s for s, _ in got], np.float64)
-            cols = [*batch.columns[1:], pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
+            cols = [*(batch.column(c) for c in names), pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
             if passages:
                 cols.append(pa.array([[{"from_word": a, "to_word": b, "strength": x} for a, b, x in p] for _, p in got], pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32()), ("strength", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", *["passages"] * passages])
