@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     keep = _columns(docs)
     scored = toxicity.score(docs, model, passages=False, keep=tuple(keep))
-    return scored.where("predicted = 0").select(*[F.col("text_" if c == "text" else c).alias(c) for c in keep])
+    return scored.where("predicted = 0").select(*keep)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ambiguous: the runner-up is about as likely."""
     keep = _columns(docs)
     named = langid.identify(docs, langid.fit(docs), keep=tuple(keep))
-    return named.where("lang_pred <> 'und' AND NOT ambiguous").select(*[F.col("text_" if c == "text" else c).alias(c) for c in keep])
+    return named.where("lang_pred <> 'und' AND NOT ambiguous").select(*keep)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
