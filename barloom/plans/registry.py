@@ -1,12 +1,29 @@
-"""Queries of the engine and their DuckDB SQL."""
+"""Queries of the engine and their DuckDB SQL, by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; ``sql`` is its independent form for DuckDB."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
+
+
+from . import queries_bars, queries_checks, queries_joins, queries_metrics, queries_targets, queries_windows  # noqa: E402, F401
