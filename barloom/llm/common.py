@@ -56,10 +56,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+#: Tables of up to this many rows are broadcast by ``side``.
+BROADCAST_ROWS = 400_000
+
+
+def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow written table as the side of a join: broadcast if its counted
+    rows are few, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read again. Lost executors
-    cost no more than the tasks that ran on them."""
+    cost no more than the tasks that ran on them. ``files`` bounds the files of
+    a table that is known to be small."""
     spark = df.sparkSession
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/barloom/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

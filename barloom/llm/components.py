@@ -16,18 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     jumping), so paths shorten by halves. Sums per node are combined before the
     shuffle, so a hub costs a row a task; tables are written after each round.
     """
+    files = max(4, links.count() // 500_000)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(both.where("a <> b").distinct(), "edges")
-    label = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots")
+    edges = written(both.where("a <> b").distinct(), "edges", files)
+    label = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots", files)
     while True:
         # smallest root around, offered to the node and to its present root
         near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
         offer = label.join(near, "node").select("node", "root", F.least("root", "low").alias("low"))
         to_root = offer.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("from_below"))
         step = offer.join(to_root, "node", "left").select("node", "root", F.least("low", F.coalesce("from_below", "low")).alias("new"))
-        step = written(step, "roots")
+        step = written(step, "roots", files)
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = written(step.join(jump, "new", "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new")), "roots")
+        moved = written(step.join(jump, "new", "left").select("node", "root", F.least("new", F.coalesce("far", "new")).alias("new")), "roots", files)
         discard(label, step)
         changed = moved.where("new <> root").limit(1).count()
         label = moved.select("node", F.col("new").alias("root"))

@@ -4,9 +4,10 @@ If two sets reach the threshold, then under *any* total order of the tokens
 their prefixes share a token. The first order is rare-first (document counts of
 all documents in a sketch of fixed size, ties by hash); its prefixes meet in a
 shuffle by token, with a bound from positions: behind the first shared token no
-more can follow than the shorter rest. Two more orders, by hash upwards and
-downwards, must each show a shared prefix token as well before a pair is
-verified on whole sets.
+more can follow than the shorter rest. Under the second order, by hash, the first
+tokens of both sets must share as many as the threshold leaves no choice about;
+under the third, by hash downwards, the prefixes must share a token. Only pairs
+that pass every order are verified on whole sets.
 
 Work stays linear in groups of copies. Equal sets are one node. Of each prefix
 token, first only the pairs with its hub (the entry nearest to the front) are
@@ -24,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER_ASCII, discard, flat, mixed, text_batches, word_hashes, written
+from .common import LOWER_ASCII, discard, flat, mixed, side, text_batches, word_hashes, written
 from .components import components
 
-#: Broadcast node lists up to this many rows (16 bytes each); beyond, join by shuffle.
-BROADCAST_ROWS = 400_000
+#: Steps a doubling of the count sketch's levels.
+STEPS = 16
 _C = [np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64)) for k in range(64)]
 
 
@@ -58,6 +59,29 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def head_of(tokens: np.ndarray) -> bytes:
+    """The first tokens by hash, cut to 32 bits: about a seventh of the set,
+    eight at least."""
+    few = max(8, -(-3 * len(tokens) // 20))
+    return (tokens[:few] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def heads_agree(x: bytes, n: int, y: bytes, m: int, num: int, den: int) -> bool:
+    """Whether two sets of n and m tokens may reach the threshold, by their
+    heads. Up to the smaller last token both heads are complete; of the tokens
+    there at most n - least (m - least) can lie outside the intersection."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    last = min(a[-1], b[-1]) if len(a) < n and len(b) < m else a[-1] if len(a) < n else b[-1] if len(b) < m else np.uint32(0xFFFFFFFF)
+    # equal cut tokens at the very end may continue behind the head
+    a, b = a[: np.searchsorted(a, last)], b[: np.searchsorted(b, last)]
+    least = -(-num * (n + m) // (num + den))
+    must = max(len(a) - (n - least), len(b) - (m - least))
+    if must <= 0:
+        return True
+    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+    return len(b) > 0 and int((b[at] == a).sum()) >= must
+
+
 def _pack(counts: np.ndarray) -> bytes:
     """Counts of a slice, sparse or dense, whichever is shorter."""
     at = np.flatnonzero(counts)
@@ -77,11 +101,11 @@ def _unpack(blob: bytes, into: np.ndarray) -> None:
 
 
 def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """One pass over whole texts: a row per document (``doc_id, node, n,
+    """One pass over whole texts: a row per document (``doc_id, node, n, head,
     handle``, handle = hash of the text) and, at the end of a partition, its
     token counts in ``2^bits`` slots as slices."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slices = 64
+    slices, names = 64, ["doc_id", "node", "n", "handle", "head", "slice", "counts"]
 
     def run(batches):
         counts, seen = np.zeros(1 << bits, np.uint32), set()
@@ -97,14 +121,14 @@ def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), batch.column(2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "node", "n", "handle", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), batch.column(2), pa.array([head_of(x) for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if types is not None:
             size = len(counts) // slices
             blobs = [_pack(counts[k * size : (k + 1) * size]) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "node", "n", "handle", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("handle"))
-    return written(rows.mapInArrow(run, f"doc_id {kind}, node long, n int, handle long, slice int, counts binary"), "signatures")
+    return written(rows.mapInArrow(run, f"doc_id {kind}, node long, n int, handle long, head binary, slice int, counts binary"), "signatures")
 
 
 def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
@@ -118,7 +142,7 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _unpack(blob, total.setdefault(k, np.zeros(size, np.uint64)))
         for k, v in total.items():
-            level = np.minimum(255, np.round(6 * np.log2(1.0 + v))).astype(np.uint8)
+            level = np.minimum(255, np.round(STEPS * np.log2(1.0 + v))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([float(v.sum())])], names=["slice", "level", "total"])
 
     text_batches(signed.sparkSession, 64)
@@ -138,7 +162,7 @@ def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits:
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(levels.tobytes())
-    hot = int(min(255, round(6 * np.log2(1.0 + 64 + 16 * load))))
+    hot = int(min(255, round(STEPS * np.log2(1.0 + 64 + 16 * load))))
 
     def run(batches):
         level, seen = np.frombuffer(shared.value, np.uint8), set()
@@ -184,14 +208,30 @@ def may_reach(n: Column, pos: Column, n2: Column, pos2: Column, num: int, den: i
     return (den * F.least(n, n2) >= num * F.greatest(n, n2)) & ((num + den) * rest >= num * (n + n2))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs are
-    read again; ``where`` has a text handle for each node."""
+def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose heads under the second order agree."""
+    text_batches(pairs.sparkSession, 2048)
+    one = lambda k, h, n: nodes.select(F.col("node").alias(k), F.col("head").alias(h), F.col("n").alias(n))
+    full = pairs.join(one("a", "x", "n"), "a").join(one("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
+
+    def run(batches):
+        for batch in batches:
+            x, n, y, m = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = pa.array([heads_agree(*r, num, den) for r in zip(x, n, y, m, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return written(full.mapInArrow(run, "a long, b long"), "candidates")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs that
+    pass the second order are read again, by the handle that ``nodes`` has."""
     spark = docs.sparkSession
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = written(where.join(nodes, "node").select("handle"), "needed")
+    pairs = by_heads(pairs, nodes, num, den)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = written(nodes.join(ends, "node").select("handle"), "needed", 16)
     text = docs.select("text", F.xxhash64("text").alias("handle")).where(F.col("text").isNotNull())
-    found = text.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, "handle", "left_semi")
+    found = text.join(side(need), "handle", "left_semi")
     text_batches(spark)
 
     def sets(batches):
@@ -212,8 +252,8 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, words: int, nu
             for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 p, q = len(x) - -(-num * len(x) // den) + 1, len(y) - -(-num * len(y) // den) + 1
-                # prefixes under the orders by hash, upwards and downwards
-                if not len(np.intersect1d(x[:p], y[:q], True)) or not len(np.intersect1d(x[-p:], y[-q:], True)):
+                # prefixes under the third order, by hash downwards
+                if not len(np.intersect1d(x[-p:], y[-q:], True)):
                     good.append(False)
                     continue
                 both = len(np.intersect1d(x, y, True))
@@ -223,20 +263,22 @@ def verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, words: int, nu
 
     full = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     out = written(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    discard(need, own)
+    discard(need, own, pairs)
     return out
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 24) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``.
+    """One row per document: ``doc_id, n_shingles, component_id, handle, kept``.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of
     distinct shingles of ``words`` words (A-Z in lower case). ``component_id``
-    is the smallest doc_id reachable by links, itself included. A null, empty
-    or wordless text has no shingle and links with nothing; repeated rows and
-    equal sets link; rows with a null id link, and count for no smallest id
-    (null if all ids of the component are null); an empty table gives no rows;
-    columns besides ``doc_id`` and ``text`` are not read.
+    is the smallest doc_id reachable by links, itself included; ``handle`` is
+    the hash of the text, and ``kept`` marks the row of the component with the
+    smallest id (null last) and handle. A null, empty or wordless text has no
+    shingle, links with nothing and is kept; repeated rows and equal sets link;
+    rows with a null id link, and count for no smallest id (null if all ids of
+    the component are null); an empty table gives no rows; columns besides
+    ``doc_id`` and ``text`` are not read.
 
     ``bits`` sets the size of the count sketch (2^bits bytes, broadcast). It
     steers the first order only: results are the same for any value.
@@ -245,41 +287,42 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
     text_batches(spark)
     signed = signatures(docs, words, bits)
     levels, load = token_levels(signed, bits)
-    members = signed.where(F.col("slice").isNull())
-    by_node = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("handle").alias("handle"))
-    by_node = written(by_node, "nodes")
-    where = by_node.select("node", "handle")
+    members = signed.where(F.col("slice").isNull()).select("doc_id", "node", "n", "handle", "head")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "handle"))
+    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"))
+    nodes = written(nodes.select("node", "n", "head", "first", F.col("first.handle").alias("handle")), "nodes")
 
     # what the first order brings together; tokens of one set alone go
     held = written(shared_entries(entries(docs, levels, load, words, bits, num, den)), "held")
-
     hubs = held.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
     star = held.join(hubs, "token").where((F.col("node") != F.col("h.node")) & may_reach(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos"), num, den))
     star = written(star.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "star")
-    links = verified(star, docs, where, words, num, den)
+    links = verified(star, docs, nodes, words, num, den)
     roots = components(links)
 
     # the exact rest: pairs of different components that still share a token
-    marked = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    marked = written(marked, "marked")
+    marked = written(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "marked")
     open_ = marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    marked2 = written(marked.join(open_, "token", "left_semi"), "open")
-    discard(marked, held)
-    l, r = marked2.alias("l"), marked2.alias("r")
+    still = written(marked.join(open_, "token", "left_semi"), "open")
+    discard(marked, held, roots)
+    l, r = still.alias("l"), still.alias("r")
     rest = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & may_reach(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), num, den))
-    rest = rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    more = verified(rest, docs, where, words, num, den)
-    discard(star, marked2, rest)
+    rest = written(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    more = verified(rest, docs, nodes, words, num, den)
+    discard(star, still, rest)
     both = written(links.unionByName(more), "all-links")
     roots = components(both)
-    discard(links, more, both)
 
-    named = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    out = members.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    named = named.join(best, "root").select("node", "best")
+    out = members.drop("head").join(named, "node", "left")
+    alone = F.col("n") == 0
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("handle").eqNullSafe(F.col("best.handle")))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"), "handle", kept.alias("kept"))
+    out = written(out, "groups")
+    discard(signed, nodes, links, more, both, roots)
+    return out
 
 
 ORACLE_SQL = r"""

@@ -25,7 +25,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(read(spark, sf_dir, "documents"))
+    return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
