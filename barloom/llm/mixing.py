@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, written
+from .common import WORD, discard, side, written
 
 BUCKETS = 4096
 #: Weights by place of the source, repeating (fixed values of the contract).
@@ -66,48 +66,90 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int
     return t.withColumn("open", open_level).select("source", "source_size", F.when(F.col("fills") <= F.col("level"), F.col("cap")).otherwise(F.col("open") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = 3, share: float = 1.0, seed: int = 11, quality: Column | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """What the mix takes of every document.
-
-    Returns the carried columns, ``size`` (words), ``source_size``, ``target``
-    (of its source) and ``taken`` (words, repeats counted: a multiple of
-    ``size``). Null text has size 0 and is never taken; the null source is a
-    source of its own; rows that share an id share a key and are told apart by
-    their size; an empty table gives no rows; columns beyond ``doc_id``,
-    ``text``, ``source`` are not read unless carried. The document at the end
-    of a budget is taken if that brings the sum nearer to the target.
-    """
-    size = word_count(F.col("text"))
-    rows = docs.select(*carry, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text", size.alias("size")) if "text" not in carry else docs.select(*carry, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), size.alias("size"))
-    weight = quality if quality is not None else quality_weight(F.col("text"), F.col("size"))
-    rows = rows.withColumn("_key", exponential_key(F.col("_id"), weight, seed))
+def _keyed(docs: DataFrame, quality: Column | None, seed: int, carry: list[str]) -> DataFrame:
+    """Carried columns with ``_id, _source, size, _key, _bucket``."""
+    rows = docs.select(*carry, F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text").alias("_text"))
+    rows = rows.withColumn("size", word_count(F.col("_text")))
+    weight = quality if quality is not None else quality_weight(F.col("_text"), F.col("size"))
+    rows = rows.withColumn("_key", exponential_key(F.col("_id"), weight, seed)).drop("_text")
     # monotone in the key, and even for like weights
-    rows = rows.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("_key"))))).cast("int"))
-    rows = written((rows if "text" in carry else rows.drop("text")), "mix")
+    return rows.withColumn("_bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("_key"))))).cast("int"))
 
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("words"))
-    sums = written(sums, "mix-sums")
+
+def _goal(rows: DataFrame, weights: tuple[float, ...], epochs: int, share: float) -> DataFrame:
+    """Per source: ``source, source_size, target, epochs, rest`` and ``cut``
+    (bucket in which the rest ends, words before it); written, one row a source."""
+    sums = written(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("words")), "mix-sums", 16)
     goal = targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, epochs, share)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     run = Window.partitionBy("_source").orderBy("_bucket")
-    cut = sums.withColumn("upto", F.sum("words").over(run)).join(goal.select(F.col("source"), "rest"), F.col("_source").eqNullSafe(F.col("source")))
+    cut = sums.withColumn("upto", F.sum("words").over(run)).join(goal.select("source", "rest"), F.col("_source").eqNullSafe(F.col("source")))
     cut = cut.where((F.col("rest") > 0) & (F.col("upto") >= F.col("rest"))).groupBy("_source").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    goal = goal.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    goal = written(goal, "mix-goal")
-    side = F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal
+    goal = written(goal.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), "mix-goal", 4)
+    discard(sums)
+    return goal
 
-    all_ = rows.join(side, F.col("_source").eqNullSafe(goal["source"]))
-    inside = F.coalesce(F.col("_bucket") == F.col("cut._bucket"), F.lit(False))
+
+def _near(rows: DataFrame) -> Column:
+    """Of rows in the last bucket: whether taking the row brings the sum of its
+    source nearer to the target."""
     order = Window.partitionBy(F.col("_source")).orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.col("cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")
-    columns = [*[rows[c] for c in carry], F.col("size"), F.col("source_size"), F.col("target")]
+    return F.col("cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0 <= F.col("rest")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = 3, share: float = 1.0, seed: int = 11, quality: Column | None = None) -> DataFrame:
+    """What the mix takes of every document: ``doc_id, size`` (words),
+    ``source_size, target`` (of its source), ``taken`` (words, repeats counted:
+    a multiple of ``size``).
+
+    Null text has size 0 and is never taken; the null source is a source of its
+    own; rows that share an id share a key and are told apart by their size; an
+    empty table gives no rows; columns beyond ``doc_id``, ``text`` and
+    ``source`` are not read. The document at the end of a budget is taken if
+    that brings the sum nearer to the target. ``quality`` is a weight above 0
+    over the columns ``_text`` and ``size``.
+    """
+    rows = written(_keyed(docs, quality, seed, []), "mix")
+    goal = _goal(rows, weights, epochs, share)
+    all_ = rows.join(side(goal, BROADCAST_ROWS), F.col("_source").eqNullSafe(F.col("source")))
+    inside = F.coalesce(F.col("_bucket") == F.col("cut._bucket"), F.lit(False))
+    columns = [F.col("_id").alias("doc_id"), "size", "source_size", "target"]
     times = lambda more: (F.col("size") * (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"))).cast("long").alias("taken")
-    edge = all_.where(inside).select(*columns, times(near))
+    edge = all_.where(inside).select(*columns, times(_near(all_)))
     rest = all_.where(~inside).select(*columns, times(F.col("_bucket") < F.col("cut._bucket")))
     return edge.unionByName(rest)
 
 
+def mixed_documents(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, epochs: int = 3, share: float = 1.0, seed: int = 11) -> DataFrame:
+    """The mix itself: the kept columns of each document, as often as ``mix``
+    takes it. Texts are neither written nor shuffled: buckets are made again in
+    a scan, and only the few rows of last buckets have their decision joined."""
+    rows = written(_keyed(docs, None, seed, []), "mix")
+    goal = _goal(rows, weights, epochs, share)
+    goal_side = side(goal, BROADCAST_ROWS)
+    on_source = F.col("_source").eqNullSafe(F.col("source"))
+    inside = F.coalesce(F.col("_bucket") == F.col("cut._bucket"), F.lit(False))
+    last = rows.join(goal_side, on_source).where(inside)
+    last = last.withColumn("_near", _near(last).cast("long")).groupBy(F.col("_source").alias("_s"), F.col("_id").alias("_i"), F.col("size").alias("_z"))
+    last = written(last.agg(F.count("*").alias("_rows"), F.sum("_near").alias("_picked")), "mix-last", 16)
+    discard(rows)
+    own = [F.col(c).alias(f"k_{c}") for c in keep]
+    names = [f"k_{c}" for c in keep]
+    d = _keyed(docs.select("doc_id", "source", "text", *own), None, seed, names).where("size > 0")
+    d = d.join(goal_side, on_source)
+    d = d.withColumn("_edge", inside).join(side(last), F.col("_edge") & F.col("_source").eqNullSafe(F.col("_s")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("size") == F.col("_z")), "left")
+    split = F.coalesce((F.col("_picked") > 0) & (F.col("_picked") < F.col("_rows")), F.lit(False))
+    whole = F.when(F.col("_edge"), F.col("_picked") > 0).otherwise(F.coalesce(F.col("_bucket") < F.col("cut._bucket"), F.lit(False)))
+    repeat = lambda df, more: df.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], F.explode(F.array_repeat(F.lit(1), (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).cast("int"))).alias("_t")).drop("_t")
+    if not last.where("_picked > 0 AND _picked < _rows").limit(1).count():
+        return repeat(d, whole)
+    # rows that share id and size, of which some are taken
+    turn = F.row_number().over(Window.partitionBy("_source", "_id", "size").orderBy(F.lit(1)))
+    some = d.where(split).withColumn("_turn", turn)
+    return repeat(d.where(~split), whole).unionByName(repeat(some, F.col("_turn") <= F.col("_picked")))
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS n FROM documents),
 k AS (SELECT *, -ln((('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)

@@ -66,6 +66,11 @@ def test_mix_against_prefix_walk(spark):
         got.setdefault(r.doc_id, []).append(r.taken)
         assert r.taken <= 3 * r.size
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+    keep = ["doc_id", "text", "source", "size"]
+    again = {}
+    for r in mixing.mixed_documents(df, keep).collect():
+        again[r.doc_id] = again.get(r.doc_id, 0) + size(r.text)
+    assert again == {k: sum(v) for k, v in taken.items() if sum(v)}
     # reruns agree; an empty table gives no rows
     assert sorted(mixing.mix(df).collect()) == sorted(rows)
     assert mixing.mix(df.limit(0)).count() == 0
