@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.llm import bpe, jaccard, langid, mixing, toxicity
-from barloom.llm.common import read, written
+from barloom.llm.common import discard, read, side, written
 from barloom.llm.queries import tokenizer_path
 
 #: The columns of ``documents``, which every stage but the last returns.
@@ -35,24 +35,28 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the
-    smallest id. Of rows that share that id one stays, whichever is equal to or
-    least by text hash; texts without a word are groups of their own."""
+    """One document of each group of near copies stays: the row with the
+    smallest id (and text hash, should ids repeat). Rows are known by id and
+    text hash, and only those that go are joined; of rows equal in both, one
+    stays. Texts without a word are groups of their own."""
     keep = _columns(docs)
     groups = jaccard.join(docs)
-    # the smallest id names the row that stays; ids repeat only if rows do
-    first = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
-    kept = docs.select(*keep).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if docs.select("doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    gone = written(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("handle").alias("_handle")).distinct(), "gone", 16)
+    again = groups.where("kept AND n_shingles > 0").groupBy("doc_id", "handle").count().where("count > 1").limit(1).count()
+    discard(groups)
+    rows = docs.select(*keep).withColumn("_h", F.xxhash64("text"))
+    left = rows.join(side(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_handle")), "left_anti")
+    if again:
+        # repeated rows: one of each stays, but texts without a word all do
+        worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.where(worded).dropDuplicates(["doc_id", "_h"]).unionByName(left.where(~worded))
+    return left.select(*keep)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document is repeated as often as it is taken, and goes if it
     is not taken."""
-    keep = _columns(docs)
-    taken = mixing.mix(docs, carry=tuple(keep))
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
-    return taken.select(*keep, F.explode(F.array_repeat(F.lit(1), times)).alias("_time")).select(*keep)
+    return mixing.mixed_documents(docs, _columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
