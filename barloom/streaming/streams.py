@@ -38,22 +38,29 @@ def parse_messages(df: DataFrame, schema: str) -> DataFrame:
     return df.select(F.from_json("value", schema).alias("m")).select("m.*")
 
 
+def _timed(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs instants (session zone UTC)."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def windowed_bars(events: DataFrame, minutes: int = 15, late: str = "30 minutes", symbol: str = "event_type", ts: str = "ts", value: str = "value", tie: str = "event_id") -> DataFrame:
     """Tumbling bars with a watermark: events that are later than it are
     dropped, state of closed windows goes. Also runs on a batch."""
     order = F.struct(ts, tie)
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = _timed(events, ts, late)
     return (
         d.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), F.col(symbol).alias("symbol"))
         .agg(F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, order).alias("close"), exact_sum(F.col(value)).alias("volume"), F.count("*").alias("bar_count"))
-        .select("symbol", F.col("w.start").alias("datetime"), "open", "high", "low", "close", "volume", "bar_count")
+        .select("symbol", F.col("w.start").cast("timestamp_ntz").alias("datetime"), "open", "high", "low", "close", "volume", "bar_count")
     )
 
 
 def gap_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts", late: str = "30 minutes") -> DataFrame:
     """Sessions that end after a time without events."""
-    d = events.withWatermark(ts, late) if events.isStreaming else events
-    return d.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    d = _timed(events, ts, late)
+    return d.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
 
 
 def last_n_features(candles: DataFrame, n: int, key: str = "symbol", ts: str = "datetime") -> DataFrame:
