@@ -80,10 +80,6 @@ def classes(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", "label", F.transform(x, lambda v: v.cast("double")).alias("unit")).withColumn("cls", F.xxhash64("label", "unit"))
 
 
-def _matrix(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(r, np.float64) for r in column.to_pylist()]
-
-
 def _unit(rows: list[np.ndarray]) -> np.ndarray:
     """Rows of one length, scaled to length 1 without overflow."""
     x = np.array(rows, np.float64)
@@ -92,20 +88,24 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def filed(reps: DataFrame, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> DataFrame:
-    """``cls, label, dim, n, keys, unit`` with the buckets of each class."""
+    """``cls, label, n, dim, keys`` with the buckets of each class, and packed
+    forms of buckets and vector (``packed``, ``raw``) for the pairs."""
     kind = reps.schema["label"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows = _matrix(batch.column(3))
+            rows = [np.asarray(r, np.float64) for r in batch.column(3).to_pylist()]
             keys = np.zeros((len(rows), tables * probes), np.int64)
             dims = np.array([len(r) for r in rows])
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 keys[at] = bucket_keys(_unit([rows[k] for k in at]), rotations(int(d), seed, tables), probes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dims, pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), batch.column(3)], names=["cls", "label", "n", "dim", "keys", "unit"])
+            # half the bytes where nothing is lost
+            packed = [k.astype(np.int32).tobytes() if k.max() < 2**31 else k.tobytes() for k in keys]
+            raw = [(s if (s := r.astype(np.float32)).astype(np.float64).tobytes() == r.tobytes() else r).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dims, pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=["cls", "label", "n", "dim", "keys", "packed", "raw"])
 
-    return reps.select("cls", "label", "n", "unit").mapInArrow(run, f"cls long, label {kind}, n long, dim int, keys array<long>, unit array<double>")
+    return reps.select("cls", "label", "n", "unit").mapInArrow(run, f"cls long, label {kind}, n long, dim int, keys array<long>, packed binary, raw binary")
 
 
 def cells(rows: DataFrame, bucket: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -132,16 +132,16 @@ def links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes:
     many = file.select("cls", "label", "dim", F.posexplode("keys").alias("at", "key"))
     many = many.dropDuplicates(["cls", "label", "dim", "key"]).select("cls", "label", "dim", "key")
     cell = cells(many, ["label", "dim", "key"]).withColumn("cell", F.xxhash64("label", "dim", "key", "i", "j"))
-    full = cell.join(file.select("cls", "keys", "unit"), "cls").select("cell", "key", "i", "j", "side", "cls", "keys", "unit")
+    full = cell.join(file.select("cls", "dim", "packed", "raw"), ["cls", "dim"]).select("cell", "key", "i", "j", "side", "cls", "packed", "raw", "dim")
     full = full.repartition("cell").sortWithinPartitions("cell", "key", "i", "j", "side", "cls")
 
     def pairs(key, same, rows):
         """Links of one cell: exact cosines in blocks; a link counts only in
         the first bucket that both classes share."""
         side = np.array([r[0] for r in rows])
-        x = _unit([r[3] for r in rows])
+        x = _unit([np.frombuffer(r[3], np.float32 if len(r[3]) == 4 * r[4] else np.float64) for r in rows])
         names = np.array([r[1] for r in rows], np.int64)
-        keys = np.array([r[2] for r in rows], np.int64)
+        keys = np.array([np.frombuffer(r[2], np.int32 if len(r[2]) == 4 * tables * probes else np.int64) for r in rows], np.int64)
         left = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
         for lo in range(0, len(left), 512):
@@ -172,15 +172,13 @@ def links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes:
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            key, i, j, side, cls = (batch.column(k).to_pylist() for k in range(1, 6))
-            keys, unit = batch.column(6).to_pylist(), _matrix(batch.column(7))
-            cell = batch.column(0).to_pylist()
-            for k in range(len(cell)):
+            cell, key, i, j, *own = (batch.column(k).to_pylist() for k in range(9))
+            for k, row in enumerate(zip(*own, strict=True)):
                 here = (key[k], i[k], j[k], cell[k])
                 if here != mark:
                     yield from flush()
                     mark, rows = here, []
-                rows.append((side[k], cls[k], keys[k], unit[k]))
+                rows.append(row)
         yield from flush()
 
     found = written(full.mapInArrow(run, "a long, b long"), "links")
