@@ -61,7 +61,7 @@ def log1p_clipped(c: Column) -> Column:
 def candle(o: Column, h: Column, l: Column, c: Column, v: Column, wap: Column) -> dict[str, Column]:
     """Shape of a candle."""
     span, body = h - l, c - o
-    flat = h == l
+    flat = (o == h) & (o == l) & (o == c)
     return {
         "body_bps": safe_bps(body, o),
         "range_bps": safe_bps(span, c),
@@ -70,8 +70,8 @@ def candle(o: Column, h: Column, l: Column, c: Column, v: Column, wap: Column) -
         "body_to_range": safe_ratio_zero(F.abs(body), span),
         "bullish": flag(c > o),
         "flat_candle": flag(flat),
-        "inactive_flat": flag(flat & (v == 0)),
-        "strange_flat": flag(flat & (v > 0)),
+        "inactive_flat_candle": flag(flat & (v == 0)),
+        "strange_flat_candle": flag(flat & (v > 0)),
         "close_wap_bps": safe_bps(c - wap, wap),
     }
 
@@ -80,19 +80,21 @@ def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 
 
-def cyclic_time(ts: Column) -> dict[str, Column]:
-    minute, day = minute_of_day(ts) * (2 * math.pi / 1440), F.weekday(ts) * (2 * math.pi / 5)
-    return {"minute_sin": F.sin(minute), "minute_cos": F.cos(minute), "dow_sin": F.sin(day), "dow_cos": F.cos(day)}
+def cyclic_time(ts: Column, day: Column) -> dict[str, Column]:
+    """Angles of the minute of the day and of the weekday (Monday 0, of 5)."""
+    minute, dow = minute_of_day(ts) * (2 * math.pi / 1440), F.weekday(day) * (2 * math.pi / 5)
+    return {"minute_sin": F.sin(minute), "minute_cos": F.cos(minute), "dow_sin": F.sin(dow), "dow_cos": F.cos(dow)}
 
 
-#: The blocks of a regular session, first minute and name.
-TIME_BLOCKS = ((570, "09:30-10:29"), (630, "10:30-11:29"), (690, "11:30-12:29"), (750, "12:30-13:29"), (810, "13:30-14:29"), (870, "14:30-15:59"))
+#: Blocks of the regular session, first minute and name; the last ends before 15:46.
+TIME_BLOCKS = ((570, "09:30-10:30"), (630, "10:30-11:30"), (690, "11:30-12:30"), (750, "12:30-13:30"), (810, "13:30-14:30"), (870, "14:30-15:45"))
+BLOCKS_END = 946
 
 
 def time_block(minute: Column, strict: bool = True) -> Column:
-    """Block of a regular-session minute. Outside: an error, or NULL."""
-    outside = F.raise_error(F.lit("minute outside the regular session")).cast("string") if strict else F.lit(None).cast("string")
-    block = F.when((minute < 570) | (minute >= 960), outside)
+    """Block of a prediction minute. Outside: an error, or NULL."""
+    outside = F.raise_error(F.concat(F.lit("minute outside the blocks: "), minute.cast("string"))).cast("string") if strict else F.lit(None).cast("string")
+    block = F.when((minute < TIME_BLOCKS[0][0]) | (minute >= BLOCKS_END), outside)
     for start, name in reversed(TIME_BLOCKS):
         block = block.when(minute >= start, F.lit(name))
     return block

@@ -176,7 +176,7 @@ def flagship(spark, sf):
 RATIO0 = "CASE WHEN ({n}) = 0 AND ({d}) = 0 THEN 0.0 ELSE ({n}) / nullif({d}, 0) END"
 
 
-@query("F4_candle", sql("sb", "SELECT symbol, datetime, round((close - open) / nullif(open, 0) * 10000, 6) AS body_bps, round((high - low) / nullif(close, 0) * 10000, 6) AS range_bps, round(" + RATIO0.format(n="high - CASE WHEN open IS NULL THEN close WHEN close IS NULL THEN open ELSE greatest(open, close) END", d="high - low") + ", 6) AS upper_shadow_fraction, round(" + RATIO0.format(n="CASE WHEN close IS NULL THEN open ELSE least(open, close) END - low", d="high - low") + ", 6) AS lower_shadow_fraction, round(" + RATIO0.format(n="abs(close - open)", d="high - low") + ", 6) AS body_to_range, coalesce(close > open, false)::INT AS bullish, (high = low)::INT AS flat_candle, (high = low AND volume = 0)::INT AS inactive_flat, (high = low AND volume > 0)::INT AS strange_flat, round((close - wap) / nullif(wap, 0) * 10000, 6) AS close_wap_bps FROM sb"))
+@query("F4_candle", sql("sb", "SELECT symbol, datetime, round((close - open) / nullif(open, 0) * 10000, 6) AS body_bps, round((high - low) / nullif(close, 0) * 10000, 6) AS range_bps, round(" + RATIO0.format(n="high - CASE WHEN open IS NULL THEN close WHEN close IS NULL THEN open ELSE greatest(open, close) END", d="high - low") + ", 6) AS upper_shadow_fraction, round(" + RATIO0.format(n="CASE WHEN close IS NULL THEN open ELSE least(open, close) END - low", d="high - low") + ", 6) AS lower_shadow_fraction, round(" + RATIO0.format(n="abs(close - open)", d="high - low") + ", 6) AS body_to_range, coalesce(close > open, false)::INT AS bullish, coalesce(open = high AND open = low AND open = close, false)::INT AS flat_candle, coalesce(open = high AND open = low AND open = close AND volume = 0, false)::INT AS inactive_flat_candle, coalesce(open = high AND open = low AND open = close AND volume > 0, false)::INT AS strange_flat_candle, round((close - wap) / nullif(wap, 0) * 10000, 6) AS close_wap_bps FROM sb"))
 def _(spark, sf):
     c = X.candle(*(F.col(x) for x in ("open", "high", "low", "close", "volume", "wap")))
     return rounded(bars(spark, sf).select("symbol", "datetime", *[v.alias(k) for k, v in c.items()]))
@@ -196,7 +196,7 @@ def _(spark, sf):
 
 @query("F6_cyclic_time", sql("rb", "SELECT symbol, datetime, round(sin(m * 2 * pi() / 1440), 6) AS minute_sin, round(cos(m * 2 * pi() / 1440), 6) AS minute_cos, round(sin(d * 2 * pi() / 5), 6) AS dow_sin, round(cos(d * 2 * pi() / 5), 6) AS dow_cos FROM (SELECT *, hour(datetime) * 60 + minute(datetime) AS m, isodow(datetime) - 1 AS d FROM rb)"))
 def _(spark, sf):
-    return rounded(raw_bars(spark, sf).select("symbol", "datetime", *[v.alias(k) for k, v in X.cyclic_time(F.col("datetime")).items()]))
+    return rounded(raw_bars(spark, sf).select("symbol", "datetime", *[v.alias(k) for k, v in X.cyclic_time(F.col("datetime"), F.to_date("datetime")).items()]))
 
 
 @query("F7_session_position", sql("ss", "SELECT symbol, datetime, e AS f_session_elapsed_minutes, w - e AS f_session_remaining_minutes, round(e / w, 6) AS f_session_progress, (session = 'premarket')::INT AS pre, (session = 'regular')::INT AS reg, (session = 'aftermarket')::INT AS aft, (session = 'overnight')::INT AS ovn FROM (SELECT *, datediff('minute', session_start, datetime + INTERVAL 15 MINUTE)::DOUBLE AS e, datediff('minute', session_start, session_end)::DOUBLE AS w FROM ss)"))
@@ -213,7 +213,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", X.duration_start(d, "10 D").alias("d10"), X.duration_start(d, "2 W").alias("w2"), X.duration_start(d, "6 M").alias("m6"), X.duration_start(d, "1 Y").alias("y1"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
 
 
-@query("F13_time_block", sql("ss", "SELECT symbol, datetime, CASE WHEN m < 630 THEN '09:30-10:29' WHEN m < 690 THEN '10:30-11:29' WHEN m < 750 THEN '11:30-12:29' WHEN m < 810 THEN '12:30-13:29' WHEN m < 870 THEN '13:30-14:29' ELSE '14:30-15:59' END AS block FROM (SELECT *, hour(datetime) * 60 + minute(datetime) AS m FROM ss WHERE session = 'regular')"))
+@query("F13_time_block", sql("ss", "SELECT symbol, datetime, CASE WHEN m < 630 THEN '09:30-10:30' WHEN m < 690 THEN '10:30-11:30' WHEN m < 750 THEN '11:30-12:30' WHEN m < 810 THEN '12:30-13:30' WHEN m < 870 THEN '13:30-14:30' ELSE '14:30-15:45' END AS block FROM (SELECT *, hour(datetime) * 60 + minute(datetime) AS m FROM ss WHERE session = 'regular')"))
 def _(spark, sf):
     d = with_windows(raw_bars(spark, sf)).where("session = 'regular'")
     return d.select("symbol", "datetime", X.time_block(X.minute_of_day(F.col("datetime"))).alias("block"))

@@ -8,6 +8,7 @@ from ..operators import features as FE
 from ..operators import indicators as I
 from ..operators.windows import ewm, merge_intervals, ordered, rolling
 from .data import STEP, bars, raw_bars, returns, rounded, segmented, sql, table, with_windows
+from .queries_bars import GRID
 from .registry import query
 
 K = "symbol, datetime, "
@@ -65,13 +66,13 @@ def _(spark, sf):
 @query("W10_volatility", sql("rr", f"SELECT {K}round({roll('stddev_pop(r1)', 'r1', 5)}, 6) AS v5, round({roll('avg(r1)', 'r1', 8)}, 6) AS mean_8, round({roll('quantile_cont(r1, 0.75)', 'r1', 8)} - {roll('quantile_cont(r1, 0.25)', 'r1', 8)}, 6) AS iqr_8, round((r1 - {roll('avg(r1)', 'r1', 8)}) / nullif({roll('stddev_pop(r1)', 'r1', 8)}, 0), 5) AS z_8 FROM rr"))
 def _(spark, sf):
     d = FE.volatility_features(returns(spark, sf), windows=(5,), window=8)
-    return rounded(d.select("symbol", "datetime", F.round("f_session_volatility_5", 6).alias("v5"), F.round("f_session_return_mean_8", 6).alias("mean_8"), F.round("f_session_return_iqr_8", 6).alias("iqr_8"), F.round("f_session_return_z_8", 5).alias("z_8")))
+    return rounded(d.select("symbol", "datetime", F.round("f_1m_session_volatility_5", 6).alias("v5"), F.round("f_1m_session_return_mean_8", 6).alias("mean_8"), F.round("f_1m_session_return_iqr_8", 6).alias("iqr_8"), F.round("f_1m_session_return_z_8", 5).alias("z_8")))
 
 
 @query("W11_activity", sql("cb", f"SELECT {K}round(ln(1 + volume), 6) AS log_volume, round(volume / nullif({roll('avg(volume)', 'volume', 5, 1)}, 0), 6) AS relative_volume_5, round((volume - {roll('avg(volume)', 'volume', 5, 1)}) / nullif({roll('stddev_pop(volume)', 'volume', 5, 1)}, 0), 5) AS volume_z_5, round(bar_count / nullif({roll('avg(bar_count)', 'bar_count', 5, 1)}, 0), 6) AS relative_count_5 FROM cb"))
 def _(spark, sf):
     d = FE.activity_features(segmented(spark, sf), windows=(5,))
-    return rounded(d.select("symbol", "datetime", F.col("f_log_volume").alias("log_volume"), F.col("f_relative_volume_5").alias("relative_volume_5"), F.round("f_volume_z_5", 5).alias("volume_z_5"), F.col("f_relative_bar_count_5").alias("relative_count_5")))
+    return rounded(d.select("symbol", "datetime", F.col("f_1m_log_volume").alias("log_volume"), F.col("f_1m_session_relative_volume_5").alias("relative_volume_5"), F.round("f_1m_session_volume_z_5", 5).alias("volume_z_5"), F.col("f_1m_session_relative_bar_count_5").alias("relative_count_5")))
 
 
 EMA = """, e0 AS (SELECT symbol, trading_date, session, segment_id, datetime, close, row_number() OVER w AS rn FROM cb WHERE is_usable WINDOW w AS (PARTITION BY symbol, trading_date, session, segment_id ORDER BY datetime)),
@@ -107,11 +108,19 @@ def _(spark, sf):
     return wilder_atr(segmented(spark, sf), 3, STEP).select("symbol", "datetime", F.round("true_range", 6).alias("true_range"), F.round("atr_3", 5).alias("atr_3"))
 
 
-@query("W13_quality_fraction")
-def _(spark, sf):
+def regular(spark, sf):
+    """Regularized bars with segments and session bounds."""
     from .queries_bars import gridded
 
-    return rounded(FE.quality_features(gridded(spark, sf)[2], windows=(4,)).select("symbol", "datetime", "f_imputed_fraction_4", "f_observed_fraction_4"))
+    return FE.with_continuity(with_windows(gridded(spark, sf)[2]), STEP)
+
+
+@query("W13_quality_fraction", sql("ss", GRID + """, u1 AS (SELECT *, close IS NOT NULL AND open IS NOT NULL AS ok FROM reg), u2 AS (SELECT *, lag(datetime) OVER w AS pt2, lag(ok) OVER w AS pok FROM u1 WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
+ u3 AS (SELECT *, sum(CASE WHEN pt2 IS NULL OR NOT ok OR datediff('minute', pt2, datetime) <> 15 OR NOT pok THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY datetime) AS seg FROM u2)
+ SELECT symbol, datetime, round(CASE WHEN count(*) OVER f = 4 THEN avg(is_imputed::INT) OVER f END, 6) AS imputed, round(CASE WHEN count(*) OVER f = 4 THEN avg(is_observed::INT) OVER f END, 6) AS observed FROM u3 WINDOW f AS (PARTITION BY symbol, trading_date, session, seg ORDER BY datetime ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"""))
+def _(spark, sf):
+    d = FE.quality_features(regular(spark, sf), windows=(4,))
+    return rounded(d.select("symbol", "datetime", F.col("f_quality_session_imputed_fraction_4").alias("imputed"), F.col("f_quality_session_observed_fraction_4").alias("observed")))
 
 
 @query("W29_momentum", sql("rb", f"SELECT {K}round(CASE WHEN count(*) OVER v5 = 5 THEN avg(close) OVER v5 END, 6) AS sma_5, round(CASE WHEN count(*) OVER v20 = 20 THEN avg(close) OVER v20 END, 6) AS sma_20, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS pct_change FROM rb WINDOW w AS (PARTITION BY symbol ORDER BY datetime), v5 AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), v20 AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))
@@ -173,7 +182,9 @@ def _(spark, sf):
 
 @query("W37_one_minute_features")
 def _(spark, sf):
-    return rounded(FE.one_minute_features(bars(spark, sf), STEP).drop("session_start", "session_end"))
+    from .queries_bars import gridded
+
+    return rounded(FE.one_minute_features(with_windows(gridded(spark, sf)[2]), STEP).drop("session_start", "session_end"))
 
 
 MERGE = """, iv AS (SELECT l_suppkey AS k, l_shipdate AS s, l_shipdate + INTERVAL 3 DAY AS e FROM lineitem WHERE l_quantity < 10),

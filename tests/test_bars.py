@@ -101,13 +101,32 @@ def test_candle_edges(spark):
     d = fixtures.candle_shapes(spark)
     c = X.candle(F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("volume"), F.col("close"))
     rows = {r.scenario: r for r in d.select("scenario", *[v.alias(k) for k, v in c.items()]).collect()}
-    assert rows["flat_no_volume"].inactive_flat == 1 and rows["flat_no_volume"].body_to_range == 0.0
-    assert rows["flat_with_volume"].strange_flat == 1 and rows["zero_open"].body_bps is None and rows["zero_close"].range_bps is None
+    assert rows["flat_no_volume"].inactive_flat_candle == 1 and rows["flat_no_volume"].body_to_range == 0.0
+    assert rows["flat_with_volume"].strange_flat_candle == 1 and rows["zero_open"].body_bps is None and rows["zero_close"].range_bps is None
     assert rows["doji"].body_to_range == 0.0 and rows["full_body_up"].bullish == 1
     issues = Q.row_issues(d.withColumns({"bar_count": F.lit(1), "wap": F.col("close")}), ["scenario"]).collect()
     assert {"high_below_body", "low_above_body", "high_below_low"} <= {r.issue for r in issues if r.scenario.startswith(("high", "low"))}
 
 
+def test_time_blocks(spark):
+    d = spark.createDataFrame([(570,), (629,), (630,), (945,)], "m int")
+    assert [r[0] for r in d.select(X.time_block(F.col("m"))).collect()] == ["09:30-10:30", "09:30-10:30", "10:30-11:30", "14:30-15:45"]
+    for bad in (569, 946):
+        with pytest.raises(Exception, match="outside the blocks"):
+            spark.createDataFrame([(bad,)], "m int").select(X.time_block(F.col("m"))).collect()
+
+
+def test_feature_count(spark):
+    from barloom.operators import features
+
+    bars, grid = session(spark, "x" * 20)
+    reg = B.regularize(bars, grid, GROUP, 1).withColumns({"session_start": F.lit(T0), "session_end": F.lit(T0 + timedelta(minutes=20))})
+    made = [c for c in features.one_minute_features(reg, 1).columns if c.startswith("f_")]
+    assert len(made) == len(set(made)) == 61
+    hours = features.higher_timeframe_features(B.resample(reg, 5, 1, GROUP), "5m", GROUP)
+    assert len([c for c in hours.columns if c.startswith("f_5m_")]) == 14
+
+
 def test_strict_bool(spark):
     d = spark.createDataFrame([(" Yes",), ("0",)], "v string")
     assert [r[0] for r in d.select(X.strict_bool(F.col("v"))).collect()] == [True, False]
