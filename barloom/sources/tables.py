@@ -51,7 +51,7 @@ def read_bars_csv(spark: SparkSession, path: str, zone: str = "America/New_York"
     if len([c for c in PAIR if c in raw.columns]) == 1:
         raise SchemaError("wap and bar_count must come together")
     numbers = [c for c in (*RAW[1:], *PAIR) if c in raw.columns]
-    return _typed(raw, numbers, zone)
+    return typed_bars(raw, numbers, zone)
 
 
 def parse_time(c: Column, zone: str) -> Column:
@@ -62,7 +62,8 @@ def parse_time(c: Column, zone: str) -> Column:
     return F.when(offset, utc).otherwise(wall)
 
 
-def _typed(raw: DataFrame, numbers: list[str], zone: str) -> tuple[DataFrame, DataFrame]:
+def typed_bars(raw: DataFrame, numbers: list[str], zone: str) -> tuple[DataFrame, DataFrame]:
+    """Text columns to typed ones, and one row of counters of what failed."""
     made = raw.withColumns({f"_{c}": to_double(F.col(c)) for c in numbers} | {"_at": parse_time(F.trim("datetime"), zone)})
     bad = made.agg(F.count("*").alias("n_rows"), F.count_if(F.col("_at").isNull()).alias("invalid_datetime"), *[F.count_if(F.col(f"_{c}").isNull() & F.col(c).isNotNull()).alias(f"invalid_{c}") for c in numbers])
     rows = made.select(F.col("_at").alias("datetime"), *[F.col(f"_{c}").alias(c) for c in numbers], *[c for c in raw.columns if c not in ("datetime", *numbers)])
@@ -211,6 +212,44 @@ def artifact_path(root: str, **parts) -> str:
     return "/".join([root.rstrip("/"), *(f"{k}={v}" for k, v in parts.items())])
 
 
+def coverage_start(instrument_start: Column, source_start: Column) -> Column:
+    """The later of the two; a missing one does not count."""
+    return F.greatest(instrument_start, source_start)
+
+
+def floor_dates(df: DataFrame, start, floor: str = "2020-01-03", day: str = "trading_date") -> DataFrame:
+    """Rows from a start date on, never before the common floor."""
+    return df.where(F.col(day) >= F.greatest(F.lit(start).cast("date"), F.lit(floor).cast("date")))
+
+
+def expand_jobs(groups: dict[str, list[str]], sessions: list[str], bar: str) -> list[tuple[str, str, str]]:
+    """Jobs of a batch: every symbol of every group and session, once a dataset."""
+    return list(dict.fromkeys((symbol.strip().lower(), bar, s) for symbols in groups.values() for symbol in symbols for s in sessions))
+
+
+def horizon_columns(horizon: int, part: str = "all") -> list[str]:
+    """Names of the target columns of a horizon: structural, outcome or all."""
+    structural = [f"target_{c}_{horizon}m" for c in ("valid", "realized_at", "same_session", "same_trading_date", "invalid_reason")]
+    outcome = [f"target_{c}_{horizon}m" for c in ("close", "simple_return", "log_return", "return_bps", "direction")]
+    return {"structural": structural, "outcome": outcome, "all": structural + outcome}[part]
+
+
+def flatten(config, prefix: str = "") -> dict:
+    """Nested settings as dotted names."""
+    if not isinstance(config, dict):
+        return {prefix: config}
+    out = {}
+    for k, v in config.items():
+        out |= flatten(v, f"{prefix}.{k}" if prefix else str(k))
+    return out
+
+
+def config_diff(left: dict, right: dict) -> dict:
+    """Dotted names whose values differ, with both values."""
+    a, b = flatten(left), flatten(right)
+    return {k: (a.get(k), b.get(k)) for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k) or (k in a) != (k in b)}
+
+
 def missing_dates(calendar: DataFrame, present: DataFrame, day: str = "trading_date") -> DataFrame:
     """Calendar dates that a store does not have yet."""
     return calendar.select(day).distinct().join(present.select(day).distinct(), day, "left_anti")
