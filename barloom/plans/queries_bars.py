@@ -194,7 +194,7 @@ def _(spark, sf):
     return rounded(table(spark, sf, "orders").select("o_orderkey", X.log_positive(x).alias("ln_x"), X.log1p_clipped(x).alias("log1p_x"), F.abs(x).alias("abs_x"), F.floor(x).alias("floor_x"), F.sqrt(F.abs(x)).alias("sqrt_x"), F.exp(x / 500000).alias("exp_x"), F.least(F.greatest(x, F.lit(0.0)), F.lit(100000.0)).alias("clip_x")))
 
 
-@query("F6_cyclic_time", sql("rb", "SELECT symbol, datetime, round(sin(m * 2 * pi() / 1440), 6) AS minute_sin, round(cos(m * 2 * pi() / 1440), 6) AS minute_cos, round(sin(d * 2 * pi() / 5), 6) AS dow_sin, round(cos(d * 2 * pi() / 5), 6) AS dow_cos FROM (SELECT *, hour(datetime) * 60 + minute(datetime) AS m, isodow(datetime) - 1 AS d FROM rb)"))
+@query("F6_cyclic_time", sql("rb", "SELECT symbol, datetime, round(sin(m * 2 * pi() / 1440), 6) + 0.0 AS minute_sin, round(cos(m * 2 * pi() / 1440), 6) + 0.0 AS minute_cos, round(sin(d * 2 * pi() / 5), 6) + 0.0 AS dow_sin, round(cos(d * 2 * pi() / 5), 6) + 0.0 AS dow_cos FROM (SELECT *, hour(datetime) * 60 + minute(datetime) AS m, isodow(datetime) - 1 AS d FROM rb)"))
 def _(spark, sf):
     return rounded(raw_bars(spark, sf).select("symbol", "datetime", *[v.alias(k) for k, v in X.cyclic_time(F.col("datetime"), F.to_date("datetime")).items()]))
 

@@ -20,7 +20,7 @@ def broken(spark, sf):
     return raw_bars(spark, sf).withColumns({"high": F.when(h == 1, F.col("low") - 1).otherwise(hi), "volume": F.when(h == 2, -F.col("volume")).otherwise(F.col("volume")), "wap": F.when(h == 3, hi + 1).otherwise(F.col("wap")), "close": F.when(h == 4, -cl).otherwise(cl)})
 
 
-@query("V1_integrity", sql("rb", BROKEN + " SELECT count(*) AS n_rows, 0 AS missing_price, count(CASE WHEN i1 THEN 1 END) AS high_below_body, count(CASE WHEN i2 THEN 1 END) AS low_above_body, count(CASE WHEN i3 THEN 1 END) AS high_below_low, count(CASE WHEN i4 THEN 1 END) AS non_positive_price, count(CASE WHEN i5 THEN 1 END) AS negative_volume, 0 AS negative_bar_count, count(CASE WHEN i6 THEN 1 END) AS wap_outside_range FROM fl"))
+@query("V1_integrity", sql("rb", BROKEN + " SELECT count(*) AS n_rows, 0::BIGINT AS missing_price, count(CASE WHEN i1 THEN 1 END) AS high_below_body, count(CASE WHEN i2 THEN 1 END) AS low_above_body, count(CASE WHEN i3 THEN 1 END) AS high_below_low, count(CASE WHEN i4 THEN 1 END) AS non_positive_price, count(CASE WHEN i5 THEN 1 END) AS negative_volume, 0::BIGINT AS negative_bar_count, count(CASE WHEN i6 THEN 1 END) AS wap_outside_range FROM fl"))
 def _(spark, sf):
     return Q.integrity(broken(spark, sf))
 
@@ -54,7 +54,7 @@ def _(spark, sf):
     return duplicate_keys(table(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("A9_microstructure", sql("ss", "SELECT session, count(*) AS n_rows, count(CASE WHEN volume = 0 THEN 1 END) AS zero_volume, 0 AS zero_count, count(CASE WHEN high = low THEN 1 END) AS flat, round(avg(volume / bar_count), 6) AS mean_volume_per_count, round(median(volume / bar_count), 6) AS median_volume_per_count, round(median(volume), 6) AS median_volume, round(avg(CASE WHEN volume > 0 THEN 1.0 ELSE 0 END), 6) AS active_share FROM ss GROUP BY 1"))
+@query("A9_microstructure", sql("ss", "SELECT session, count(*) AS n_rows, count(CASE WHEN volume = 0 THEN 1 END) AS zero_volume, 0::BIGINT AS zero_count, count(CASE WHEN high = low THEN 1 END) AS flat, round(avg(volume / bar_count), 6) AS mean_volume_per_count, round(median(volume / bar_count), 6) AS median_volume_per_count, round(median(volume), 6) AS median_volume, round(avg(CASE WHEN volume > 0 THEN 1.0 ELSE 0 END), 6) AS active_share FROM ss GROUP BY 1"))
 def _(spark, sf):
     return rounded(Q.microstructure(with_windows(raw_bars(spark, sf)), ["session"]))
 
@@ -73,7 +73,7 @@ def _(spark, sf):
     return Q.outside_expected(d, grid, ["symbol"], "datetime", lo, hi).select("symbol", "datetime", "reason")
 
 
-@query("V8_label_table", sql("pp", "SELECT count(*) AS n_rows, 0 AS bad_labels, count(CASE WHEN actual < 0 THEN 1 END) AS bad_thresholds, (SELECT count(*) FROM (SELECT l_orderkey FROM pp GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM pp"))
+@query("V8_label_table", sql("pp", "SELECT count(*) AS n_rows, 0::BIGINT AS bad_labels, count(CASE WHEN actual < 0 THEN 1 END) AS bad_thresholds, (SELECT count(*) FROM (SELECT l_orderkey FROM pp GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys FROM pp"))
 def _(spark, sf):
     return Q.label_table(three_class(one_sided(spark, sf)), ["l_orderkey"], "truth", "actual")
 

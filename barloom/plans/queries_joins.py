@@ -34,7 +34,7 @@ def _(spark, sf):
     return J.checked_join(table(spark, sf, "customer").select("c_custkey"), o, ["c_custkey"], matched="matched")
 
 
-@query("J5_source_identity", sql("ss", "SELECT count(*) AS matched, count(CASE WHEN abs(o - close) > 1e-6 THEN 1 END) AS over_close, round(max(abs(o - close)), 6) AS max_close, 0 AS over_high, 0.0 AS max_high FROM (SELECT *, CASE WHEN hour(datetime) = 3 THEN close + 0.5 ELSE close END AS o FROM ss)"))
+@query("J5_source_identity", sql("ss", "SELECT count(*) AS matched, count(CASE WHEN abs(o - close) > 1e-6 THEN 1 END) AS over_close, round(max(abs(o - close)), 6) AS max_close, 0::BIGINT AS over_high, 0.0::DOUBLE AS max_high FROM (SELECT *, CASE WHEN hour(datetime) = 3 THEN close + 0.5 ELSE close END AS o FROM ss)"))
 def _(spark, sf):
     d = raw_bars(spark, sf).select("symbol", "datetime", "close", "high")
     other = d.withColumn("close", F.when(F.hour("datetime") == 3, F.col("close") + 0.5).otherwise(F.col("close")))
@@ -60,13 +60,13 @@ def _(spark, sf):
     return c.join(o, "c_custkey", "left_semi").withColumn("side", F.lit("semi")).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("side", F.lit("anti")))
 
 
-@query("J15_alignment", sql("ss", "SELECT count(CASE WHEN hour(datetime) = 5 THEN 1 END) AS only_left, 0 AS only_right, count(CASE WHEN hour(datetime) <> 5 THEN 1 END) AS both, 0 AS diff_close FROM ss"))
+@query("J15_alignment", sql("ss", "SELECT count(CASE WHEN hour(datetime) = 5 THEN 1 END) AS only_left, 0::BIGINT AS only_right, count(CASE WHEN hour(datetime) <> 5 THEN 1 END) AS both, 0::BIGINT AS diff_close FROM ss"))
 def _(spark, sf):
     d = raw_bars(spark, sf).select("symbol", "datetime", "close")
     return J.differences(d, d.where(F.hour("datetime") != 5), ["symbol", "datetime"], ["close"])
 
 
-@query("J18_paired_universe", sql("ss", "SELECT 0 AS only_left, 0 AS only_right, count(*) AS both, count(CASE WHEN bar_count = 1 THEN 1 END) AS diff_close, 0 AS diff_high FROM ss"))
+@query("J18_paired_universe", sql("ss", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right, count(*) AS both, count(CASE WHEN bar_count = 1 THEN 1 END) AS diff_close, 0::BIGINT AS diff_high FROM ss"))
 def _(spark, sf):
     d = raw_bars(spark, sf).select("symbol", "datetime", "close", "high", "bar_count")
     other = d.withColumn("close", F.when(F.col("bar_count") > 1, F.col("close")))
@@ -232,6 +232,6 @@ def _(spark, sf):
     return three_class(one_sided(spark, sf)).where("grp = 'R' AND l_linestatus = 'O' AND truth <> 0").select("l_orderkey", "l_linenumber", "truth")
 
 
-@query("P5_canonical", sql("sb", "SELECT 0 AS bad_datetime, count(CASE WHEN close IS NULL THEN 1 END) AS missing_numbers, 0 AS unknown_session, 0 AS fractional_count, 0 AS bad_flags, 0 AS bad_calendar_date, 0 AS repeated_keys FROM sb"))
+@query("P5_canonical", sql("sb", "SELECT 0::BIGINT AS bad_datetime, count(CASE WHEN close IS NULL THEN 1 END) AS missing_numbers, 0::BIGINT AS unknown_session, 0::BIGINT AS fractional_count, 0::BIGINT AS bad_flags, 0::BIGINT AS bad_calendar_date, 0::BIGINT AS repeated_keys FROM sb"))
 def _(spark, sf):
     return S.canonical_checks(S.canonical(bars(spark, sf).drop("session_start", "session_end"), "SRC"))

@@ -152,7 +152,7 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.var_pop(x), 1).alias("var_pop"))
 
 
-@query("A31_profile", "SELECT feature, count(x) AS n_finite, count(*) - count(x) AS n_missing, 0 AS n_pos_inf, 0 AS n_neg_inf, round(min(x), 6) AS min, round(quantile_cont(x, 0.01), 6) AS p01, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.99), 6) AS p99, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT 'l_discount' AS feature, l_discount AS x FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1")
+@query("A31_profile", "SELECT feature, count(x) AS n_finite, count(*) - count(x) AS n_missing, 0::BIGINT AS n_pos_inf, 0::BIGINT AS n_neg_inf, round(min(x), 6) AS min, round(quantile_cont(x, 0.01), 6) AS p01, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.99), 6) AS p99, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT 'l_discount' AS feature, l_discount AS x FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY 1")
 def _(spark, sf):
     return rounded(M.profile(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]))
 

@@ -54,7 +54,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").withColumnsRenamed({c: f"f_sm_{c}" for c in ("o_custkey", "o_orderstatus")})
 
 
-@query("S1_text_scan", sql("rb", "SELECT count(*) AS n_rows, 0 AS invalid_datetime, count(CASE WHEN hour(datetime) = 5 THEN 1 END) AS invalid_open, 0 AS invalid_close FROM rb"))
+@query("S1_text_scan", sql("rb", "SELECT count(*) AS n_rows, 0::BIGINT AS invalid_datetime, count(CASE WHEN hour(datetime) = 5 THEN 1 END) AS invalid_open, 0::BIGINT AS invalid_close FROM rb"))
 def _(spark, sf):
     raw = raw_bars(spark, sf).select(F.date_format("datetime", "yyyy-MM-dd HH:mm:ss").alias("datetime"), F.when(F.hour("datetime") == 5, "n/a").otherwise(F.col("open").cast("string")).alias("open"), F.col("close").cast("string").alias("close"))
     return S.typed_bars(raw, ["open", "close"], "UTC")[1]
@@ -117,7 +117,7 @@ def _(spark, sf):
     return rounded(back.select("l_orderkey", "l_linenumber", (F.col("l_quantity") * F.col("_s") + F.col("_m")).alias("l_quantity")))
 
 
-@query("O1_ordered_rows", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders")
+@query("O1_ordered_rows", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS k FROM orders")
 def _(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("k"))

@@ -168,7 +168,7 @@ def _(spark, sf):
     return d.select("symbol", "datetime", "cross_up", "rows_above", "confirmed")
 
 
-@query("W35_location", sql("ss", ", x AS (SELECT symbol, trading_date, datetime, close, CASE WHEN close < 30 THEN -1 WHEN close > 70 THEN 1 WHEN close IS NOT NULL THEN 0 END AS loc FROM ss), y AS (SELECT *, lag(loc) OVER w AS p FROM x WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY datetime)), z AS (SELECT *, coalesce(loc = 1 AND p < 1, false)::INT AS up, coalesce(loc = -1 AND p > -1, false)::INT AS dn, coalesce(loc = 0 AND p <> 0, false)::INT AS rej, sum(CASE WHEN loc IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, trading_date ORDER BY datetime) AS run FROM y) SELECT symbol, datetime, loc AS location, up AS leave_up, dn AS leave_down, rej AS rejection, sum(up + dn) OVER w::BIGINT AS leaves_today, sum(rej) OVER w::BIGINT AS rejections_today, row_number() OVER (PARTITION BY symbol, trading_date, run ORDER BY datetime) AS streak, round(exp(-(row_number() OVER (PARTITION BY symbol, trading_date, run ORDER BY datetime) - 1) / 10.0), 6) AS streak_decay FROM z WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY datetime)"))
+@query("W35_location", sql("ss", ", x AS (SELECT symbol, trading_date, datetime, close, CASE WHEN close < 30 THEN -1 WHEN close > 70 THEN 1 WHEN close IS NOT NULL THEN 0 END AS loc FROM ss), y AS (SELECT *, lag(loc) OVER w AS p FROM x WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY datetime)), z AS (SELECT *, coalesce(loc = 1 AND p < 1, false)::INT AS up, coalesce(loc = -1 AND p > -1, false)::INT AS dn, coalesce(loc = 0 AND p <> 0, false)::INT AS rej, sum(CASE WHEN loc IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, trading_date ORDER BY datetime) AS run FROM y) SELECT symbol, datetime, loc AS location, up AS leave_up, dn AS leave_down, rej AS rejection, sum(up + dn) OVER w::BIGINT AS leaves_today, sum(rej) OVER w::BIGINT AS rejections_today, row_number() OVER (PARTITION BY symbol, trading_date, run ORDER BY datetime)::INT AS streak, round(exp(-(row_number() OVER (PARTITION BY symbol, trading_date, run ORDER BY datetime) - 1) / 10.0), 6) AS streak_decay FROM z WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY datetime)"))
 def _(spark, sf):
     d = I.location_features(with_windows(raw_bars(spark, sf)), F.lit(30.0), F.lit(70.0), ["symbol", "trading_date"])
     return rounded(d.select("symbol", "datetime", "location", "leave_up", "leave_down", "rejection", "leaves_today", "rejections_today", "streak", "streak_decay"))
