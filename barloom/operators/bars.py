@@ -100,10 +100,9 @@ def regularize(observed: DataFrame, grid: DataFrame, group: list[str], step: int
 
 
 def gap_audit(regular: DataFrame, group: list[str], step: int, ts: str = "datetime") -> DataFrame:
-    """One row per run of rows that were not observed."""
-    missing = regular.where(~F.col("is_observed"))
-    runs = islands(missing, group, ts, step)
-    return runs.join(missing.select(*group, F.col(ts).alias("run_start"), "gap_type", "is_imputed"), [*group, "run_start"])
+    """One row per run of rows that were not observed: its bounds and length,
+    and the type and filling that all its rows share."""
+    return islands(regular.where(~F.col("is_observed")), group, ts, step, {"gap_type": F.min("gap_type"), "is_imputed": F.min("is_imputed")})
 
 
 def resample(df: DataFrame, minutes: int, step: int, group: list[str], ts: str = "datetime") -> DataFrame:

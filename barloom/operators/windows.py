@@ -86,12 +86,13 @@ def wilder(value: Column, w: WindowSpec, period: int) -> Column:
     return F.when(F.size(items) >= period, _fold(F.slice(items, period + 1, back + 1), seed, 1.0 / period))
 
 
-def islands(df: DataFrame, keys: list[str], ts: str = "datetime", step: int = 1) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], ts: str = "datetime", step: int = 1, more: dict[str, Column] | None = None) -> DataFrame:
     """Runs of rows that follow each other by one step: ``keys, run_start,
-    run_end, run_length``."""
+    run_end, run_length`` and further aggregates. Rows of a run share the time
+    that lies their row number of steps back, so one sort finds all runs."""
     number = F.row_number().over(ordered(keys, ts))
-    anchor = F.timestamp_add("MINUTE", -(number * step), F.col(ts))
-    return df.select(*keys, ts, anchor.alias("_anchor")).groupBy(*keys, "_anchor").agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("run_length")).drop("_anchor")
+    d = df.withColumn("_anchor", F.timestamp_add("MINUTE", -(number * step), F.col(ts)))
+    return d.groupBy(*keys, "_anchor").agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("run_length"), *[c.alias(n) for n, c in (more or {}).items()]).drop("_anchor")
 
 
 def run_position(df: DataFrame, breaks: Column, keys: list[str], ts: str, name: str) -> DataFrame:

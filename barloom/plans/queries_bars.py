@@ -22,8 +22,9 @@ GROUP = ["symbol", "trading_date", "session"]
 
 def gridded(spark, sf):
     obs = with_windows(raw_bars(spark, sf))
-    lo, hi = (obs.agg(f("datetime").alias("x")) for f in (F.min, F.max))
-    span = lo.withColumnRenamed("x", "lo").join(hi.withColumnRenamed("x", "hi"))  # one row
+    # bucketing is monotone, so the span comes from a scan of one column: one row
+    at = lambda f: B.bucket_start(f("ts"), STEP)
+    span = table(spark, sf, "events").agg(at(F.min).alias("lo"), at(F.max).alias("hi"))
     w = groups(obs).join(F.broadcast(span))
     g = B.expected_grid(w, STEP, F.col("lo"), F.col("hi"), GROUP)
     return obs, g, B.regularize(obs.drop("session_start", "session_end"), g, GROUP, STEP, most=2)
