@@ -11,10 +11,11 @@ a failing pair are merged exactly, by rank.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
-from itertools import chain
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
@@ -27,6 +28,7 @@ from .common import text_batches
 #: The byte-level pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = np.int64(1) << 40
+NONE = 1 << 62
 GAP = "Ā"  # stands between words; no byte maps to it
 
 
@@ -55,20 +57,20 @@ class ByteBPE:
             self.bytes[i] = t.encode()
         self.text = [str(i) for i in range(size)]
         self.size = size
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # pair -> (rank + 1) * size + new token
         left, right = np.full(size, -1), np.full(size, -1)
         born = np.full(size, -1, np.int64)
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (latin(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             new = self.ids[a + b]
-            self.merges[self.ids[a] * size + self.ids[b]] = (rank, new)
+            self.merges[self.ids[a] * size + self.ids[b]] = (rank + 1) * size + new
             if born[new] >= 0:
                 raise ValueError("a token with two derivations; pairs cannot be verified")
             left[new], right[new], born[new] = self.ids[a], self.ids[b], rank
         code = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(code)
         self.codes = code[order]
-        self.ranks = np.fromiter((r for r, _ in self.merges.values()), np.int64, len(code))[order]
+        self.ranks = np.fromiter(self.merges.values(), np.int64, len(code))[order] // size - 1
         self.right_edge, self.left_edge = self._edge(right, born), self._edge(left, born)
         self.single = [self.ids[chr(b)] for b in range(256)]
         self.machine = ahocorasick.Automaton()
@@ -113,24 +115,43 @@ class ByteBPE:
     def merge(self, word: str) -> tuple[int, ...]:
         """Exact encoding of one Latin-1 word: lowest rank first, leftmost first."""
         ids = [self.single[c] for c in word.encode("latin-1")]
+        return tuple(self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids))
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """By looking for the least rank again and again."""
+        size, get = self.size, self.merges.get
+        open_ = [get(a * size + b, NONE) for a, b in pairwise(ids)]
+        while open_ and (least := min(open_)) != NONE:
+            i = open_.index(least)
+            ids[i] = least % size
+            del ids[i + 1], open_[i]
+            if i < len(open_):
+                open_[i] = get(ids[i] * size + ids[i + 1], NONE)
+            if i:
+                open_[i - 1] = get(ids[i - 1] * size + ids[i], NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """By a heap of pairs over a linked list: n log n for any length."""
         n, size, merges = len(ids), self.size, self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get(ids[i] * size + ids[i + 1]))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get(ids[i] * size + ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
+            new = m % size
             ids[i], ids[j] = new, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
                 if m := merges.get(new * size + ids[after[j]]):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[after[j]]))
+                    heapq.heappush(heap, (m, i, new, ids[after[j]]))
             if (h := before[i]) >= 0 and (m := merges.get(ids[h] * size + new)):
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
-        return tuple(x for x in ids if x >= 0)
+                heapq.heappush(heap, (m, h, ids[h], new))
+        return [x for x in ids if x >= 0]
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together and remember them."""
@@ -163,7 +184,18 @@ class ByteBPE:
             cache[w] = self.merge(latin[k]) if wrong[k] else tuple(found[bounds[k] : bounds[k + 1]])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of each text; strings of special tokens become their id."""
+        """Token ids of each text; strings of special tokens become their id.
+        Collecting cycles pauses meanwhile: a batch makes very many tuples, and
+        no cycles."""
+        pause = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if pause:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str]) -> list[list[int]]:
         find, cache = self.words.findall, self.cache
         if len(cache) > self.cache_words:
             cache.clear()
