@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_batches
+from .common import spread, text_batches
 
 #: The byte-level pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,4 +270,4 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decod
                 cols["decoded_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in back])
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)

@@ -66,6 +66,14 @@ def side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """A small table in few files is dealt out to all cores, as a file that
+    cannot be split would keep one of them busy. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < small and len(df.inputFiles()) < cores else df
+
+
 def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read again. Lost executors
     cost no more than the tasks that ran on them. ``files`` bounds the files of

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER_ASCII, discard, flat, mixed, side, text_batches, word_hashes, written
+from .common import LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
 from .components import components
 
 #: Steps a doubling of the count sketch's levels.
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("handle"))
-    return written(rows.mapInArrow(run, f"doc_id {kind}, node long, n int, handle long, head binary, slice int, counts binary"), "signatures")
+    return written(spread(rows).mapInArrow(run, f"doc_id {kind}, node long, n int, handle long, head binary, slice int, counts binary"), "signatures")
 
 
 def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
@@ -188,7 +188,7 @@ def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "node", "code"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, code long")
+    return spread(docs.select("text")).mapInArrow(run, "key long, node long, code long")
 
 
 def shared_entries(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, held_out, ngram_counts, text_batches, written
+from .common import class_sample, discard, held_out, ngram_counts, spread, text_batches, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,13 +54,14 @@ def features(counts: np.ndarray) -> np.ndarray:
 def train_bits(x: np.ndarray, signs: np.ndarray, rounds: int = 150, rate: float = 40.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic regressions for all bits at once, both sides of a bit weighing
     the same, by gradient steps with momentum. Returns weights (dim x bits)."""
-    w = np.zeros((x.shape[1], signs.shape[1]), np.float64)
+    x, signs = x.astype(np.float32), signs.astype(np.float32)
+    w = np.zeros((x.shape[1], signs.shape[1]), np.float32)
     move = np.zeros_like(w)
-    weight = np.where(signs > 0, 0.5 / np.maximum(1, (signs > 0).sum(0)), 0.5 / np.maximum(1, (signs < 0).sum(0)))
+    weight = np.where(signs > 0, 0.5 / np.maximum(1, (signs > 0).sum(0)), 0.5 / np.maximum(1, (signs < 0).sum(0))).astype(np.float32)
     for _ in range(rounds):
         margin = np.clip(signs * (x @ w), -30, 30)
-        move = 0.9 * move + x.T @ (signs * weight / (1 + np.exp(margin))) - decay * w
-        w += rate * 0.1 * move
+        move = np.float32(0.9) * move + x.T @ (signs * weight / (1 + np.exp(margin))) - np.float32(decay) * w
+        w += np.float32(rate * 0.1) * move
     return w
 
 
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, per_language: int = 800, dim: int = 4096, fold: tuple[i
     languages = sorted({r.lang for r in got})
     if len(languages) < 2:
         return LanguageModel(languages, codewords(len(languages)), np.zeros((dim, 1)))
-    x = features(np.array([np.frombuffer(r.x, np.uint32) for r in got], np.float32)).astype(np.float64)
+    x = features(np.array([np.frombuffer(r.x, np.uint32) for r in got], np.float32))
     y = np.array([languages.index(r.lang) for r in got])
     code = codewords(len(languages))
     return LanguageModel(languages, code, train_bits(x, code[y].astype(np.float64)))
@@ -135,4 +136,4 @@ def identify(docs: DataFrame, model: LanguageModel, fold: tuple[int, int] = (4,
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64()), pa.array(close | ~lettered, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return own.mapInArrow(run, schema)
+    return spread(own).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import flat, text_batches
+from .common import flat, spread, text_batches
 
 #: The base phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -145,4 +145,4 @@ def scan(docs: DataFrame, notices=NOTICES, base=BASE, text: str = "text", key: s
                 names.append("matches")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, flat, held_out, ngram_counts, text_batches, word_hashes, written
+from .common import class_sample, discard, flat, held_out, ngram_counts, spread, text_batches, word_hashes, written
 
 SIZES = (1, 2, 3)
 
@@ -114,4 +114,4 @@ def score(docs: DataFrame, model: QualityModel, fold: tuple[int, int] = (3, 1))
             value = m.score(features(batch.column(2), len(m.rarity))).astype(np.float64).clip(0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return own.mapInArrow(run, schema)
+    return spread(own).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, held_out, text_batches, written
+from .common import class_sample, discard, held_out, spread, text_batches, written
 
 #: Names of result columns.
 RESULTS = ("held_out", "score", "predicted", "passages")
@@ -209,4 +209,4 @@ def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0),
                 cols.append(pa.array([[{"from_word": a, "to_word": b, "strength": x} for a, b, x in p] for _, p in got], pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32()), ("strength", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", *["passages"] * passages])
 
-    return own.mapInArrow(run, schema)
+    return spread(own).mapInArrow(run, schema)
