@@ -85,10 +85,11 @@ def summary(c: Column, name: str, quantiles: tuple[float, ...] = (0.01, 0.05, 0.
 
 def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: list[float]) -> DataFrame:
     """Binary metrics at every threshold: each row goes to the number of
-    thresholds it passes, so one count per step serves all of them."""
+    (ascending) thresholds it passes, so one count per step serves all of them."""
     t = F.col(y) == 1
+    thresholds = sorted(thresholds)
     grid = F.array(*[F.lit(x) for x in thresholds])
-    passed = F.size(F.filter(grid, lambda x: F.col(p) >= x))
+    passed = sum(((F.col(p) >= x).cast("int") for x in thresholds), F.lit(0))
     steps = df.groupBy(passed.alias("_k")).agg(F.count_if(t).alias("_p"), F.count_if(~t).alias("_n"))
     spread = steps.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
     up = F.col("_k") > F.col("_i")
