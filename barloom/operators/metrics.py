@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .windows import prefix_sum
+
 
 def ratio0(n: Column, d: Column) -> Column:
     """n / d, 0 where d is 0."""
@@ -64,8 +66,7 @@ def roc_auc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> D
     per distinct score, then ranked by prefix sums; NULL without both classes."""
     by = by or []
     c = df.groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("long")).alias("_p"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(score)
-    c = c.withColumn("_rank", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_n") + 1) / 2.0)
+    c = prefix_sum(c, [score], F.col("_n"), "_before", by).withColumn("_rank", F.col("_before") + (F.col("_n") + 1) / 2.0)
     pos, n = F.sum("_p"), F.sum("_n")
     u = F.sum(F.col("_p") * F.col("_rank")) - pos * (pos + 1) / 2.0
     return c.groupBy(*by).agg(F.try_divide(u, (pos * (n - pos)).cast("double")).alias("auc"))
@@ -113,12 +114,12 @@ def calibration(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
 def precision_at_coverage(df: DataFrame, y: str, p: str, coverages: list[float], key: list[str]) -> DataFrame:
     """Share of right signs among the floor(n * c) rows (at least one) that are
     most confident; ties go by ``key``."""
-    sure = F.round(F.abs(F.col(p) - 0.5), 12)
+    unsure = -F.round(F.abs(F.col(p) - 0.5), 12)
     right = ((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("int")
-    every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = df.select(right.alias("_r"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(sure.desc(), *key)).alias("_k"), F.count("*").over(every).alias("_n"))
+    d = prefix_sum(df.select(right.alias("_r"), unsure.alias("_u"), *key), ["_u", *key], F.lit(1), "_k")
+    d = d.join(F.broadcast(df.agg(F.count("*").alias("_all"))))  # one row
     d = d.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
-    return d.where(F.col("_k") <= F.greatest(F.floor(F.col("_n") * F.col("coverage")), F.lit(1))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg(F.col("_r").cast("double")).alias("precision"))
+    return d.where(F.col("_k") < F.greatest(F.floor(F.col("_all") * F.col("coverage")), F.lit(1))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg(F.col("_r").cast("double")).alias("precision"))
 
 
 def regression(actual: str, predicted: str) -> dict[str, Column]:
@@ -166,16 +167,20 @@ def scaled(df: DataFrame, fitted: DataFrame, columns: list[str], narrow: bool =
     return d.withColumns({c: x.cast("float") if narrow else x for c, x in made.items()}).drop(*[f"_{c}" for c in columns])
 
 
-def average_rank(c: str) -> Column:
-    """Rank with ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(F.lit(1)).orderBy(c)) + (F.count("*").over(Window.partitionBy(F.col(c))) - 1) / 2.0
+def average_ranks(df: DataFrame, c: str) -> DataFrame:
+    """``c, rank`` for each distinct value; ties share their mean rank."""
+    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
+    return prefix_sum(counts, [c], F.col("_n"), "_before").select(c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
 
 
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of all pairs over rows where all columns are there,
     strongest first."""
-    d = df.dropna(subset=columns)
-    d = d.select(*[average_rank(c).alias(c) for c in columns])
+    whole = df.select(*columns).dropna()
+    d = whole
+    for c in columns:
+        d = d.join(average_ranks(whole, c), c)
+    d = d.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
     one = d.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs])

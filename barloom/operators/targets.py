@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import atr_label, direction, finite
-from .windows import minutes_between, ordered, run_position, true_range, wilder
+from .windows import minutes_between, ordered, prefix_sum, run_position, true_range, wilder
 
 
 def add_target(df: DataFrame, horizon: int, step: int, key: str = "symbol", threshold: float = 0.0, same_session: bool = False) -> DataFrame:
@@ -89,14 +89,9 @@ def embargo(df: DataFrame, realized: str, at: str = "prediction_time") -> DataFr
 
 
 def dense_index(df: DataFrame, order: list[str], name: str = "sample_index") -> DataFrame:
-    """Dense global numbers in a given order without one global sort task:
-    range-partition, count per partition, add offsets."""
-    d = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return d.withColumn(name, inside).join(F.broadcast(offsets), "_p").withColumn(name, (F.col(name) + F.col("_o")).cast("long")).drop("_p", "_o")
+    """Dense global numbers in a given (total) order, without one task that
+    sorts everything."""
+    return prefix_sum(df, order, F.lit(1), name).withColumn(name, F.col(name).cast("long"))
 
 
 def wilder_atr(df: DataFrame, period: int, step: int, key: str = "symbol") -> DataFrame:

@@ -95,6 +95,43 @@ def islands(df: DataFrame, keys: list[str], ts: str = "datetime", step: int = 1,
     return d.groupBy(*keys, "_anchor").agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("run_length"), *[c.alias(n) for n, c in (more or {}).items()]).drop("_anchor")
 
 
+def order_number(df: DataFrame, column: str) -> Column:
+    """A number that sorts like the column (numeric, date or time)."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "timestamp_ntz":
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind in ("timestamp", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: Column, name: str, by: list[str] | None = None, ranges: int = 64) -> DataFrame:
+    """Sum of ``value`` over the rows before each row, without one task that
+    sorts everything.
+
+    The first order column (numeric or time) is cut into ranges at approximate
+    quantiles, which one action fetches (``ranges`` numbers); sums per range
+    give offsets, and only ranges are sorted. NULLs come first. The cuts move
+    work, not results.
+    """
+    by = by or []
+    x = order_number(df, order[0])
+    cuts = df.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 1000).alias("c")).first().c or []
+    bucket = sum((F.coalesce(x >= c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    d = df.withColumn("_b", bucket)
+    totals = d.groupBy(*by, "_b").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(by)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("_b") == F.col("_kb")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    d = d.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+    # without groups there are at most ``ranges`` totals
+    d = d.join(totals if by else F.broadcast(totals), same)
+    return d.withColumn(name, F.col("_inside") + F.col("_o")).drop("_b", "_kb", "_o", "_inside", *[f"_k{k}" for k in range(len(by))])
+
+
 def run_position(df: DataFrame, breaks: Column, keys: list[str], ts: str, name: str) -> DataFrame:
     """Number of the row in its run; a row where ``breaks`` holds begins one."""
     w = ordered(keys, ts)

@@ -108,3 +108,14 @@ def test_dense_index(spark):
     rows = targets.dense_index(d, ["x", "id"]).collect()
     assert [r.id for r in sorted(rows, key=lambda r: r.sample_index)] == [r.id for r in sorted(rows, key=lambda r: (r.x, r.id))]
     assert sorted(r.sample_index for r in rows) == list(range(1000))
+
+
+def test_prefix_sum(spark):
+    rows = [(g, x, k) for k, (g, x) in enumerate((g, x) for g in ("a", "b", None) for x in (None, 5.0, 1.0, 5.0, -2.0, 7.5, 5.0))]
+    d = spark.createDataFrame(rows, "g string, x double, k int")
+    for by in ([], ["g"]):
+        got = {r.k: r.s for r in W.prefix_sum(d, ["x", "k"], F.col("k"), "s", by, ranges=3).collect()}
+        for g, x, k in rows:
+            before = [j for h, y, j in rows if (not by or h == g) and ((y is not None, y or 0.0, j) < (x is not None, x or 0.0, k))]
+            assert got[k] == sum(before)
+    assert W.prefix_sum(d.limit(0), ["x"], F.lit(1), "s").count() == 0
