@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
-def text_batches(spark: SparkSession, rows: int = 256) -> None:
+def text_batches(spark: SparkSession, rows: int = 128) -> None:
     """Keep Arrow batches of whole texts small: a batch is bounded in rows, and
     in bytes where this Spark version can."""
     ship(spark)

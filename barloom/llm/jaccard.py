@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
     slices, names = 64, ["doc_id", "node", "n", "handle", "head", "slice", "counts"]
 
     def run(batches):
-        counts, seen = np.zeros(1 << bits, np.uint32), set()
+        counts, seen = np.zeros(1 << bits, np.uint16), set()  # may wrap: it only steers an order
         types = None
         for batch in batches:
             types = batch.column(0).type

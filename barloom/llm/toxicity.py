@@ -97,12 +97,12 @@ class ToxicityModel:
         return (1 / (1 + math.exp(-min(50.0, max(-50.0, v - self.cut)))) if v > -math.inf else 0.0), passages
 
 
-def train(words: list[list[str]], labels: list[int], drift: float = 0.35, z_least: float = 5.0, spread: float = 500.0) -> ToxicityModel:
-    """Fit on the distinct words of labelled texts. ``spread`` is the weight of
-    the Dirichlet prior. Without a text of each class nothing is toxic."""
+def train(words: list[str], labels: list[int], drift: float = 0.35, z_least: float = 5.0, spread: float = 500.0) -> ToxicityModel:
+    """Fit on the distinct words (joined by spaces) of labelled texts. ``spread``
+    is the weight of the Dirichlet prior. Without a text of each class nothing is toxic."""
     counts = (Counter(), Counter())
     for own, y in zip(words, labels, strict=True):
-        counts[y].update({s for w in own for s in stems(w)})
+        counts[y].update({s for w in own.split() for s in stems(w)})
     size = [labels.count(0), labels.count(1)]
     if not size[0] or not size[1]:
         return ToxicityModel({}, drift, 1.0, 1.0, 0.0)
@@ -126,7 +126,7 @@ def train(words: list[list[str]], labels: list[int], drift: float = 0.35, z_leas
     gains: Counter = Counter()
     for own, y in zip(words, labels, strict=True):
         if y == 0:
-            gains.update(round(g, 2) if g > 0 else -drift for g in map(model.gain, own))
+            gains.update(round(g, 2) if g > 0 else -drift for g in map(model.gain, own.split()))
     total = sum(gains.values())
     if any(g > 0 for g in gains):
         excess = lambda lam: sum(n * math.exp(lam * g) for g, n in gains.items()) / total - 1
@@ -153,7 +153,7 @@ def calibrated(model: ToxicityModel, values: list[float], labels: list[int]) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows: about ``per_class`` of each
     label, never of the held-out fold. Rows without label or id are not used;
     an id that is labelled twice counts as toxic. Only distinct words and raw
@@ -167,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, label: str =
 
     def distinct(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(set(tokens(t))) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(tokens(t)))) for t in batch.column(1).to_pylist()], pa.string())], names=["y", "words"])
 
-    got = kept.mapInArrow(distinct, "y int, words array<string>").collect()
+    got = kept.mapInArrow(distinct, "y int, words string").collect()
     model = train([r.words for r in got], [r.y for r in got])
     shared = (model.odds, model.drift, model.lam, model.k, model.cut)
 
