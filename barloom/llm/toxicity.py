@@ -2,9 +2,8 @@
 
 Fit: document counts of words and word stems (first five and four letters) in
 toxic and other labelled texts give log-odds with an informative Dirichlet
-prior (the pooled counts); only those whose z-score is significant score
-positive, all other words cost a fixed drift, so the expected score of a word
-is negative. Score: a linear-time scan finds every maximal segment; extreme
+prior (the pooled counts); only significant ones score positive, all other
+words cost a fixed drift, so the expected score of a word is negative. Score: a linear-time scan finds every maximal segment; extreme
 value statistics (E = K n exp(-lambda S), lambda from the scores themselves)
 tell what a segment is worth in a text of n words, and the segments of a text
 are summed into one p-value.
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -97,25 +97,42 @@ class ToxicityModel:
         return (1 / (1 + math.exp(-min(50.0, max(-50.0, v - self.cut)))) if v > -math.inf else 0.0), passages
 
 
-def train(words: list[str], labels: list[int], drift: float = 0.35, z_least: float = 5.0, spread: float = 500.0) -> ToxicityModel:
+def text_group(words: str) -> int:
+    """The same for copies, and mostly for near copies: the least hash of the
+    longer words (of all, if none is long)."""
+    own = words.split()
+    return min((zlib.crc32(w.encode()) for w in [w for w in own if len(w) > 6] or own), default=0)
+
+
+def train(words: list[str], labels: list[int], drift: float = 0.35, margin: float = 0.0, spread: float = 500.0) -> ToxicityModel:
     """Fit on the distinct words (joined by spaces) of labelled texts. ``spread``
-    is the weight of the Dirichlet prior. Without a text of each class nothing is toxic."""
-    counts = (Counter(), Counter())
+    is the weight of the Dirichlet prior; a feature must be significant by
+    ``margin`` nats beyond what the number of features explains. Of copies one
+    text counts. Without a text of each class nothing is toxic."""
+    counts, size, known = (Counter(), Counter()), [0, 0], set()
     for own, y in zip(words, labels, strict=True):
+        if (y, text_group(own)) in known:
+            continue  # copies would make every word of theirs look toxic
+        known.add((y, text_group(own)))
+        size[y] += 1
         counts[y].update({s for w in own.split() for s in stems(w)})
-    size = [labels.count(0), labels.count(1)]
     if not size[0] or not size[1]:
         return ToxicityModel({}, drift, 1.0, 1.0, 0.0)
     n0, n1 = (sum(c.values()) for c in counts)
     share, odds = size[1] / sum(size), {}
+    least = math.log(len(counts[1])) + margin
+    leading: Counter = Counter()  # of each stem, the documents of its commonest word
+    for w, c in counts[1].items():
+        for s in stems(w)[1:] if w[-1] != "*" else ():
+            leading[s] = max(leading[s], c)
     for s, c1 in counts[1].items():
         c0 = counts[0][s]
         n = c0 + c1
-        # more toxic texts hold it than chance would give, and the odds are high
-        if c1 < 3 or (c1 - n * share) / math.sqrt(n * share * (1 - share)) < z_least * math.sqrt(min(1.0, 4 * (1 - share))):
+        # more toxic texts hold it than chance gives any of so many features (Chernoff bound)
+        if c1 <= n * share or c1 * math.log(c1 / (n * share)) + (c0 * math.log(c0 / (n * (1 - share))) if c0 else 0) < least:
             continue
-        if s[-1] == "*" and c1 / size[1] < 20 * c0 / size[0]:
-            continue  # a stem must be rarer still in other texts than a word
+        if s[-1] == "*" and (c1 / size[1] < 20 * c0 / size[0] or 2 * leading[s] > c1):
+            continue  # a stem must be rarer still in other texts, and stand for several words
         prior = 0.5 + spread * n / (n0 + n1)
         a, b = c1 + prior, c0 + prior
         delta = math.log(a / (n1 + spread - c1)) - math.log(b / (n0 + spread - c0))
@@ -139,13 +156,13 @@ def train(words: list[str], labels: list[int], drift: float = 0.35, z_least: flo
 
 
 def calibrated(model: ToxicityModel, values: list[float], labels: list[int]) -> ToxicityModel:
-    """Set the cut that errs least on the fitted texts, both classes weighing
-    the same, in the middle of its gap."""
+    """Set the cut that errs least on the fitted texts, in the middle of its
+    gap. A share of clean texts weighs three times that of toxic ones."""
     size = [max(1, labels.count(0)), max(1, labels.count(1))]
     raw = sorted(zip((min(20.0, max(-20.0, v)) for v in values), labels, strict=True))
     best, cut, below = math.inf, 0.0, [0, 0]
     for i, (v, y) in enumerate(raw):
-        loss = below[1] / size[1] + (size[0] - below[0]) / size[0]
+        loss = below[1] / size[1] + 3 * (size[0] - below[0]) / size[0]
         if loss < best and (not i or v > raw[i - 1][0]):
             best, cut = loss, (v + raw[i - 1][0]) / 2 if i else v - 1
         below[y] += 1
