@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import class_sample, discard, held_out, spread, text_batches, written
+from .jaccard import shingle_sets
 
 #: Names of result columns.
 RESULTS = ("held_out", "score", "predicted", "passages")
@@ -97,23 +98,52 @@ class ToxicityModel:
         return (1 / (1 + math.exp(-min(50.0, max(-50.0, v - self.cut)))) if v > -math.inf else 0.0), passages
 
 
-def text_group(words: str) -> int:
-    """The same for copies, and mostly for near copies: the least hash of the
-    longer words (of all, if none is long)."""
-    own = words.split()
-    return min((zlib.crc32(w.encode()) for w in [w for w in own if len(w) > 6] or own), default=0)
+#: Shingles of a text that are compared with those of others.
+SKETCH = 256
 
 
-def train(words: list[str], labels: list[int], drift: float = 0.35, margin: float = 0.0, spread: float = 500.0) -> ToxicityModel:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sets of shingles by their sketches, the least ``SKETCH``
+    hashes: exact if the sets are no larger, else an estimate."""
+    whole = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(np.intersect1d(a, b, True), whole, True).sum()) / max(1, len(whole))
+
+
+class Copies:
+    """Tells whether a text of a class came before: one of the same words, or
+    a near copy, whose sets of 5-word shingles agree by ``least`` at least.
+    Near copies are looked up by the first hashes and verified on the sketch."""
+
+    def __init__(self, least: float = 0.8, first: int = 8):
+        self.least, self.first = least, first
+        self.words: set[tuple[int, str]] = set()
+        self.kept: list[np.ndarray] = []
+        self.by_hash: dict[tuple[int, int], list[int]] = {}
+
+    def seen(self, y: int, words: str, sketch: np.ndarray | None) -> bool:
+        if (y, words) in self.words:
+            return True
+        self.words.add((y, words))
+        if sketch is None or not len(sketch):
+            return False
+        keys = [(y, h) for h in sketch[: self.first].tolist()]
+        if any(similarity(sketch, self.kept[k]) >= self.least for k in sorted({k for key in keys for k in self.by_hash.get(key, ())})):
+            return True
+        for key in keys:
+            self.by_hash.setdefault(key, []).append(len(self.kept))
+        self.kept.append(sketch)
+        return False
+
+
+def train(words: list[str], labels: list[int], sketches: list[np.ndarray] | None = None, drift: float = 0.35, margin: float = 0.0, spread: float = 500.0) -> ToxicityModel:
     """Fit on the distinct words (joined by spaces) of labelled texts. ``spread``
     is the weight of the Dirichlet prior; a feature must be significant by
-    ``margin`` nats beyond what the number of features explains. Of copies one
-    text counts. Without a text of each class nothing is toxic."""
-    counts, size, known = (Counter(), Counter()), [0, 0], set()
-    for own, y in zip(words, labels, strict=True):
-        if (y, text_group(own)) in known:
+    ``margin`` nats beyond what the number of features explains. Of copies, and
+    near copies by ``sketches`` if given, one text counts. Without a text of each class nothing is toxic."""
+    counts, size, copies = (Counter(), Counter()), [0, 0], Copies()
+    for own, y, sketch in zip(words, labels, sketches or [None] * len(words), strict=True):
+        if copies.seen(y, own, sketch):
             continue  # copies would make every word of theirs look toxic
-        known.add((y, text_group(own)))
         size[y] += 1
         counts[y].update({s for w in own.split() for s in stems(w)})
     if not size[0] or not size[1]:
@@ -173,8 +203,8 @@ def calibrated(model: ToxicityModel, values: list[float], labels: list[int]) ->
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows: about ``per_class`` of each
     label, never of the held-out fold. Rows without label or id are not used;
-    an id that is labelled twice counts as toxic. Only distinct words and raw
-    scores of the sample come to the driver."""
+    an id that is labelled twice counts as toxic. Only distinct words, sketches
+    and raw scores of the sample come to the driver."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = class_sample(rows.where(~held_out(F.col("doc_id"), *fold)), "y", per_class)
     text_batches(docs.sparkSession)
@@ -184,10 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str =
 
     def distinct(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(tokens(t)))) for t in batch.column(1).to_pylist()], pa.string())], names=["y", "words"])
+            sketch = pa.array([s[:SKETCH].tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(tokens(t)))) for t in batch.column(1).to_pylist()], pa.string()), sketch], names=["y", "words", "sketch"])
 
-    got = kept.mapInArrow(distinct, "y int, words string").collect()
-    model = train([r.words for r in got], [r.y for r in got])
+    got = kept.mapInArrow(distinct, "y int, words string, sketch binary").collect()
+    model = train([r.words for r in got], [r.y for r in got], [np.frombuffer(r.sketch, np.uint64) for r in got])
     shared = (model.odds, model.drift, model.lam, model.k, model.cut)
 
     def raw(batches):

@@ -138,6 +138,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_unrelated_texts_count_although_they_share_a_word():
+    rng, letters = random.Random(4), "bcdfghklmnprst"
+    word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4))
+    lowest = min((word() for _ in range(3000)), key=lambda w: zlib.crc32(w.encode()))
+    clean = [sorted({lowest, *(word() for _ in range(12))}) for _ in range(60)]
+    toxic = [sorted({lowest, "vile", *(word() for _ in range(12))}) for _ in range(30)]
+    model = toxicity.train([" ".join(w) for w in clean + toxic], [0] * 60 + [1] * 30)
+    assert "vile" in model.odds and lowest not in model.odds
+
+
+def test_copies_and_near_copies_count_once(spark):
+    rng = random.Random(6)
+    noise = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    base, long = noise(100), noise(900)
+    near, far = [*base[:50], "changed", *base[51:]], [w for k, w in enumerate(base) if k % 7]
+    texts = [base, base, near, far, long, [*long, "end"], noise(100)]
+    sketches = [s[: toxicity.SKETCH] for s in toxicity.shingle_sets(pa.array([" ".join(t) for t in texts]))]
+    copies = toxicity.Copies()
+    assert [copies.seen(1, " ".join(sorted(t)), s) for t, s in zip(texts, sketches, strict=True)] == [False, True, True, False, False, True, False]
+    assert not copies.seen(0, " ".join(sorted(base)), sketches[0])  # of another class
+    # near copies of one toxic text give no word the weight of many
+    w = [[*base[:k], f"y{k}", *base[k + 1 :]] for k in range(30)]
+    rows = [(k, " ".join(t), 1) for k, t in enumerate(w)] + [(100 + k, " ".join(noise(50)), 0) for k in range(30)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert not toxicity.fit(docs, labels).odds
+
+
 def test_segments_are_maximal():
     rng = random.Random(2)
     for _ in range(200):
