@@ -13,7 +13,12 @@ Work stays linear in groups of copies. Equal sets are one node. Of each prefix
 token, first only the pairs with its hub (the entry nearest to the front) are
 verified; what they link is one component. The exact rest then looks at every
 pair of *different* components that a token still holds, so no link between
-components is lost, and no pair within a component is made.
+components is lost.
+
+Every link thus lies within a component, and there all pairs of different sets
+are verified to count the links of each document. A large component is cut
+into chunks, and every pair of chunks is a task of its own that returns sums
+per set: the work grows with the square of the group, the rows do not.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
 from .components import components
 
+#: Sets, and tokens, of a chunk of a component.
+CELL_SETS, CELL_TOKENS = 1024, 400_000
 #: Steps a doubling of the count sketch's levels.
 STEPS = 16
 _C = [np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64)) for k in range(64)]
@@ -223,16 +230,11 @@ def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return written(full.mapInArrow(run, "a long, b long"), "candidates")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs that
-    pass the second order are read again, by the handle that ``nodes`` has."""
-    spark = docs.sparkSession
-    pairs = by_heads(pairs, nodes, num, den)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = written(nodes.join(ends, "node").select("handle"), "needed", 16)
+def sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """``node, tokens`` of the texts whose handle is in ``need``."""
     text = docs.select("text", F.xxhash64("text").alias("handle")).where(F.col("text").isNotNull())
     found = text.join(side(need), "handle", "left_semi")
-    text_batches(spark)
+    text_batches(docs.sparkSession)
 
     def sets(batches):
         seen = set()
@@ -243,7 +245,16 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, nu
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "tokens"])
 
-    own = written(found.select("text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    return written(found.select("text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs that
+    pass the second order are read again, by the handle that ``nodes`` has."""
+    pairs = by_heads(pairs, nodes, num, den)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = written(nodes.join(ends, "node").select("handle"), "needed", 16)
+    own = sets_of(docs, need, words)
 
     def check(batches):
         for batch in batches:
@@ -267,12 +278,80 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, nu
     return out
 
 
+def cell_links(names: np.ndarray, weight: np.ndarray, side: np.ndarray, same: bool, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a cell that link with others in it, and how many documents each
+    links with there. All pairs of a chunk (``same``), or of two chunks, whose
+    sizes allow it are verified on whole sets."""
+    size = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(size, kind="stable")
+    right = order if same else order[side[order] == 1]
+    ids = np.concatenate([token[start[k] : start[k + 1]] for k in right] or [token[:0]])
+    begin, many = np.concatenate([[0], np.cumsum(size[right])]), size[right]
+    near, present = np.zeros(len(sets), np.int64), np.zeros(len(token) and int(token.max()) + 1, bool)
+    for at, k in enumerate(right if same else order[side[order] == 0]):
+        n = size[k]
+        # sizes ascend: from the least partner (behind this one in its own chunk) to the largest
+        lo = max(at + 1 if same else 0, int(np.searchsorted(den * many, num * n)))
+        hi = int(np.searchsorted(num * many, den * n, "right"))
+        if lo >= hi:
+            continue
+        own = token[start[k] : start[k + 1]]
+        present[own] = True
+        both = np.add.reduceat(present[ids[begin[lo] : begin[hi]]], begin[lo:hi] - begin[lo], dtype=np.int64)
+        present[own] = False
+        hit = right[lo:hi][den * both >= num * (n + many[lo:hi] - both)]
+        near[k] += weight[hit].sum()
+        near[hit] += weight[k]
+    linked = near > 0
+    return names[linked], near[linked]
+
+
+def link_counts(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``node, near``: the documents of other sets that a set links with."""
+    own = written(roots.join(nodes.select("node", "n", "weight", "handle"), "node"), "grouped", 16)
+    need = written(own.select("handle"), "needed", 16)
+    sets = sets_of(docs, need, words)
+    parts = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_TOKENS)).cast("int")
+    rows = own.join(own.groupBy("root").agg(parts.alias("g")), "root").withColumn("c", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"), F.when(F.col("c") > k, 1).otherwise(0).alias("side")))
+    rows = rows.select("root", "node", "weight", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "node", "weight")
+    full = rows.join(sets, "node").select("root", "i", "j", "side", "node", "weight", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    text_batches(docs.sparkSession, 1024)
+
+    def run(batches):
+        mark, rows = None, []
+
+        def flush():
+            if len(rows) > 1:
+                side, names, weight = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+                found = cell_links(names, weight, side, mark[1] == mark[2], [np.frombuffer(r[3], np.uint64) for r in rows], num, den)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "near"])
+
+        for batch in batches:
+            root, i, j, *own = (batch.column(k).to_pylist() for k in range(7))
+            for k, row in enumerate(zip(*own, strict=True)):
+                if (root[k], i[k], j[k]) != mark:
+                    yield from flush()
+                    mark, rows = (root[k], i[k], j[k]), []
+                rows.append(row)
+        yield from flush()
+
+    out = written(full.mapInArrow(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near")), "near", 16)
+    discard(own, need, sets)
+    return out
+
+
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 24) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, handle, kept``.
+    """One row per document: ``doc_id, n_shingles, component_id, n_links, handle,
+    kept``.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of
     distinct shingles of ``words`` words (A-Z in lower case). ``component_id``
-    is the smallest doc_id reachable by links, itself included; ``handle`` is
+    is the smallest doc_id reachable by links, itself included; ``n_links`` the
+    number of other documents (rows) that it links with directly; ``handle`` is
     the hash of the text, and ``kept`` marks the row of the component with the
     smallest id (null last) and handle. A null, empty or wordless text has no
     shingle, links with nothing and is kept; repeated rows and equal sets link;
@@ -289,8 +368,8 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
     levels, load = token_levels(signed, bits)
     members = signed.where(F.col("slice").isNull()).select("doc_id", "node", "n", "handle", "head")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "handle"))
-    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"))
-    nodes = written(nodes.select("node", "n", "head", "first", F.col("first.handle").alias("handle")), "nodes")
+    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("weight"))
+    nodes = written(nodes.select("node", "n", "head", "weight", "first", F.col("first.handle").alias("handle")), "nodes")
 
     # what the first order brings together; tokens of one set alone go
     held = written(shared_entries(entries(docs, levels, load, words, bits, num, den)), "held")
@@ -313,15 +392,18 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
     both = written(links.unionByName(more), "all-links")
     roots = components(both)
 
-    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = link_counts(docs, nodes, roots, words, num, den)
+
+    named = nodes.select("node", "first", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
-    named = named.join(best, "root").select("node", "best")
+    # equal sets link with each other
+    named = named.join(best, "root").join(near, "node", "left").select("node", "best", (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     out = members.drop("head").join(named, "node", "left")
     alone = F.col("n") == 0
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("handle").eqNullSafe(F.col("best.handle")))
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"), "handle", kept.alias("kept"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "handle", kept.alias("kept"))
     out = written(out, "groups")
-    discard(signed, nodes, links, more, both, roots)
+    discard(signed, nodes, links, more, both, roots, near)
     return out
 
 

@@ -98,6 +98,25 @@ def test_group_of_near_copies_without_a_base(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(docs, DOCS)).collect()), key=str) == brute(docs)
 
 
+def brute_counts(docs):
+    sets = [shingles(t) for _, t in docs]
+    return [sum(a != b and bool(x) and bool(y) and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("seed,chunk", [(1, 1024), (2, 3)])
+def test_every_link_is_counted(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(jaccard, "CELL_SETS", chunk)
+    base = [f"w{k}" for k in range(120)]
+    near = [" ".join([*base[:k], f"c{k}", *base[k + 1 :]]) for k in range(0, 120, 4)]
+    texts = corpus(seed, 100) + near + near[:3] * 4 + ["", " ", "one two"] * 2
+    texts += [" ".join(f"{x}{k // 25}" if k < 50 else f"v{k}" for k in range(300)) for x in "abc"] + [" ".join([f"b{k}" for k in range(20)] + [f"v{k}" for k in range(20, 300)])]
+    docs = list(enumerate(texts))
+    rows = {r.doc_id: r for r in jaccard.join(spark.createDataFrame(docs, DOCS)).collect()}
+    want = brute_counts(docs)
+    assert [rows[k].n_links for k, _ in docs] == want and max(want) >= len(near)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows.values()), key=str) == brute(docs)
+
+
 def test_heads_never_reject_a_link():
     rng = np.random.default_rng(0)
     for _ in range(300):
