@@ -63,28 +63,31 @@ class NoticeSearch:
         self.machine.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """Verified matches in normalised text: notice, start, end, edits; the
-        best match of every window that a piece opened."""
-        windows: dict[int, list[list[int]]] = {}
+        """Verified matches in normalised text: notice, start, end, edits; of
+        every window that a piece opened the best match, and likewise what lies
+        before and behind it, until nothing of the notice is left."""
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.machine.iter(text):
             for k, at in where:
                 phrase, _, edits = self.notices[k]
-                lo = max(0, end + 1 - size - at - edits)
-                hi = min(len(text), end + 1 - size - at + len(phrase) + edits)
-                spans = windows.setdefault(k, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+                lo = end + 1 - size - at - edits
+                windows.setdefault(k, []).append((max(0, lo), min(len(text), lo + len(phrase) + 2 * edits)))
         out = []
         for k, spans in windows.items():
-            for lo, hi in spans:
-                at = lo
-                while m := self.patterns[k].search(text, at, hi):
-                    if m.end() == m.start():
-                        break
+            phrase, _, edits = self.notices[k]
+            todo: list[tuple[int, int]] = []
+            # a piece from further back in the notice may open its window earlier
+            for lo, hi in sorted(spans):
+                if todo and lo <= todo[-1][1]:
+                    todo[-1] = (todo[-1][0], max(todo[-1][1], hi))
+                else:
+                    todo.append((lo, hi))
+            while todo:
+                lo, hi = todo.pop()
+                m = self.patterns[k].search(text, lo, hi) if hi - lo >= len(phrase) - edits else None
+                if m and m.end() > m.start():
                     out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = m.end()
+                    todo += [(lo, m.start()), (m.end(), hi)]
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -111,6 +111,25 @@ def test_fuzzy_notices():
     assert not search.find(" nothing of this kind stands here at all ")
 
 
+def test_matches_before_the_best_of_a_window_are_kept():
+    search = licenses.NoticeSearch()
+    k = [p for p, _, _ in licenses.NOTICES].index("licensed under the mit license")
+    text = " licensed under the mit licence licensed under the mit license "
+    assert [m for m in search.find(text) if m[0] == k] == [(k, 1, 31, 1), (k, 32, 62, 0)]
+    rng = random.Random(5)
+    for k, (phrase, _, most) in enumerate(licenses.NOTICES):
+        for _ in range(10):
+            # repeated notices with fewer and fewer edits, side by side
+            parts = []
+            for edit in range(min(most, 3), -1, -1):
+                t = list(phrase)
+                for at in rng.sample(range(1, len(t) - 1), edit):
+                    t[at] = "0"
+                parts.append("".join(t))
+            found = [m for m in search.find(f" {' '.join(parts)} ") if m[0] == k]
+            assert len(found) == len(parts) and sum(m[3] for m in found) == sum(edits(phrase, p) for p in parts)
+
+
 def truth(spark, column):
     docs = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet")
