@@ -54,6 +54,14 @@ def _(spark, sf):
     return J.in_any_interval(table(spark, sf, "orders"), "o_orderdate", iv, "start", "end").select("o_orderkey")
 
 
+@query("P8_in_all_intervals", "WITH d AS (SELECT DISTINCT l_shipdate AS s FROM lineitem) SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM d WHERE o_orderdate BETWEEN s AND s + INTERVAL 2 DAY)")
+def _(spark, sf):
+    """P8 over the intervals of all line items, merged by supplier."""
+    li = table(spark, sf, "lineitem")
+    iv = merge_intervals(li.select("l_suppkey", F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("interval 2 days")).alias("end")), ["l_suppkey"], "start", "end")
+    return J.in_any_interval(table(spark, sf, "orders"), "o_orderdate", iv.select("start", "end").distinct(), "start", "end").select("o_orderkey")
+
+
 @query("J14_semi_anti", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'semi' ELSE 'anti' END AS side FROM customer")
 def _(spark, sf):
     c, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
@@ -149,6 +157,13 @@ def _(spark, sf):
     return S.required_months(li, "start", "end")
 
 
+@query("S10_all_required_months", "SELECT DISTINCT year(d)::INT AS year, month(d)::INT AS month FROM (SELECT unnest(generate_series(date_trunc('month', l_shipdate), date_trunc('month', l_shipdate + INTERVAL 40 DAY), INTERVAL 1 MONTH)) AS d FROM lineitem)")
+def _(spark, sf):
+    """S10 over all line items."""
+    li = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("interval 40 days")).alias("end"))
+    return S.required_months(li, "start", "end")
+
+
 @query("S12_row_count", "SELECT count(*) AS n FROM lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"))
