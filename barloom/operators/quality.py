@@ -3,6 +3,8 @@ issues, or raises through ``require``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .windows import minutes_between, ordered
@@ -65,6 +67,12 @@ def dedupe_or_raise(df: DataFrame, key: list[str]) -> DataFrame:
     return d
 
 
+def snapshot(parts: list[DataFrame], key: list[str], order: list[str]) -> DataFrame:
+    """All parts in one ordered table: equal rows become one, and rows that
+    differ under one key raise."""
+    return dedupe_or_raise(reduce(DataFrame.unionByName, parts), key).orderBy(*order)
+
+
 def status(n_fail: Column, n_warn: Column) -> Column:
     return F.when(n_fail > 0, "FAIL").when(n_warn > 0, "WARN").otherwise("PASS")
 

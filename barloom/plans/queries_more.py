@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import expr as X
 from ..operators import indicators as I
 from ..operators import joins as J
+from ..operators import quality as Q
 from ..operators import targets as T
 from ..operators.windows import islands
 from ..sources import tables as S
@@ -79,6 +80,14 @@ def _(spark, sf):
     return a.unionByName(b).distinct()
 
 
+@query("S20_whole_snapshot", "SELECT o_orderkey, o_orderdate, o_custkey, o_orderstatus FROM orders")
+def _(spark, sf):
+    """All orders from three parts, of which one comes twice."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus")
+    parts = [o.where(F.pmod("o_orderkey", F.lit(3)) == k) for k in (0, 1, 2, 0)]
+    return Q.snapshot(parts, ["o_orderkey"], ["o_orderdate", "o_orderkey"])
+
+
 @query("S27_validator_windows", sql("ss", "SELECT DISTINCT trading_date, session, session_start, session_end FROM ss WHERE session <> 'overnight'"))
 def _(spark, sf):
     return with_windows(raw_bars(spark, sf)).where("session <> 'overnight'").select("trading_date", "session", "session_start", "session_end").distinct()

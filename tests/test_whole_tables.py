@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from barloom.operators.quality import QualityError
 from barloom.plans import registry
 
 DAY = timedelta(days=1)
@@ -45,3 +46,13 @@ def test_merged_intervals_of_all_line_items(spark, store, name, gap):
     if gap:
         keys = sorted({k for k, _, _ in want})
         assert sorted(run(spark, "E9_all_interval_keys", sf)) == [(k, sum((e - s) // timedelta(minutes=1) + 1 for q, s, e in want if q == k), sum(q == k for q, _, _ in want), sum((e - s).days + 1 for q, s, e in want if q == k)) for k in keys]
+
+
+def test_snapshot_of_all_orders(spark, store, tmp_path):
+    sf, _, orders = store
+    want = sorted(((k, at, c, status) for k, c, status, at in orders), key=lambda r: (r[1], r[0]))
+    assert run(spark, "S20_whole_snapshot", sf) == want
+    bad = [*orders, (5, 99, "F", T0)]  # another row under a known key
+    spark.createDataFrame(bad, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "bad" / "orders.parquet"))
+    with pytest.raises(QualityError):
+        run(spark, "S20_whole_snapshot", str(tmp_path / "bad"))
