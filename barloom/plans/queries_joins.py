@@ -137,7 +137,7 @@ def _(spark, sf):
 @query("S7_bounded_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate <= TIMESTAMP '1994-06-30'")
 def _(spark, sf):
     last = F.lit("1994-06-30 00:00:00").cast("timestamp_ntz")
-    return S.bounded(table(spark, sf, "lineitem"), last_time=last, ts="l_shipdate", verify=False).select("l_orderkey", "l_linenumber", "l_quantity")
+    return S.bounded(table(spark, sf, "lineitem"), last_time=last, ts="l_shipdate").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("S8_sealed_scan", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'validation' END AS split FROM orders WHERE o_orderstatus IN ('F', 'O')")

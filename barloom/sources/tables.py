@@ -86,8 +86,10 @@ def bounded(df: DataFrame, last_date=None, last_time=None, day: str = "trading_d
     if last_time is not None:
         df = df.where(F.col(ts) <= F.lit(last_time))
     if verify:
-        top = df.agg(F.max(day).alias("d") if last_date is not None else F.lit(None).alias("d"), F.max(ts).alias("t") if last_time is not None else F.lit(None).alias("t")).first()
-        if (top.d is not None and str(top.d) > str(last_date)) or (top.t is not None and str(top.t) > str(last_time)):
+        # compared by the engine: a bound may be a column
+        later = lambda c, last: F.max(c) > F.lit(last) if last is not None else F.lit(False)
+        top = df.agg(later(day, last_date).alias("d"), later(ts, last_time).alias("t")).first()
+        if top.d or top.t:
             raise SchemaError("a bounded scan returned later rows")
     return df
 

@@ -3,9 +3,11 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators.quality import QualityError
-from barloom.plans import registry
+from barloom.plans import queries_joins, registry
+from barloom.sources import tables as S
 
 DAY = timedelta(days=1)
 T0 = datetime(1996, 1, 1)
@@ -56,3 +58,32 @@ def test_snapshot_of_all_orders(spark, store, tmp_path):
     spark.createDataFrame(bad, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "bad" / "orders.parquet"))
     with pytest.raises(QualityError):
         run(spark, "S20_whole_snapshot", str(tmp_path / "bad"))
+
+
+class Leaky:
+    """A scan whose filter lets every row through."""
+
+    def __init__(self, df):
+        self.df = df
+
+    def where(self, condition):
+        return self
+
+    def agg(self, *columns):
+        return self.df.agg(*columns)
+
+    def select(self, *columns):
+        return self.df.select(*columns)
+
+
+def test_bounded_scan_checks_what_comes_back(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 1, 5.0, datetime(1994, 6, 1)), (1, 2, 5.0, datetime(1994, 7, 1))], "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz")
+    for last in (datetime(1994, 6, 30), F.lit("1994-06-30 00:00:00").cast("timestamp_ntz")):
+        with pytest.raises(S.SchemaError):
+            S.bounded(Leaky(d), last_time=last, ts="l_shipdate")
+        assert S.bounded(d, last_time=last, ts="l_shipdate").count() == 1
+    with pytest.raises(S.SchemaError):
+        S.bounded(Leaky(d.withColumn("day", F.to_date("l_shipdate"))), last_date=datetime(1994, 6, 30).date(), day="day")
+    monkeypatch.setattr(queries_joins, "table", lambda *_: Leaky(d))
+    with pytest.raises(S.SchemaError):
+        registry.QUERIES["S7_bounded_scan"](spark, "")
