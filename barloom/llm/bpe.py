@@ -242,8 +242,9 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decod
     ``outputs`` may name ``ids`` (array), ``decoded`` (text) and ``digests``
     (``ids_sha256`` of the decimal ids joined by commas, ``decoded_sha256`` of
     the UTF-8 text). ``n_tokens`` always comes. Null texts count as empty and
-    give no tokens; repeated rows give repeated rows; other columns are not
-    read. The tokenizer file is read on the driver and broadcast (about 2 MB);
+    give no tokens; repeated rows give repeated rows; an empty table gives no
+    rows; a very long text is one row of a batch, and merging it takes n log n;
+    other columns are not read. The tokenizer file is read on the driver and broadcast (about 2 MB);
     a worker's word cache is bounded.
     """
     spark = docs.sparkSession

@@ -83,13 +83,16 @@ def format_events(events: DataFrame) -> DataFrame:
     One row per final message: ``conv_id, turn, number`` (of the message in its
     turn), ``role, segment, loss_from, loss_to`` (span in the segment, null
     unless the assistant speaks). Events of a turn go by ``seq``, ties by kind,
-    role and text; a turn's first event opens a message whatever its kind;
-    ``regenerate`` and ``edit`` act on the last message of their turn. Null
+    role and text; a turn's first event opens a message whatever its kind. An
+    event names the turn that it acts on, however late it is logged, and
+    ``regenerate`` and ``edit`` act on the last message of that turn: so turns
+    fold by themselves, and a hot conversation is dealt out to many tasks. Null
     text and role count as empty, a null kind as ``message``; null ids and turns
-    are values of their own. Turns of a conversation are dealt out, so a hot
-    conversation is folded by many tasks.
+    are values of their own. A repeated ``message`` row opens a message again, a
+    repeated ``delta`` is appended again; an empty table gives no rows; columns
+    beyond the six are not read, whatever their names.
     """
-    text_batches(events.sparkSession, 1024)
+    text_batches(events.sparkSession)
     ids, turns = (events.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     rows = events.select("conv_id", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "seq")
     rows = rows.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
@@ -124,7 +127,7 @@ def read_back(messages: DataFrame) -> DataFrame:
     n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. Messages
     stream through in order; memory holds hash states, not texts. (A digest of
     one conversation is a chain: it cannot be split over tasks.)"""
-    text_batches(messages.sparkSession, 1024)
+    text_batches(messages.sparkSession)
     ids = messages.schema["conv_id"].dataType.simpleString()
     rows = messages.select("conv_id", "segment", "loss_from", "loss_to", "turn", "number").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "number")
 

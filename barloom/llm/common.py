@@ -36,11 +36,26 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
-def text_batches(spark: SparkSession, rows: int = 128) -> None:
-    """Keep Arrow batches of whole texts small: a batch is bounded in rows, and
-    in bytes where this Spark version can."""
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 512 << 10
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small by their bytes. The setting holds
+    for the session, so it is one constant for all operators, and a smaller one
+    of the user stays."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def sliced(batches, rows: int = 128):
+    """Batches of at most ``rows`` rows, where work memory follows the rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,13 +89,13 @@ def spread(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     return df.repartition(cores) if size < small and len(df.inputFiles()) < cores else df
 
 
-def written(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, what: str, packed: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder and read again. Lost executors
-    cost no more than the tasks that ran on them. ``files`` bounds the files of
-    a table that is known to be small."""
+    cost no more than the tasks that ran on them. ``packed`` deals a narrow table
+    into files of like size first, as many as its bytes ask for."""
     spark = df.sparkSession
-    if files is not None:
-        df = df.coalesce(files)
+    if packed:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/barloom/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -153,18 +168,44 @@ def ngram_counts(column: pa.Array, dim: int, sizes: tuple[int, ...] = (1, 2, 3),
     return out.reshape(rows, dim)
 
 
-def class_sample(rows: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """A repeatable sample of about ``per_class`` rows of each label value: the
-    rows whose hashed key is below a bound set from the counts. A last limit
-    holds the size even if one key repeats without end."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows
+def class_sample(rows: DataFrame, label: str, per_class: int, keys: tuple[str, ...] = ("doc_id",), most: int | None = None) -> DataFrame:
+    """A repeatable sample of about ``per_class`` rows of each label value, fewer
+    if the label has so many values that this makes more than ``most`` rows: the
+    rows whose hashed keys are below a bound set from the counts. Nothing hangs
+    on the order of rows; rows with equal keys come all or not at all, so the
+    caller drops repeats of them to hold the size. The counts, one a label
+    value, come to the driver as the model's values do."""
     grain = 1 << 24
-    bound = F.lit(0)
-    for value, n in counts.items():
-        bound = F.when(F.col(label) == value, F.lit(int(grain * min(1.0, per_class / n)))).otherwise(bound)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(grain)) < bound).limit(2 * per_class * len(counts) + 1000)
+    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
+    if most is not None:
+        per_class = max(1, min(per_class, most // max(1, len(counts))))
+    bounds = [(r[label], int(grain * min(1.0, per_class / r["n"]))) for r in counts]
+    kind = rows.schema[label].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(bounds, f"_label {kind}, _bound long")
+    drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(grain)))
+    return drawn.join(F.broadcast(table), F.col(label) == F.col("_label")).where("_draw < _bound").drop("_draw", "_label", "_bound")
+
+
+def dealt_pairs(rows: DataFrame, by: list[str], parts, node: str = "node") -> DataFrame:
+    """Deal the rows of each group ``by`` into cells that hold all its pairs.
+    ``parts`` is an aggregate that tells into how many chunks a group is cut, by
+    the hash of ``node``; every pair of chunks is a cell ``i, j``, and ``side``
+    tells to which of the two the row belongs. A row has a copy per chunk."""
+    sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), parts).cast("int").alias("_g"))
+    rows = rows.join(sizes, by).withColumn("_c", F.pmod(F.xxhash64(node, F.lit(3)), F.col("_g")).cast("int"))
+    cell = lambda k: F.struct(F.least(k, F.col("_c")).alias("i"), F.greatest(k, F.col("_c")).alias("j"), F.when(F.col("_c") > k, 1).otherwise(0).alias("side"))
+    return rows.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.col("_g") - 1), cell))).drop("_g", "_c")
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Places and values of what is not 0 in a row of counts."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint32).tobytes() + counts[at].astype(np.uint32).tobytes()
+
+
+def unsparse(raw: bytes, into: np.ndarray) -> None:
+    both = np.frombuffer(raw, np.uint32)
+    into[both[: len(both) // 2]] = both[len(both) // 2 :]
 
 
 _SPACE = np.zeros(256, bool)
