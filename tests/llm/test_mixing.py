@@ -53,7 +53,7 @@ def test_mix_against_prefix_walk(spark):
         for i, t, src, _ in docs:
             if src == s:
                 n = size(t)
-                u = (int(hashlib.md5(f"11:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"11:{i}:{hashlib.md5((t or chr(0)[:0]).encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 w = max(0.25, 1 - abs(len(t or "") / max(n, 1) - 6) / 12) * (0.5 + 0.5 * min(1, n / 100))
                 own.append((-math.log(u) / w, i, n))
         whole = int(want[s] // sizes[s]) if sizes[s] else 0
@@ -74,3 +74,29 @@ def test_mix_against_prefix_walk(spark):
     # reruns agree; an empty table gives no rows
     assert sorted(mixing.mix(df).collect()) == sorted(rows)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_order_of_rows_changes_nothing(spark):
+    text = lambda n: " ".join(["word"] * n)
+    rows = [(7, text(9), "a", k % 3) for k in range(60)] + [(None, text(9 + k % 5), "a", 0) for k in range(40)] + [(k, text(5), "b", 1) for k in range(5)]
+    keep = ["doc_id", "text", "source", "extra"]
+    schema = "doc_id long, text string, source string, extra long"
+    a, b = (spark.createDataFrame(r, schema).repartition(n) for r, n in ((rows, 1), (rows[::-1], 3)))
+    got = [sorted(map(str, mixing.mixed_documents(d, keep).collect())) for d in (a, b)]
+    assert got[0] == got[1] and 0 < len(got[0]) < 3 * len(rows)
+    taken = [sorted((str(r.doc_id), r.size, r.taken) for r in mixing.mix(d).collect()) for d in (a, b)]
+    assert taken[0] == taken[1] and len(taken[0]) == len(rows)
+    assert sum(x[2] for x in taken[0]) == sum(len(r.text.split()) for r in mixing.mixed_documents(a, keep).collect())
+
+
+def test_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(1, "one two three", "a")] * 500 + [(2, "x y", "b")] * 40 + [(3, "z", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and len({r.taken for r in got if r.doc_id == 1}) == 2
+    for s in (1, 2, 3):
+        own = [r for r in got if r.doc_id == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= own[0].size
+    docs = mixing.mixed_documents(df, ["doc_id", "text", "source"]).collect()
+    assert sum(len(r.text.split()) for r in docs) == sum(r.taken for r in got)
