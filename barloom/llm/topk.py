@@ -4,8 +4,9 @@ Vectors become sparse rows of integer weights. Candidates lie in blocks, each
 turned into postings (dimension -> places and weights). For every query row,
 its nonzero terms scatter weight times posting into one dense array of scores
 over the block; partition selection keeps the block's best, and the best of
-all blocks are merged. Queries and candidates meet in a grid of bounded cells,
-so neither side is ever broadcast or gathered.
+all blocks are merged. Queries and candidates meet in a grid of cells: a block
+of queries stays in memory, candidates stream past it in blocks, so neither
+side is ever broadcast or gathered. Equal rows are one candidate with a count.
 """
 
 from __future__ import annotations
@@ -16,26 +17,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import text_batches
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 4096
+#: Queries of a cell; candidates of a block; candidates of a cell if there are
+#: cells enough for all cores.
+QUERY_BLOCK, CANDIDATE_BLOCK, CANDIDATE_CELL = 8192, 4096, 65536
+LONG = 2**63 - 1
 
 
 def integer_rows(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """``vec_id, w``: floor(scale * x) with x as double. Rows whose id or
-    vector is null, or whose vector holds a null, a non-finite value or one
-    whose weight does not fit 62 bits, take no part. An empty vector scores 0."""
+    """``vec_id, w``: floor(scale * x) with x as double, kept as a double, which
+    holds it exactly. Rows whose id or vector is null, or whose vector
+    holds a null or a non-finite value, take no part; neither do doubles above
+    7e305, whose weight is no finite double. An empty vector scores 0."""
     x = F.col("embedding")
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float(1 << 62)))
-    weights = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < float("inf")))
+    # from 2^52 on every double is whole
+    floor = lambda v: F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v)
+    weights = F.transform(x, lambda v: floor(v.cast("double") * scale))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("w"))
 
 
 def dense(column: pa.Array) -> np.ndarray:
     """A matrix of the rows, short ones filled with zeros."""
-    rows = [np.asarray(r, np.int64) for r in column.to_pylist()]
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+    n = len(column)
+    offsets = np.asarray(column.offsets, np.int64)
+    size = np.diff(offsets)
+    values = np.asarray(column.values, np.float64)[offsets[0] : offsets[-1]] if n else np.zeros(0)
+    out = np.zeros((n, int(size.max(initial=0))))
+    out[np.arange(out.shape[1])[None] < size[:, None]] = values
     return out
 
 
@@ -62,6 +70,8 @@ def block_scores(query: np.ndarray, index: list[tuple[np.ndarray, np.ndarray]],
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
     if len(score) > k:
         least = np.partition(score, len(score) - k)[len(score) - k]
         at = np.flatnonzero(score >= least)
@@ -70,64 +80,109 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
+def whole(x: np.ndarray, kind) -> np.ndarray:
+    """Weights as numbers whose products and sums are exact."""
+    if kind is not object:
+        return x.astype(kind)
+    out = np.zeros(x.shape, object)
+    out[...] = [int(v) for v in x.ravel()] if x.ndim == 1 else [[int(v) for v in r] for r in x]
+    return out
+
+
+def exact_kind(a: float, b: float, terms: int):
+    """The fastest numbers that hold every sum of ``terms`` products exactly."""
+    big = a * b * max(1, terms)
+    return np.float64 if big < 2**53 else np.int64 if big < 2**62 else object
+
+
+def order_key(score: int) -> str:
+    """Text that orders scores beyond 64 bits as their values; empty for others."""
+    if -LONG < score < LONG:
+        return ""
+    digits = str(abs(score))
+    key = f"{len(digits):05d}{digits}"
+    return "+" + key if score > 0 else "-" + key.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best candidates
-    (``vectors`` and ``queries`` as ``integer_rows`` gives them; scores must fit
-    64 bits). Rows with the query's own id are no candidates of it. A query row
-    that is repeated is answered once; two vectors under one query id are
-    answered each, in one list of ranks a vector."""
+    (``vectors`` and ``queries`` as ``integer_rows`` gives them). Rows with the
+    query's own id are no candidates of it. A query row that is repeated is
+    answered once; two vectors under one query id are answered each, in one list
+    of ranks a vector; candidate rows that are repeated take a rank each. Vectors
+    of unlike lengths meet in the terms that both have. Scores are compared as
+    whole numbers of any size; one beyond 64 bits is shown as the nearest long.
+    Empty tables give no rows; other columns are not read.
+    """
     spark = vectors.sparkSession
-    text_batches(spark, CANDIDATE_BLOCK)
-    queries = queries.withColumn("variant", F.xxhash64("w")).dropDuplicates(["vec_id", "variant"])
+    text_batches(spark)
+    queries = queries.select("vec_id", "w").distinct()
+    vectors = vectors.groupBy("vec_id", "w").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
     n_queries, n = queries.count(), vectors.count()
-    q_blocks, cells = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
+    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    cells = max(1, -(-n // CANDIDATE_CELL), min(-(-n // CANDIDATE_BLOCK), 3 * spark.sparkContext.defaultParallelism // q_blocks))
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
-    q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q"), spread(cells).alias("cell"), F.lit(0).alias("kind"), "vec_id", "variant", "w")
-    c = vectors.select(spread(q_blocks).alias("q"), F.pmod(F.xxhash64("vec_id", "w"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("kind"), "vec_id", F.lit(0).cast("long").alias("variant"), "w")
+    q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q"), spread(cells).alias("cell"), F.lit(0).alias("kind"), "vec_id", F.xxhash64("w").alias("n"), "w")
+    c = vectors.select(spread(q_blocks).alias("q"), F.pmod(F.xxhash64("vec_id", "w"), F.lit(cells)).cast("int").alias("cell"), F.lit(1).alias("kind"), "vec_id", "n", "w")
     grid = q.unionByName(c).repartition("q", "cell").sortWithinPartitions("q", "cell", "kind")
 
     def run(batches):
-        cell, names, rows, top = None, [], [], {}
+        cell, names, rows, top, most = None, [], [], {}, []
 
         def results():
             if top:
-                found = [(*names[j], int(i), int(s)) for j, (ids, score) in sorted(top.items()) for i, s in zip(ids, score, strict=True)]
-                cols = list(zip(*found, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "variant", "vec_id", "score"])
+                found = [(*names[j], int(i), max(-LONG, min(LONG, int(s))), order_key(int(s))) for j, (ids, score) in sorted(top.items()) for i, s in zip(ids, score, strict=True)]
+                cols = list(zip(*found, strict=True)) or [[]] * 5
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["query_id", "variant", "vec_id", "score", "key"])
+
+        def meet(ids, block, large):
+            """All queries of the cell against a block."""
+            ready: dict = {}
+            for j, row in enumerate(rows):
+                kind = exact_kind(most[j], large, min(len(row), block.shape[1]))
+                if kind not in ready:
+                    ready[kind] = [(at, whole(w, kind)) for at, w in postings(block)]
+                score = block_scores(whole(row, kind), ready[kind], len(ids), kind)
+                other = ids != names[j][0]
+                own, score = (ids, score) if other.all() else (ids[other], score[other])
+                at = best(score, own, k)
+                if j in top:
+                    if not top[j][1].dtype == score.dtype:
+                        score, top[j] = whole(score, object), (top[j][0], whole(top[j][1], object))
+                    own, score = np.concatenate([top[j][0], own[at]]), np.concatenate([top[j][1], score[at]])
+                    at = best(score, own, k)
+                top[j] = (own[at], score[at])
 
         for batch in batches:
             keys = batch.column(0).to_numpy().astype(np.int64) * (1 << 32) + batch.column(1).to_numpy()
-            kinds = batch.column(2).to_numpy()
-            mark = keys * 2 + kinds
+            mark = keys * 2 + batch.column(2).to_numpy()
             bounds = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), len(mark)]
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if lo == hi:
                     continue
                 if keys[lo] != cell:
                     yield from results()
-                    cell, names, rows, top = keys[lo], [], [], {}
+                    cell, names, rows, top, most = keys[lo], [], [], {}, []
                 part = batch.slice(lo, hi - lo)
-                if kinds[lo] == 0:
-                    names += zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
-                    rows += list(dense(part.column(5)))
+                block, times = dense(part.column(5)), part.column(4).to_numpy()
+                large = np.abs(block).max(1, initial=0)
+                if mark[lo] % 2 == 0:
+                    names += zip(part.column(3).to_pylist(), times.tolist(), strict=True)
+                    rows += list(block)
+                    most += large.tolist()
                     continue
-                ids, block = part.column(3).to_numpy(), dense(part.column(5))
-                big = float(np.abs(block).max(initial=0)) * max((float(np.abs(r).max(initial=0)) for r in rows), default=0.0) * max(1, block.shape[1])
-                kind = np.float64 if big < 2**53 else np.int64  # exact either way
-                index = [(at, w.astype(kind)) for at, w in postings(block)]
-                for j, row in enumerate(rows):
-                    score = block_scores(row.astype(kind), index, len(ids), kind)
-                    other = ids != names[j][0]
-                    own, score = (ids, score) if other.all() else (ids[other], score[other])
-                    at = best(score, own, k)
-                    if j in top:
-                        own, score = np.concatenate([top[j][0], own[at]]), np.concatenate([top[j][1], score[at]])
-                        at = best(score, own, k)
-                    top[j] = (own[at], score[at])
+                at = np.repeat(np.arange(len(block)), times)
+                ids, block, large = part.column(3).to_numpy()[at], block[at], large[at]
+                # the few vectors with weights beyond a float's whole numbers go by themselves
+                huge = large >= 2.0**26
+                for own in (~huge, huge):
+                    if own.any():
+                        meet(ids[own], block[own], float(large[own].max()))
         yield from results()
 
-    part = grid.mapInArrow(run, "query_id long, variant long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "variant").orderBy(F.col("score").desc(), "vec_id")
+    part = grid.mapInArrow(run, "query_id long, variant long, vec_id long, score long, key string")
+    order = Window.partitionBy("query_id", "variant").orderBy(F.col("score").desc(), F.col("key").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
