@@ -4,12 +4,14 @@ Vectors are scaled to length 1 and grouped into classes of equal direction and
 label. A table hashes a vector by pseudo-random rotations (sign flips and a
 fast Hadamard transform, three times): two rotations give two nearest signed
 axes, which name a bucket together. Multiprobe: a vector is also filed under
-the next nearest axes. Pairs that share a bucket of a label are verified by
-exact cosine in double precision.
-
-A pair is counted in the first bucket that both share, so it counts once. A
-large bucket is cut into chunks, and every pair of chunks is a task of its
-own: nothing is capped and no bucket is gathered.
+the next nearest axes. Pairs that share a bucket of a label and whose sketches
+(signs of 64 rotated components) are not far apart are candidates; they are
+verified by exact cosine in double precision.
+
+Only names and sketches travel to the buckets; vectors follow for the
+candidates that join groups (see ``components.linked``), and once for each
+chunk of a component, where all pairs are verified to count the links. Nothing
+is capped and no bucket is gathered.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_batches, written
-from .components import components
+from .common import discard, text_batches, written
+from .components import link_counts, linked
 
-TABLES, PROBES, CHUNK = 8, 4, 2048
+TABLES, PROBES = 8, 4
+#: Classes, and components of vectors, in a chunk of a component.
+CELL_ROWS, CELL_VALUES = 1024, 1 << 21
+#: Signs of a sketch, and how many may differ. At a cosine of 0.98 a sign differs
+#: with a chance of 0.064, so 16 of 64 are passed once in about 10^7 links.
+BITS, MOST = 64, 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -41,23 +48,33 @@ def rotations(dim: int, seed: int, tables: int = TABLES) -> np.ndarray:
     return np.random.default_rng([seed, width]).choice([-1.0, 1.0], (tables, 2, 3, width))
 
 
-def bucket_keys(x: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> np.ndarray:
+def rotated(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    for flip in flips:
+        x = hadamard(x * flip)
+    return x
+
+
+def bucket_keys(x: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers (rows x tables * probes) of vectors of length 1, the
-    likeliest first: the axis pairs with the smallest sums of distances."""
+    likeliest first: the axis pairs with the smallest sums of distances; and the
+    sketch of each (0 for vectors of fewer components than it has signs, whose
+    rotations are too alike)."""
     width = signs.shape[-1]
     wide = np.zeros((len(x), width))
     wide[:, : x.shape[1]] = x
-    out = []
+    out, sketch = [], np.zeros(len(x), np.int64)
     for t in range(len(signs)):
         axes, cost = [], []
         for r in range(2):
-            y = wide
-            for flip in signs[t, r]:
-                y = hadamard(y * flip)
+            y = rotated(wide, signs[t, r])
+            if t == r == 0 and width >= BITS:
+                sketch = np.packbits(y[:, :BITS] > 0, axis=1).view(np.int64).ravel()
             both = np.concatenate([y, -y], axis=1)
             few = min(probes, both.shape[1])
-            top = np.argsort(-both, axis=1, kind="stable")[:, :few]
+            top = np.argpartition(-both, few - 1, axis=1)[:, :few]
             value = np.take_along_axis(both, top, 1)
+            order = np.lexsort((top, -value), axis=1)
+            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
             axes.append(top)
             cost.append(value[:, :1] - value)
         total = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(x), -1)
@@ -67,7 +84,7 @@ def bucket_keys(x: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> np.nd
         if keys.shape[1] < probes:
             keys = np.concatenate([keys, np.repeat(keys[:, :1], probes - keys.shape[1], 1)], 1)
         out.append(keys)
-    return np.concatenate(out, axis=1)
+    return np.concatenate(out, axis=1), sketch
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -87,102 +104,82 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def packed(row: np.ndarray) -> bytes:
+    """A vector in single precision if nothing is lost; the first byte tells."""
+    small = row.astype(np.float32)
+    return b"s" + small.tobytes() if (small.astype(np.float64) == row).all() else b"d" + row.tobytes()
+
+
+def unpacked(raw: list[bytes]) -> np.ndarray:
+    return _unit([np.frombuffer(r, np.float32 if r[:1] == b"s" else np.float64, offset=1) for r in raw])
+
+
 def filed(reps: DataFrame, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> DataFrame:
-    """``cls, label, n, dim, keys`` with the buckets of each class, and packed
-    forms of buckets and vector (``packed``, ``raw``) for the pairs."""
-    kind = reps.schema["label"].dataType.simpleString()
+    """``node, weight, dim, sketch, keys, raw`` of each class; keys are hashes of
+    bucket, length and label."""
 
     def run(batches):
         for batch in batches:
             rows = [np.asarray(r, np.float64) for r in batch.column(3).to_pylist()]
-            keys = np.zeros((len(rows), tables * probes), np.int64)
-            dims = np.array([len(r) for r in rows])
+            keys, sketch = np.zeros((len(rows), tables * probes), np.int64), np.zeros(len(rows), np.int64)
+            dims = np.array([len(r) for r in rows], np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                keys[at] = bucket_keys(_unit([rows[k] for k in at]), rotations(int(d), seed, tables), probes)
-            # half the bytes where nothing is lost
-            packed = [k.astype(np.int32).tobytes() if k.max() < 2**31 else k.tobytes() for k in keys]
-            raw = [(s if (s := r.astype(np.float32)).astype(np.float64).tobytes() == r.tobytes() else r).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dims, pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=["cls", "label", "n", "dim", "keys", "packed", "raw"])
-
-    return reps.select("cls", "label", "n", "unit").mapInArrow(run, f"cls long, label {kind}, n long, dim int, keys array<long>, packed binary, raw binary")
-
-
-def cells(rows: DataFrame, bucket: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Deal the rows of each bucket into cells of at most about two chunks. A
-    bucket of up to ``chunk`` rows is one cell (0, 0); a larger one has chunks
-    by the class's hash and a cell for each pair of chunks. ``side`` tells
-    which chunk of the cell the row belongs to."""
-    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("_m")).where("_m > 1")
-    rows = rows.join(sizes, bucket)
-    g = F.ceil(F.col("_m") / chunk).cast("int")
-    rows = rows.withColumn("_g", g).withColumn("_c", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("_g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda k: F.struct(F.least(k, F.col("_c")).alias("i"), F.greatest(k, F.col("_c")).alias("j"), F.when(F.col("_c") > k, 1).otherwise(0).alias("side")))
-    return rows.select("*", F.explode(pairs).alias("_p")).select(*rows.columns, F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.col("_p.side").alias("side")).drop("_m", "_g", "_c")
-
-
-def links(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (``vec_id, cls``), classes (``cls, n``) and the verified links
-    between classes (``a, b``), each once."""
-    spark = vectors.sparkSession
-    text_batches(spark, 1024)
-    own = classes(vectors)
-    reps = own.groupBy("cls", "label", "unit").agg(F.count("*").alias("n"))
-    file = written(filed(reps, tables, probes), "vectors")
-    many = file.select("cls", "label", "dim", F.posexplode("keys").alias("at", "key"))
-    many = many.dropDuplicates(["cls", "label", "dim", "key"]).select("cls", "label", "dim", "key")
-    cell = cells(many, ["label", "dim", "key"]).withColumn("cell", F.xxhash64("label", "dim", "key", "i", "j"))
-    full = cell.join(file.select("cls", "dim", "packed", "raw"), ["cls", "dim"]).select("cell", "key", "i", "j", "side", "cls", "packed", "raw", "dim")
-    full = full.repartition("cell").sortWithinPartitions("cell", "key", "i", "j", "side", "cls")
-
-    def pairs(key, same, rows):
-        """Links of one cell: exact cosines in blocks; a link counts only in
-        the first bucket that both classes share."""
-        side = np.array([r[0] for r in rows])
-        x = _unit([np.frombuffer(r[3], np.float32 if len(r[3]) == 4 * r[4] else np.float64) for r in rows])
-        names = np.array([r[1] for r in rows], np.int64)
-        keys = np.array([np.frombuffer(r[2], np.int32 if len(r[2]) == 4 * tables * probes else np.int64) for r in rows], np.int64)
-        left = np.arange(len(rows)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        for lo in range(0, len(left), 512):
-            part = left[lo : lo + 512]
-            a, b = np.nonzero(x[part] @ x[right].T >= least - 1e-9)
-            a, b = part[a], right[b]
-            if same:
-                a, b = a[a < b], b[a < b]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
-            a, b = a[exact], b[exact]
-            for c in range(0, len(a), 20000):
-                p, q = a[c : c + 20000], b[c : c + 20000]
-                # the smallest shared bucket number is the one that counts
-                low = np.full(len(p), np.iinfo(np.int64).max)
-                for k in range(keys.shape[1]):
-                    hit = (keys[q] == keys[p][:, k : k + 1]).any(1)
-                    low = np.where(hit, np.minimum(low, keys[p][:, k]), low)
-                first = low == key
-                yield np.minimum(names[p], names[q])[first], np.maximum(names[p], names[q])[first]
+                keys[at], sketch[at] = bucket_keys(_unit([rows[k] for k in at]), rotations(int(d), seed, tables), probes)
+            cols = [batch.column(0), batch.column(2), batch.column(1), pa.array(dims, pa.int32()), pa.array(sketch), pa.array(list(keys), pa.list_(pa.int64())), pa.array([packed(r) for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "weight", "label", "dim", "sketch", "keys", "raw"])
 
-    def run(batches):
-        mark, rows = None, []
+    kind = reps.schema["label"].dataType.simpleString()
+    out = reps.select("cls", "label", "n", "unit").mapInArrow(run, f"node long, weight long, label {kind}, dim int, sketch long, keys array<long>, raw binary")
+    return out.withColumn("keys", F.array_distinct(F.transform("keys", lambda k: F.xxhash64("label", "dim", k)))).drop("label")
 
-        def flush():
-            if len(rows) > 1:
-                for a, b in pairs(mark[0], mark[1] == mark[2], rows):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            cell, key, i, j, *own = (batch.column(k).to_pylist() for k in range(9))
-            for k, row in enumerate(zip(*own, strict=True)):
-                here = (key[k], i[k], j[k], cell[k])
-                if here != mark:
-                    yield from flush()
-                    mark, rows = here, []
-                rows.append(row)
-        yield from flush()
+def far(x, y):
+    """Signs of two sketches that differ."""
+    return F.bit_count(x.bitwiseXOR(y))
 
-    found = written(full.mapInArrow(run, "a long, b long"), "links")
-    return own.select("vec_id", "cls"), reps.select("cls", "n"), found
+
+def verified(pairs: DataFrame, file: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose exact cosine reaches ``least``."""
+
+    def check(batches):
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = np.zeros(len(x), bool)
+            size = np.array([len(r) for r in x])
+            for s in np.unique(size):
+                at = np.flatnonzero((size == s) & (np.array([len(r) for r in y]) > 0))
+                a, b = unpacked([x[k] for k in at]), [y[k] for k in at]
+                same = np.array([len(np.frombuffer(r, np.float32 if r[:1] == b"s" else np.float64, offset=1)) == a.shape[1] for r in b])
+                keep[at[same]] = np.einsum("ij,ij->i", a[same], unpacked([r for r, ok in zip(b, same, strict=True) if ok])) >= least if same.any() else False
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    one = lambda k, x: file.select(F.col("node").alias(k), F.col("raw").alias(x))
+    full = pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y")
+    return written(full.mapInArrow(check, "a long, b long"), "links")
+
+
+def cell_links(names, weight, side, same, raw, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a cell that link with others in it, and how many vectors each
+    links with there: exact cosines in blocks."""
+    x = unpacked(raw)
+    left = np.arange(len(x)) if same else np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    near = np.zeros(len(x), np.int64)
+    for lo in range(0, len(left), 512):
+        part = left[lo : lo + 512]
+        cos = x[part] @ x[right].T
+        hit = cos >= least
+        # where the order of a sum could matter, the sum of the verification counts
+        a, b = np.nonzero(np.abs(cos - least) < 1e-9)
+        hit[a, b] = np.einsum("ij,ij->i", x[part[a]], x[right[b]]) >= least
+        if same:
+            hit[np.arange(len(part)), lo + np.arange(len(part))] = False
+        near[part] += hit @ weight[right]
+        if not same:
+            near[right] += weight[part] @ hit
+    return names[near > 0], near[near > 0]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -192,24 +189,33 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
 
     Vectors that are null, zero or hold null or non-finite components, and
     those without label, link with nothing; neither do vectors of different
-    lengths. Equal rows link with each other. Links found are exact; which are
-    found is up to the buckets (recall is measured in the tests). A null id
-    links like any other; its component may then have another smallest id.
+    lengths. Equal rows link with each other, rows that share an id too. Links
+    found are exact; groups form by pairs that share a bucket (recall is measured
+    in the tests), and within a group every link is counted. A null id links
+    like any other; its component may then have another smallest id. An empty
+    table gives no rows; columns besides ``vec_id``, ``embedding`` and ``label``
+    are not read, whatever their names.
     """
-    members, reps, found = links(vectors, least, tables, probes)
-    sizes = reps.select("cls", "n")
-    both = found.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(found.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    near = both.join(sizes.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("n").alias("near"))
-    roots = components(found)
-    own = written(members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(near, "cls", "left").select("vec_id", "cls", F.coalesce("root", "cls").alias("root"), F.coalesce("near", F.lit(0)).alias("near")), "members")
-    least_id = own.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    counted = own.groupBy("cls").agg(F.count("*").alias("same"))
-    linked = own.join(counted, "cls").join(least_id, "root").select("vec_id", (F.col("near") + F.col("same") - 1).cast("long").alias("n_links"), "component_id")
+    text_batches(vectors.sparkSession)
+    own = classes(vectors)
+    file = written(filed(own.groupBy("cls", "label", "unit").agg(F.count("*").alias("n")), tables, probes), "vectors")
+    many = file.select("node", "sketch", F.explode("keys").alias("token"))
+    shared = many.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    held = written(many.join(shared, "token"), "held")
+    roots = linked(held, [], lambda x, y: far(x("sketch"), y("sketch")) <= MOST, lambda pairs: verified(pairs, file, least))
+    groups = roots.join(file.select("node", "weight", "dim"), "node")
+    parts = F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("dim") / CELL_VALUES))
+    near = link_counts(groups, parts, file.select("node", "raw"), lambda *cell: cell_links(*cell, least))
+    named = file.select("node", "weight").join(roots, "node", "left").join(near, "node", "left")
+    named = named.select(F.col("node").alias("cls"), F.coalesce("root", "node").alias("root"), (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    members = written(own.select("vec_id", "cls").join(named, "cls"), "members")
+    discard(file, held, roots)
+    least_id = members.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    linked_rows = members.join(least_id, "root").select("vec_id", "n_links", "component_id")
     x = F.col("embedding")
     good = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
     alone = vectors.where(~good | x.isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.unionByName(alone)
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked_rows.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 ORACLE_SQL = """

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from barloom.llm import neardup, topk
+from barloom.llm import components, neardup, topk
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -52,6 +52,22 @@ def test_topk_few_large_and_repeated(spark):
     assert topk.search(empty, empty).count() == 0 and topk.search(v, v.where("false")).count() == 0
 
 
+def test_topk_of_weights_beyond_64_bits(spark):
+    """No finite vector is dropped; ranks go by the whole numbers."""
+    rows = [(50 * k, [1.5 * (-1) ** k, 0.25, k / 8], 0) for k in range(6)] + [(1, [1.7e38, 0.0, 1.0], 0), (2, [1.7e38, 0.0, 2.0], 0), (3, [-3e38, 1e30, 0.0], 0), (4, [2e16, -1.0, 3.0], 0), (100, [3e38, 3e38, -3e38], 0)]
+    v = topk.integer_rows(spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS + ", rank int, score string"))
+    got = sorted(map(tuple, topk.search(v, v.where("vec_id % 50 = 0")).collect()))
+    assert got == sorted((q, r, i, max(-topk.LONG, min(topk.LONG, s))) for q, r, i, s in brute_topk(rows))
+
+
+def test_topk_of_long_vectors_and_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [(25 * k, [float(x) for x in rng.integers(-4, 5, 3000) / 4], 0) for k in range(8)] + [(7, [1.0] * 3000, 0)] * 300
+    v = topk.integer_rows(spark.createDataFrame(rows, VECTORS))
+    got = sorted(map(tuple, topk.search(v, v.where("vec_id % 50 = 0")).collect()))
+    assert got == brute_topk(rows)
+
+
 def clusters(seed, groups=40, size=6, dim=16):
     rng = np.random.default_rng(seed)
     rows, k = [], 0
@@ -71,10 +87,10 @@ def brute_links(rows):
     return {(a, b) for a, x, y in good for b, _, z in good if a < b and y == z and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98}
 
 
-@pytest.mark.parametrize("chunk", [2048, 5])
+@pytest.mark.parametrize("chunk", [1024, 5])
 def test_neardup_recall_and_exactness(spark, monkeypatch, chunk):
-    monkeypatch.setattr(neardup, "CHUNK", chunk)
-    monkeypatch.setattr(neardup.cells, "__defaults__", (chunk,))
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "CELL_ROWS", chunk)
     rows = clusters(2)
     want = brute_links(rows)
     got = {r.vec_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
@@ -94,3 +110,26 @@ def test_neardup_copies_and_empty(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
     assert got[7] == (50, 0, False) and got[0] == (50, 0, True) and got[50] == (50, 0, False) and got[51] == (0, 51, True)
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_neardup_of_long_vectors_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((3, 4000))
+    rows = [(k, [float(v) for v in centre[k % 3] + 0.05 * rng.standard_normal(4000)], 1, 7, "x", 1) for k in range(12)]
+    rows += [(20, [1.0, 1.0], 1, 7, "x", 1), (21, [1.0, 1.01], 1, 7, "x", 1), (21, [1.0, 1.01], 1, 7, "x", 1), (None, [1.0, 1.0], 1, 7, "x", 1)]
+    df = spark.createDataFrame(rows, VECTORS + ", node long, raw string, n_links int")
+    got = sorted(((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id) for r in neardup.near_duplicates(df).collect()))
+    assert got == sorted([(k, 3, k % 3) for k in range(12)] + [(20, 3, 20), (21, 3, 20), (21, 3, 20), (-1, 3, 20)])
+
+
+def test_sketches_of_links_are_close():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 64))
+    y = x + 0.2 * rng.standard_normal(x.shape)
+    x, y = neardup._unit(list(x)), neardup._unit(list(y))
+    link = np.einsum("ij,ij->i", x, y) >= 0.98
+    signs = neardup.rotations(64, 7)
+    a, b = (neardup.bucket_keys(z, signs)[1] for z in (x, y))
+    differ = np.array([bin(int(p) & (2**64 - 1)).count("1") for p in a ^ b])
+    assert link.sum() > 5000 and (differ[link] <= neardup.MOST).all()
+    assert (np.array([bin(int(p) & (2**64 - 1)).count("1") for p in a ^ np.roll(b, 1)]) > neardup.MOST).mean() > 0.99
