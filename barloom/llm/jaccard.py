@@ -4,34 +4,30 @@ If two sets reach the threshold, then under *any* total order of the tokens
 their prefixes share a token. The first order is rare-first (document counts of
 all documents in a sketch of fixed size, ties by hash); its prefixes meet in a
 shuffle by token, with a bound from positions: behind the first shared token no
-more can follow than the shorter rest. Under the second order, by hash, the first
-tokens of both sets must share as many as the threshold leaves no choice about;
-under the third, by hash downwards, the prefixes must share a token. Only pairs
-that pass every order are verified on whole sets.
-
-Work stays linear in groups of copies. Equal sets are one node. Of each prefix
-token, first only the pairs with its hub (the entry nearest to the front) are
-verified; what they link is one component. The exact rest then looks at every
-pair of *different* components that a token still holds, so no link between
-components is lost.
-
-Every link thus lies within a component, and there all pairs of different sets
-are verified to count the links of each document. A large component is cut
-into chunks, and every pair of chunks is a task of its own that returns sums
-per set: the work grows with the square of the group, the rows do not.
+more can follow than the shorter rest. Under the second order, by hash, and the
+third, by hash downwards, the first tokens of both sets must share as many as
+the threshold leaves no choice about. Only pairs that pass every order are
+verified, and only their texts are read again.
+
+Work stays linear in groups of copies: equal sets are one node, of each prefix
+token first only the pairs with its hub (the entry nearest to the front) are
+verified, and the exact rest looks at pairs of different components alone (see
+``components.linked``). Every link thus lies within a component, and there all
+pairs of different sets are verified to count the links of each document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
-from .components import components
+from .components import link_counts, linked
 
 #: Sets, and tokens, of a chunk of a component.
 CELL_SETS, CELL_TOKENS = 1024, 400_000
@@ -61,32 +57,43 @@ def shingle_sets(column: pa.Array, words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """64-bit name of a set (two sets in 10^10 share one with a chance of 3)."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two names of a set: its node, and the twin that tells sets apart whose
+    nodes are the same by chance."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True) >> (64 - bits), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def node_of(tokens: np.ndarray, clash: frozenset[int] = frozenset(), bits: int = 64) -> int:
+    """Name of a set; where several sets share one, the twin takes its place."""
+    node, twin = names_of(tokens, bits)
+    return twin if node in clash else node
 
 
 def head_of(tokens: np.ndarray) -> bytes:
-    """The first tokens by hash, cut to 32 bits: about a seventh of the set,
-    eight at least."""
-    few = max(8, -(-3 * len(tokens) // 20))
-    return (tokens[:few] >> np.uint64(32)).astype(np.uint32).tobytes()
+    """The first tokens by hash upwards, and by hash downwards, cut to 32 bits:
+    about an eighth of the set each, eight at least."""
+    few = min(len(tokens), max(8, -(-13 * len(tokens) // 100)))
+    ends = np.concatenate([tokens[:few], ~tokens[len(tokens) - few :][::-1]])
+    return (ends >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
 def heads_agree(x: bytes, n: int, y: bytes, m: int, num: int, den: int) -> bool:
-    """Whether two sets of n and m tokens may reach the threshold, by their
-    heads. Up to the smaller last token both heads are complete; of the tokens
-    there at most n - least (m - least) can lie outside the intersection."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    last = min(a[-1], b[-1]) if len(a) < n and len(b) < m else a[-1] if len(a) < n else b[-1] if len(b) < m else np.uint32(0xFFFFFFFF)
-    # equal cut tokens at the very end may continue behind the head
-    a, b = a[: np.searchsorted(a, last)], b[: np.searchsorted(b, last)]
+    """Whether two sets of n and m tokens may reach the threshold under the
+    second and the third order. Up to the smaller last token both heads are
+    complete; of the tokens there at most n - least (m - least) can lie outside
+    the intersection."""
     least = -(-num * (n + m) // (num + den))
-    must = max(len(a) - (n - least), len(b) - (m - least))
-    if must <= 0:
-        return True
-    at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
-    return len(b) > 0 and int((b[at] == a).sum()) >= must
+    for a, b in zip(np.frombuffer(x, np.uint32).reshape(2, -1), np.frombuffer(y, np.uint32).reshape(2, -1), strict=True):
+        last = min(a[-1], b[-1]) if len(a) < n and len(b) < m else a[-1] if len(a) < n else b[-1] if len(b) < m else np.uint32(0xFFFFFFFF)
+        # equal cut tokens at the very end may continue behind the head
+        a, b = a[: np.searchsorted(a, last)], b[: np.searchsorted(b, last)]
+        must = max(len(a) - (n - least), len(b) - (m - least))
+        if must > 0:
+            at = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+            if not len(b) or int((b[at] == a).sum()) < must:
+                return False
+    return True
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -107,12 +114,12 @@ def _unpack(blob: bytes, into: np.ndarray) -> None:
         into[np.cumsum(np.frombuffer(raw[: 4 * n], np.uint32).astype(np.int64))] += np.frombuffer(raw[4 * n :], np.uint8)
 
 
-def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """One pass over whole texts: a row per document (``doc_id, node, n, head,
-    handle``, handle = hash of the text) and, at the end of a partition, its
+def signatures(docs: DataFrame, words: int, bits: int, name_bits: int) -> DataFrame:
+    """One pass over whole texts: a row per document (``doc_id, node, twin, n,
+    head, handle``, handle = hash of the text) and, at the end of a partition, its
     token counts in ``2^bits`` slots as slices."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slices, names = 64, ["doc_id", "node", "n", "handle", "head", "slice", "counts"]
+    slices, names = 64, ["doc_id", "node", "twin", "n", "handle", "head", "slice", "counts"]
 
     def run(batches):
         counts, seen = np.zeros(1 << bits, np.uint16), set()  # may wrap: it only steers an order
@@ -120,7 +127,7 @@ def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
         for batch in batches:
             types = batch.column(0).type
             sets = shingle_sets(batch.column(1), words)
-            nodes = [node_of(s) for s in sets]
+            nodes = [names_of(s, name_bits) for s in sets]
             for s, v in zip(sets, nodes, strict=True):
                 if v not in seen:  # copies within the task count once
                     seen.add(v)
@@ -128,14 +135,14 @@ def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), batch.column(2), pa.array([head_of(x) for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([v[k] for v in nodes], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int32()), batch.column(2), pa.array([head_of(x) for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if types is not None:
             size = len(counts) // slices
             blobs = [_pack(counts[k * size : (k + 1) * size]) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("handle"))
-    return written(spread(rows).mapInArrow(run, f"doc_id {kind}, node long, n int, handle long, head binary, slice int, counts binary"), "signatures")
+    return written(spread(rows).mapInArrow(run, f"doc_id {kind}, node long, twin long, n int, handle long, head binary, slice int, counts binary"), "signatures")
 
 
 def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
@@ -152,8 +159,8 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
             level = np.minimum(255, np.round(STEPS * np.log2(1.0 + v))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([float(v.sum())])], names=["slice", "level", "total"])
 
-    text_batches(signed.sparkSession, 64)
-    rows = signed.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(16, "slice")
+    text_batches(signed.sparkSession)
+    rows = signed.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(64, "slice")
     got = rows.mapInArrow(run, "slice int, level binary, total double").collect()
     out = np.zeros(1 << bits, np.uint8)
     for r in got:
@@ -161,7 +168,7 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     return out, sum(r.total for r in got) / (1 << bits)
 
 
-def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits: int, num: int, den: int) -> DataFrame:
+def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits: int, num: int, den: int, name: Callable) -> DataFrame:
     """Prefixes under the rare-first order as ``key, node, code``. ``code``
     packs set size, position and whether the token is ``hot``: its count is far
     above the mean, so it certainly has partners. The key is the token; that of
@@ -179,7 +186,7 @@ def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits:
                 n = len(s)
                 if not n:
                     continue
-                v = node_of(s)
+                v = name(s)
                 if v in seen:
                     continue
                 seen.add(v)
@@ -207,17 +214,17 @@ def shared_entries(found: DataFrame) -> DataFrame:
     return held.select(token.alias("token"), "node", n.alias("n"), pos.alias("pos"))
 
 
-def may_reach(n: Column, pos: Column, n2: Column, pos2: Column, num: int, den: int) -> Column:
+def may_reach(x: Callable, y: Callable, num: int, den: int) -> Column:
     """Size and position filters for a pair whose first shared token is here:
     at most 1 + the shorter rest is shared, and |A & B| must reach
     num (|A| + |B|) / (num + den)."""
-    rest = F.least(n - pos, n2 - pos2)
-    return (den * F.least(n, n2) >= num * F.greatest(n, n2)) & ((num + den) * rest >= num * (n + n2))
+    n, m = x("n"), y("n")
+    rest = F.least(n - x("pos"), m - y("pos"))
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * rest >= num * (n + m))
 
 
 def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose heads under the second order agree."""
-    text_batches(pairs.sparkSession, 2048)
+    """The pairs whose heads under the second and the third order agree."""
     one = lambda k, h, n: nodes.select(F.col("node").alias(k), F.col("head").alias(h), F.col("n").alias(n))
     full = pairs.join(one("a", "x", "n"), "a").join(one("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
 
@@ -230,16 +237,15 @@ def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return written(full.mapInArrow(run, "a long, b long"), "candidates")
 
 
-def sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+def sets_of(docs: DataFrame, need: DataFrame, words: int, name: Callable) -> DataFrame:
     """``node, tokens`` of the texts whose handle is in ``need``."""
     text = docs.select("text", F.xxhash64("text").alias("handle")).where(F.col("text").isNotNull())
     found = text.join(side(need), "handle", "left_semi")
-    text_batches(docs.sparkSession)
 
     def sets(batches):
         seen = set()
         for batch in batches:
-            own = [(node_of(s), s) for s in shingle_sets(batch.column(0), words)]
+            own = [(name(s), s) for s in shingle_sets(batch.column(0), words)]
             own = [(v, s) for v, s in own if not (v in seen or seen.add(v))]
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -248,13 +254,13 @@ def sets_of(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     return written(found.select("text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, name: Callable) -> DataFrame:
     """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs that
-    pass the second order are read again, by the handle that ``nodes`` has."""
+    pass every order are read again, by the handle that ``nodes`` has."""
     pairs = by_heads(pairs, nodes, num, den)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = written(nodes.join(ends, "node").select("handle"), "needed", 16)
-    own = sets_of(docs, need, words)
+    need = written(nodes.join(ends, "node").select("handle"), "needed", packed=True)
+    own = sets_of(docs, need, words, name)
 
     def check(batches):
         for batch in batches:
@@ -262,11 +268,6 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, nu
             good = []
             for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                p, q = len(x) - -(-num * len(x) // den) + 1, len(y) - -(-num * len(y) // den) + 1
-                # prefixes under the third order, by hash downwards
-                if not len(np.intersect1d(x[-p:], y[-q:], True)):
-                    good.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, True))
                 good.append(den * both >= num * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
@@ -308,43 +309,30 @@ def cell_links(names: np.ndarray, weight: np.ndarray, side: np.ndarray, same: bo
     return names[linked], near[linked]
 
 
-def link_counts(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def counted(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, num: int, den: int, name: Callable) -> DataFrame:
     """``node, near``: the documents of other sets that a set links with."""
-    own = written(roots.join(nodes.select("node", "n", "weight", "handle"), "node"), "grouped", 16)
-    need = written(own.select("handle"), "needed", 16)
-    sets = sets_of(docs, need, words)
-    parts = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_TOKENS)).cast("int")
-    rows = own.join(own.groupBy("root").agg(parts.alias("g")), "root").withColumn("c", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("c")).alias("i"), F.greatest(k, F.col("c")).alias("j"), F.when(F.col("c") > k, 1).otherwise(0).alias("side")))
-    rows = rows.select("root", "node", "weight", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "node", "weight")
-    full = rows.join(sets, "node").select("root", "i", "j", "side", "node", "weight", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    text_batches(docs.sparkSession, 1024)
+    own = written(roots.join(nodes.select("node", "n", "weight", "handle"), "node"), "grouped", packed=True)
+    need = written(own.select("handle"), "needed", packed=True)
+    sets = sets_of(docs, need, words, name)
+    parts = F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_TOKENS))
 
-    def run(batches):
-        mark, rows = None, []
-
-        def flush():
-            if len(rows) > 1:
-                side, names, weight = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-                found = cell_links(names, weight, side, mark[1] == mark[2], [np.frombuffer(r[3], np.uint64) for r in rows], num, den)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "near"])
+    def count(names, weight, side, same, raw):
+        return cell_links(names, weight, side, same, [np.frombuffer(r, np.uint64) for r in raw], num, den)
 
-        for batch in batches:
-            root, i, j, *own = (batch.column(k).to_pylist() for k in range(7))
-            for k, row in enumerate(zip(*own, strict=True)):
-                if (root[k], i[k], j[k]) != mark:
-                    yield from flush()
-                    mark, rows = (root[k], i[k], j[k]), []
-                rows.append(row)
-        yield from flush()
-
-    out = written(full.mapInArrow(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near")), "near", 16)
+    out = written(link_counts(own, parts, sets, count), "near")
     discard(own, need, sets)
     return out
 
 
-def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 24) -> DataFrame:
+def nodes_of(members: DataFrame) -> DataFrame:
+    """Nodes with size, head, weight (documents), the smallest row, and whether
+    all sets of that name are the same (``lo`` and ``hi`` of the twins)."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "handle"))
+    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("weight"), F.min("twin").alias("lo"), F.max("twin").alias("hi"))
+    return written(nodes.select("node", "n", "head", "weight", "first", F.col("first.handle").alias("handle"), "lo", "hi"), "nodes")
+
+
+def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 24, name_bits: int = 64) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links, handle,
     kept``.
 
@@ -360,50 +348,41 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
     ``doc_id`` and ``text`` are not read.
 
     ``bits`` sets the size of the count sketch (2^bits bytes, broadcast). It
-    steers the first order only: results are the same for any value.
+    steers the first order only: results are the same for any value. Sets are
+    told apart by 128 bits: the few whose first ``name_bits`` agree (one pair in
+    about 10^10 sets) are found and go by the other half.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    signed = signatures(docs, words, bits)
+    signed = signatures(docs, words, bits, name_bits)
     levels, load = token_levels(signed, bits)
-    members = signed.where(F.col("slice").isNull()).select("doc_id", "node", "n", "handle", "head")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "handle"))
-    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("weight"))
-    nodes = written(nodes.select("node", "n", "head", "weight", "first", F.col("first.handle").alias("handle")), "nodes")
+    members = signed.where(F.col("slice").isNull()).select("doc_id", "node", "twin", "n", "handle", "head")
+    nodes = nodes_of(members)
+    clash = frozenset(r.node for r in nodes.where("lo <> hi").select("node").collect())
+    if clash:
+        members = members.withColumn("node", F.when(F.col("node").isin(list(clash)), F.col("twin")).otherwise(F.col("node")))
+        discard(nodes)
+        nodes = nodes_of(members)
+
+    def name(tokens):
+        return node_of(tokens, clash, name_bits)
 
     # what the first order brings together; tokens of one set alone go
-    held = written(shared_entries(entries(docs, levels, load, words, bits, num, den)), "held")
-    hubs = held.groupBy("token").agg(F.min(F.struct("pos", "n", "node")).alias("h"))
-    star = held.join(hubs, "token").where((F.col("node") != F.col("h.node")) & may_reach(F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos"), num, den))
-    star = written(star.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct(), "star")
-    links = verified(star, docs, nodes, words, num, den)
-    roots = components(links)
-
-    # the exact rest: pairs of different components that still share a token
-    marked = written(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "marked")
-    open_ = marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    still = written(marked.join(open_, "token", "left_semi"), "open")
-    discard(marked, held, roots)
-    l, r = still.alias("l"), still.alias("r")
-    rest = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & may_reach(F.col("l.n"), F.col("l.pos"), F.col("r.n"), F.col("r.pos"), num, den))
-    rest = written(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, docs, nodes, words, num, den)
-    discard(star, still, rest)
-    both = written(links.unionByName(more), "all-links")
-    roots = components(both)
-
-    near = link_counts(docs, nodes, roots, words, num, den)
+    held = written(shared_entries(entries(docs, levels, load, words, bits, num, den, name)), "held")
+    roots = linked(held, ["pos", "n"], lambda x, y: may_reach(x, y, num, den), lambda pairs: verified(pairs, docs, nodes, words, num, den, name))
+    discard(held)
+    near = counted(docs, nodes, roots, words, num, den, name)
 
     named = nodes.select("node", "first", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     # equal sets link with each other
     named = named.join(best, "root").join(near, "node", "left").select("node", "best", (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    out = members.drop("head").join(named, "node", "left")
+    out = members.drop("head", "twin").join(named, "node", "left")
     alone = F.col("n") == 0
     kept = alone | (F.col("doc_id").eqNullSafe(F.col("best.id")) & F.col("handle").eqNullSafe(F.col("best.handle")))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "handle", kept.alias("kept"))
     out = written(out, "groups")
-    discard(signed, nodes, links, more, both, roots, near)
+    discard(signed, nodes, roots, near)
     return out
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from barloom.llm import common, jaccard
+from barloom.llm import components as components_of
 from barloom.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -64,12 +65,14 @@ def corpus(seed, n=150):
     return docs
 
 
-@pytest.mark.parametrize("seed,bits", [(1, 24), (2, 6), (3, 12)])
-def test_against_all_pairs(spark, seed, bits):
+@pytest.mark.parametrize("seed,bits,name_bits", [(1, 24, 64), (2, 6, 64), (3, 12, 5)])
+def test_against_all_pairs(spark, monkeypatch, seed, bits, name_bits):
+    if seed == 2:
+        monkeypatch.setattr(components_of, "CHUNK", 3)
     texts = corpus(seed)
     docs = [(k * 3 % 1009, t) for k, t in enumerate(texts)] + [(2000, None), (2001, ""), (2002, " \n"), (None, texts[0]), (2003, texts[5].upper()), (2003, texts[5].upper())]
     df = spark.createDataFrame(docs, DOCS)
-    rows = jaccard.join(df, bits=bits).collect()
+    rows = jaccard.join(df, bits=bits, name_bits=name_bits).collect()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str)
     want = brute(docs)
     # a text without words is a component of its own
