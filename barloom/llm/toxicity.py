@@ -3,17 +3,19 @@
 Fit: document counts of words and word stems (first five and four letters) in
 toxic and other labelled texts give log-odds with an informative Dirichlet
 prior (the pooled counts); only significant ones score positive, all other
-words cost a fixed drift, so the expected score of a word is negative. Score: a linear-time scan finds every maximal segment; extreme
-value statistics (E = K n exp(-lambda S), lambda from the scores themselves)
-tell what a segment is worth in a text of n words, and the segments of a text
-are summed into one p-value.
+words cost a fixed drift, so the expected score of a word is negative. Score: a
+linear-time scan finds every maximal segment. Extreme-value statistics tell what
+segments are worth in a text of n words: the chance of one is 1 - exp(-K n
+exp(-lambda S)), lambda solved from the scores of clean words and K fitted to the
+best segments of clean texts; the chances of several are summed (Karlin and
+Altschul), and a text is toxic if its chance is below ``alpha``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -62,13 +64,35 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int,
     return [(a, b, hi - lo) for a, b, lo, hi in stack]
 
 
+def surprise(strength: list[float]) -> float:
+    """-ln of the chance of the best segments of a text, given lambda S - ln(K n)
+    of each: of one by the extreme-value law, of r by the law of the sum of the r
+    best, with a factor 2^r for the choice of r."""
+    if not strength:
+        return 0.0
+    best = sorted(strength, reverse=True)
+    # the chance is 1 - exp(-e); for small e that is e
+    e = math.exp(-max(-50.0, best[0]))
+    out, total = (best[0] if best[0] > 30 else -math.log(-math.expm1(-e)) if e < 700 else 0.0) - math.log(2), best[0]
+    for r, x in enumerate(best[1:], 2):
+        if x <= 0:
+            break
+        total += x
+        out = max(out, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return max(0.0, out)
+
+
 class ToxicityModel:
-    """Log-odds of features, drift, the extreme-value parameters and the cut."""
+    """Log-odds of features, drift, and lambda and K of the extreme-value law."""
 
-    def __init__(self, odds: dict[str, float], drift: float, lam: float, k: float, cut: float):
-        self.odds, self.drift, self.lam, self.k, self.cut = odds, drift, lam, k, cut
+    def __init__(self, odds: dict[str, float], drift: float, lam: float, k: float, alpha: float = 1e-5):
+        self.odds, self.drift, self.lam, self.k, self.alpha = odds, drift, lam, k, alpha
+        self.cut = -math.log(alpha)
         self.seen: dict[str, float] = {}
 
+    def parts(self) -> tuple:
+        return self.odds, self.drift, self.lam, self.k, self.alpha
+
     def gain(self, word: str) -> float:
         g = self.seen.get(word)
         if g is None:
@@ -78,22 +102,26 @@ class ToxicityModel:
             self.seen[word] = g
         return g
 
-    def value(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Nats above chance of the whole text (minus infinity if no word is
-        toxic) and the significant passages: first word, last word, nats."""
+    def found(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of words, and the maximal segments."""
         words = tokens(text)
         gains = np.fromiter(map(self.gain, words), np.float64, len(words))
         at = np.flatnonzero(gains > 0)
-        if not len(at):
+        return len(words), segments(at, gains[at], self.drift) if len(at) else []
+
+    def value(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """-ln of the chance that a clean text has such segments (minus infinity
+        if no word is toxic) and the passages that stand out by themselves: first
+        word, last word, nats above chance."""
+        n, own = self.found(text)
+        if not own:
             return -math.inf, []
-        base = math.log(self.k * len(words))
-        strength = [(a, b, self.lam * s - base) for a, b, s in segments(at, gains[at], self.drift)]
-        # chances of independent segments multiply; if none is significant the best one counts
-        total = sum(max(0.0, x) for _, _, x in strength)
-        return total or max(x for _, _, x in strength), [(a, b, x) for a, b, x in strength if x > 0]
+        base = math.log(self.k * n)
+        strength = [(a, b, self.lam * s - base) for a, b, s in own]
+        return surprise([x for _, _, x in strength]), [(a, b, x) for a, b, x in strength if x > 0]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score in 0..1, and the significant passages."""
+        """Score in 0..1 (0.5 where the chance is ``alpha``), and the passages."""
         v, passages = self.value(text)
         return (1 / (1 + math.exp(-min(50.0, max(-50.0, v - self.cut)))) if v > -math.inf else 0.0), passages
 
@@ -116,11 +144,11 @@ class Copies:
 
     def __init__(self, least: float = 0.8, first: int = 8):
         self.least, self.first = least, first
-        self.words: set[tuple[int, str]] = set()
+        self.words: set[tuple[int, str | bytes]] = set()
         self.kept: list[np.ndarray] = []
         self.by_hash: dict[tuple[int, int], list[int]] = {}
 
-    def seen(self, y: int, words: str, sketch: np.ndarray | None) -> bool:
+    def seen(self, y: int, words: str | bytes, sketch: np.ndarray | None) -> bool:
         if (y, words) in self.words:
             return True
         self.words.add((y, words))
@@ -135,111 +163,165 @@ class Copies:
         return False
 
 
-def train(words: list[str], labels: list[int], sketches: list[np.ndarray] | None = None, drift: float = 0.35, margin: float = 0.0, spread: float = 500.0) -> ToxicityModel:
-    """Fit on the distinct words (joined by spaces) of labelled texts. ``spread``
-    is the weight of the Dirichlet prior; a feature must be significant by
-    ``margin`` nats beyond what the number of features explains. Of copies, and
-    near copies by ``sketches`` if given, one text counts. Without a text of each class nothing is toxic."""
+def strong(c0: int, c1: int, share: float, least: float) -> bool:
+    """Whether more toxic texts hold a feature than chance gives any of so many
+    features (Chernoff bound)."""
+    n = c0 + c1
+    return c1 > n * share and c1 * math.log(c1 / (n * share)) + (c0 * math.log(c0 / (n * (1 - share))) if c0 else 0) >= least
+
+
+def log_odds(table: list[tuple[str, int, int]], leading: dict[str, int], size: list[int], n0: int, n1: int, spread: float) -> dict[str, float]:
+    """Log-odds of significant features (feature, texts of either class that hold
+    it), given how often each stem's commonest word is held."""
+    odds = {}
+    for s, c0, c1 in table:
+        if s[-1] == "*" and (c1 / size[1] < 20 * c0 / size[0] or 2 * leading.get(s, 0) > c1):
+            continue  # a stem must be rarer still in other texts, and stand for several words
+        prior = 0.5 + spread * (c0 + c1) / (n0 + n1)
+        a, b = c1 + prior, c0 + prior
+        delta = math.log(a / (n1 + spread - c1)) - math.log(b / (n0 + spread - c0))
+        if delta > 1:
+            odds[s] = min(6.0, delta)
+    return odds
+
+
+def decay(gains: dict[float, int]) -> float:
+    """Lambda: solves E[exp(lambda * score)] = 1 over the words of clean texts."""
+    total = sum(gains.values())
+    if not any(g > 0 for g in gains):
+        return 2.0
+    excess = lambda lam: sum(n * math.exp(lam * g) for g, n in gains.items()) / total - 1
+    lo, hi = 1e-3, 4.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
+    return max(lo, 0.2)
+
+
+def extent(best: list[tuple[int, float]], lam: float) -> float:
+    """K by maximum likelihood from clean texts (words, best segment or 0): with
+    x = n exp(-lambda S), K x is exponential. The law is one of high scores, so
+    texts without a segment are only known to stay below the least one seen."""
+    least = min((s for _, s in best if s > 0), default=0.0)
+    x = sum(n * math.exp(-lam * max(s, least)) for n, s in best)
+    return max(1e-6, (1 + sum(s > 0 for _, s in best)) / max(x, 1e-9)) if best else 1.0
+
+
+def train(words: list[str], labels: list[int], sketches: list[np.ndarray] | None = None, drift: float = 0.35, margin: float = 0.0, spread: float = 500.0, k: float = 0.05, alpha: float = 1e-5) -> ToxicityModel:
+    """Fit on the distinct words (joined by spaces) of labelled texts: the plain
+    form of ``fit``, with K given. ``spread`` is the weight of the Dirichlet
+    prior; a feature must be significant by ``margin`` nats beyond what the
+    number of features explains. Of copies, and near copies by ``sketches`` if
+    given, one text counts. Without a text of each class nothing is toxic."""
     counts, size, copies = (Counter(), Counter()), [0, 0], Copies()
+    single: Counter = Counter()
     for own, y, sketch in zip(words, labels, sketches or [None] * len(words), strict=True):
         if copies.seen(y, own, sketch):
             continue  # copies would make every word of theirs look toxic
         size[y] += 1
         counts[y].update({s for w in own.split() for s in stems(w)})
+        if y:
+            single.update(own.split())
     if not size[0] or not size[1]:
-        return ToxicityModel({}, drift, 1.0, 1.0, 0.0)
+        return ToxicityModel({}, drift, 1.0, 1.0, alpha)
     n0, n1 = (sum(c.values()) for c in counts)
-    share, odds = size[1] / sum(size), {}
-    least = math.log(len(counts[1])) + margin
-    leading: Counter = Counter()  # of each stem, the documents of its commonest word
-    for w, c in counts[1].items():
-        for s in stems(w)[1:] if w[-1] != "*" else ():
+    share, least = size[1] / sum(size), math.log(len(counts[1])) + margin
+    leading: Counter = Counter()  # of each stem, the texts of its commonest word
+    for w, c in single.items():
+        for s in stems(w)[1:]:
             leading[s] = max(leading[s], c)
-    for s, c1 in counts[1].items():
-        c0 = counts[0][s]
-        n = c0 + c1
-        # more toxic texts hold it than chance gives any of so many features (Chernoff bound)
-        if c1 <= n * share or c1 * math.log(c1 / (n * share)) + (c0 * math.log(c0 / (n * (1 - share))) if c0 else 0) < least:
-            continue
-        if s[-1] == "*" and (c1 / size[1] < 20 * c0 / size[0] or 2 * leading[s] > c1):
-            continue  # a stem must be rarer still in other texts, and stand for several words
-        prior = 0.5 + spread * n / (n0 + n1)
-        a, b = c1 + prior, c0 + prior
-        delta = math.log(a / (n1 + spread - c1)) - math.log(b / (n0 + spread - c0))
-        if delta > 1:
-            odds[s] = min(6.0, delta)
-    model = ToxicityModel(odds, drift, 2.0, 0.05, 0.0)
-    # lambda solves E[exp(lambda * score)] = 1 over the words of the other texts
+    table = [(s, counts[0][s], c1) for s, c1 in counts[1].items() if strong(counts[0][s], c1, share, least)]
+    model = ToxicityModel(log_odds(table, leading, size, n0, n1, spread), drift, 2.0, k, alpha)
     gains: Counter = Counter()
     for own, y in zip(words, labels, strict=True):
         if y == 0:
             gains.update(round(g, 2) if g > 0 else -drift for g in map(model.gain, own.split()))
-    total = sum(gains.values())
-    if any(g > 0 for g in gains):
-        excess = lambda lam: sum(n * math.exp(lam * g) for g, n in gains.items()) / total - 1
-        lo, hi = 1e-3, 4.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if excess(mid) < 0 else (lo, mid)
-        model.lam = max(lo, 0.2)
+    model.lam = decay(gains)
     return model
 
 
-def calibrated(model: ToxicityModel, values: list[float], labels: list[int]) -> ToxicityModel:
-    """Set the cut that errs least on the fitted texts, in the middle of its
-    gap. A share of clean texts weighs three times that of toxic ones."""
-    size = [max(1, labels.count(0)), max(1, labels.count(1))]
-    raw = sorted(zip((min(20.0, max(-20.0, v)) for v in values), labels, strict=True))
-    best, cut, below = math.inf, 0.0, [0, 0]
-    for i, (v, y) in enumerate(raw):
-        loss = below[1] / size[1] + 3 * (size[0] - below[0]) / size[0]
-        if loss < best and (not i or v > raw[i - 1][0]):
-            best, cut = loss, (v + raw[i - 1][0]) / 2 if i else v - 1
-        below[y] += 1
-    model.cut = cut
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str = "toxic", fold: tuple[int, int] = (5, 0)) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str = "toxic", fold: tuple[int, int] = (5, 0), drift: float = 0.35, margin: float = 0.0, spread: float = 500.0, alpha: float = 1e-5) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows: about ``per_class`` of each
-    label, never of the held-out fold. Rows without label or id are not used;
-    an id that is labelled twice counts as toxic. Only distinct words, sketches
-    and raw scores of the sample come to the driver."""
+    label, never of the held-out fold. Rows without label or id are not used; an
+    id that is labelled twice counts as toxic; of texts that share an id the
+    smallest one counts. Words are counted on the executors: a sketch a text and
+    the significant features alone come to the driver. ``alpha`` is the chance
+    below which a text is toxic."""
+    spark = docs.sparkSession
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     sample = class_sample(rows.where(~held_out(F.col("doc_id"), *fold)), "y", per_class)
-    text_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
+    text_batches(spark)
     # the sample is bounded by per_class, so it can be broadcast
-    kept = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", text.alias("text"), "doc_id").limit(8 * per_class), "toxic-sample")
+    text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    kept = written(text.repartition(spark.sparkContext.defaultParallelism, "doc_id"), "toxic-sample")
 
     def distinct(batches):
         for batch in batches:
-            sketch = pa.array([s[:SKETCH].tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(tokens(t)))) for t in batch.column(1).to_pylist()], pa.string()), sketch], names=["y", "words", "sketch"])
+            words = [sorted(set(tokens(t))) for t in batch.column(2).to_pylist()]
+            name = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
+            sketch = [s[:SKETCH].tobytes() for s in shingle_sets(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "y", "words", "name", "sketch"])
+
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    own = written(kept.mapInArrow(distinct, f"doc_id {ids}, y int, words array<string>, name binary, sketch binary"), "toxic-words")
+    copies, size, counted = Copies(), [0, 0], []
+    for r in sorted(own.select("doc_id", "y", "name", "sketch").collect()):
+        if not copies.seen(r.y, r.name, np.frombuffer(r.sketch, np.uint64)):
+            size[r.y] += 1
+            counted.append((r.doc_id,))
+    if not size[0] or not size[1]:
+        discard(kept, own)
+        return ToxicityModel({}, drift, 1.0, 1.0, alpha)
+
+    once = own.join(F.broadcast(spark.createDataFrame(counted, f"doc_id {ids}")), "doc_id")
+    w = F.col("word")
+    stem = lambda w, n: F.concat(F.substring(w, 1, n), F.lit("*"))
+    parts = lambda w: F.when(F.length(w) > 5, F.array(w, stem(w, 5), stem(w, 4))).when(F.length(w) > 4, F.array(w, stem(w, 4))).otherwise(F.array(w))
+    per_class_of = lambda df, key: df.groupBy(key).agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1"))
+    features = written(per_class_of(once.select("y", F.explode(F.array_distinct(F.flatten(F.transform("words", parts)))).alias("feature")), "feature"), "toxic-features")
+    n0, n1, many = features.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c1") > 0)).first()
+    share, least = size[1] / sum(size), math.log(max(1, many)) + margin
+    c0, c1 = F.col("c0"), F.col("c1")
+    n = c0 + c1
+    evidence = c1 * F.log(c1 / (n * share)) + F.when(c0 > 0, c0 * F.log(c0 / (n * (1 - share)))).otherwise(0.0)
+    significant = features.where((c1 > 0) & (c1 > n * share) & (evidence >= least))
+    table = [tuple(r) for r in significant.select("feature", "c0", "c1").collect()]
+    of_word = per_class_of(once.select("y", F.explode("words").alias("word")), "word").where("c1 > 0")
+    of_stem = of_word.select(F.explode(F.slice(parts(w), 2, 2)).alias("feature"), "c1").groupBy("feature").agg(F.max("c1").alias("c"))
+    leading = {r.feature: r.c for r in of_stem.join(F.broadcast(spark.createDataFrame([(f,) for f, _, _ in table if f[-1] == "*"], "feature string")), "feature").collect()}
+    shared = ToxicityModel(log_odds(table, leading, size, n0, n1, spread), drift, 2.0, 1.0, alpha).parts()
+
+    def gains(batches):
+        m, found = ToxicityModel(*shared), Counter()
+        for batch in batches:
+            found.update(round(g, 2) if g > 0 else -drift for g in map(m.gain, pa.concat_arrays([batch.column(0)]).flatten().to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["g", "n"])
 
-    got = kept.mapInArrow(distinct, "y int, words string, sketch binary").collect()
-    model = train([r.words for r in got], [r.y for r in got], [np.frombuffer(r.sketch, np.uint64) for r in got])
-    shared = (model.odds, model.drift, model.lam, model.k, model.cut)
+    lam = decay({r.g: r.n for r in own.where("y = 0").select("words").mapInArrow(gains, "g double, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()})
 
-    def raw(batches):
+    def best(batches):
         m = ToxicityModel(*shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.value(t)[0] for t in batch.column(1).to_pylist()], pa.float64())], names=["y", "v"])
+            got = [m.found(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for _, _, s in x), default=0.0) for _, x in got], pa.float64())], names=["n", "s"])
 
-    values = kept.mapInArrow(raw, "y int, v double").collect()
-    discard(kept)
-    return calibrated(model, [r.v for r in values], [r.y for r in values])
+    # two numbers a text of the sample
+    clean = [(r.n, r.s) for r in kept.where("y = 0").select("text").mapInArrow(best, "n long, s double").where("n > 0").collect()]
+    discard(kept, own, features)
+    return ToxicityModel(*shared[:2], lam, extent(sorted(clean), lam), alpha)
 
 
 def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0), passages: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Score every whole text: the kept columns, ``held_out``, ``score``,
     ``predicted`` (score at least 0.5) and, with ``passages``, the toxic
-    passages as word spans. Null and empty texts score 0; repeated rows give
-    repeated rows; a null id is in no fold. Kept columns that are named like
+    passages as word spans. Null and empty texts score 0, as does any text if
+    there were no labels of both kinds; repeated rows give repeated rows; an
+    empty table gives no rows; work is linear in a long text; a null id is in no
+    fold. Kept columns that are named like
     results come back with an underscore behind."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast((model.odds, model.drift, model.lam, model.k, model.cut))
+    shared = spark.sparkContext.broadcast(model.parts())
     kept = [F.col(c).alias(c + "_" if c in RESULTS else c) for c in keep]
     own = docs.select(*kept, *([] if "text" in keep else ["text"]), held_out(F.col("doc_id"), *fold).alias("held_out"))
     names = [c for c in own.columns if c != "text" or "text" in keep]
