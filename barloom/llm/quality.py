@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, flat, held_out, ngram_counts, spread, text_batches, word_hashes, written
+from .common import class_sample, flat, held_out, ngram_counts, sliced, sparse, spread, text_batches, unsparse, word_hashes
 
 SIZES = (1, 2, 3)
 
@@ -38,23 +38,30 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class QualityModel:
-    def __init__(self, rarity: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray, near: int = 15):
-        self.rarity, self.basis, self.vectors, self.labels, self.near = rarity, basis, vectors, labels, near
+    """Rarity of features, latent directions, labelled vectors and the share of
+    label 1, which a text that resembles nothing gets."""
+
+    def __init__(self, rarity: np.ndarray, basis: np.ndarray, vectors: np.ndarray, labels: np.ndarray, near: int = 15, prior: float = 0.5):
+        self.rarity, self.basis, self.vectors, self.labels, self.near, self.prior = rarity, basis, vectors, labels, near, prior
+
+    def parts(self) -> tuple:
+        return self.rarity, self.basis, self.vectors, self.labels, self.near, self.prior
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
         return unit(unit(np.sqrt(counts) * self.rarity) @ self.basis)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by the
-        square of their cosine (0.5 where nothing is similar)."""
+        """Share of label 1 among the nearest labelled vectors, weighted by their
+        cosine. Vectors as near as the last of them, to 1e-6, vote too, so no
+        order breaks a tie; without a similar one the prior counts."""
         if not len(self.labels):
-            return np.full(len(counts), 0.5)
+            return np.full(len(counts), self.prior)
         cos = self.latent(counts) @ self.vectors.T
         near = min(self.near, len(self.labels))
-        best = np.argpartition(-cos, near - 1, axis=1)[:, :near]
-        weight = np.maximum(np.take_along_axis(cos, best, 1), 0) ** 2
+        last = -np.partition(-cos, near - 1, axis=1)[:, near - 1 : near]
+        weight = np.where(cos >= last - 1e-6, np.maximum(cos, 0), 0)
         total = weight.sum(1)
-        return np.where(total > 0, (weight * self.labels[best]).sum(1) / np.where(total > 0, total, 1), 0.5)
+        return np.where(total > 0, weight @ self.labels / np.where(total > 0, total, 1), self.prior)
 
 
 def train(counts: np.ndarray, labels: np.ndarray, directions: int = 64, seed: int = 3) -> QualityModel:
@@ -79,38 +86,46 @@ def train(counts: np.ndarray, labels: np.ndarray, directions: int = 64, seed: in
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, dim: int = DIM, label: str = "quality", fold: tuple[int, int] = (3, 1)) -> QualityModel:
     """Fit on about ``per_class`` rows of each label outside the held-out fold.
     Rows without label or id are not used; of two labels of an id the smaller
-    counts."""
+    counts, and of texts that share an id the smallest. The sample is in order,
+    so reruns agree. Without labels every text scores 0.5."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
-    sample = class_sample(rows.where(~held_out(F.col("doc_id"), *fold)), "y", per_class)
+    learn = rows.where(~held_out(F.col("doc_id"), *fold))
+    sample = class_sample(learn, "y", per_class)
     text_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            counts = features(batch.column(1), dim).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], names=["y", "x"])
+        for batch in sliced(batches):
+            counts = features(batch.column(2), dim).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sparse(c) for c in counts], pa.binary())], names=["doc_id", "y", "x"])
 
     # the sample is bounded by per_class, so it can be broadcast and collected
-    table = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(8 * per_class).select("y", "text").mapInArrow(run, "y int, x binary"), "quality-sample")
-    got = table.collect()
-    discard(table)
-    counts = np.array([np.frombuffer(r.x, np.uint32) for r in got], np.float32).reshape(len(got), dim)
-    return train(counts, np.array([r.y for r in got], np.int64))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = texts.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    got = sorted(texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary").collect())
+    counts = np.zeros((len(got), dim), np.float32)
+    for k, r in enumerate(got):
+        unsparse(r.x, counts[k])
+    model = train(counts, np.array([r.y for r in got], np.int64))
+    model.prior = learn.agg(F.coalesce(F.avg("y"), F.lit(0.5))).first()[0]
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, fold: tuple[int, int] = (3, 1)) -> DataFrame:
     """Score every whole text: ``doc_id, held_out, score, predicted``. Null
-    and empty texts have no direction and get 0.5, as any text does when there
-    are no labels; repeated rows give repeated rows; other columns are not
-    read; a null id is in no fold."""
+    and empty texts have no direction and get the share of label 1 among the
+    labelled rows, as any text does that resembles nothing; repeated rows give
+    repeated rows; an empty table gives no rows; of neighbours that are equally
+    near all vote; columns besides ``doc_id`` and ``text`` are not read, whatever
+    their names; a null id is in no fold."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast((model.rarity, model.basis, model.vectors, model.labels, model.near))
+    shared = spark.sparkContext.broadcast(model.parts())
     own = docs.select("doc_id", held_out(F.col("doc_id"), *fold).alias("held_out"), "text")
     schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
 
     def run(batches):
         m = QualityModel(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             value = m.score(features(batch.column(2), len(m.rarity))).astype(np.float64).clip(0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
