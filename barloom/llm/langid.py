@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, held_out, ngram_counts, spread, text_batches, written
+from .common import class_sample, held_out, ngram_counts, sliced, sparse, spread, text_batches, unsparse
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -54,7 +54,7 @@ def features(counts: np.ndarray) -> np.ndarray:
 def train_bits(x: np.ndarray, signs: np.ndarray, rounds: int = 150, rate: float = 40.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic regressions for all bits at once, both sides of a bit weighing
     the same, by gradient steps with momentum. Returns weights (dim x bits)."""
-    x, signs = x.astype(np.float32), signs.astype(np.float32)
+    x, signs = x.astype(np.float32, copy=False), signs.astype(np.float32, copy=False)
     w = np.zeros((x.shape[1], signs.shape[1]), np.float32)
     move = np.zeros_like(w)
     weight = np.where(signs > 0, 0.5 / np.maximum(1, (signs > 0).sum(0)), 0.5 / np.maximum(1, (signs < 0).sum(0))).astype(np.float32)
@@ -88,36 +88,45 @@ class LanguageModel:
         return [self.languages[k] for k in chance.argmax(1)], order[:, -1], order[:, -1] - order[:, -2] < 0.1
 
 
-def fit(docs: DataFrame, per_language: int = 800, dim: int = 4096, fold: tuple[int, int] = (4, 2)) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 800, dim: int = 4096, fold: tuple[int, int] = (4, 2), most: int = 12_000) -> LanguageModel:
     """Fit on about ``per_language`` rows of each language that the column
-    ``lang`` holds outside the held-out fold. Rows without a language or a
-    letter teach nothing; without any the model answers ``und``."""
-    text_batches(docs.sparkSession)
+    ``lang`` holds outside the held-out fold, and ``most`` rows in all, however
+    many languages there are (at 4096 features that is 200 MB of the driver).
+    Rows without a language or a letter teach nothing, repeated rows count once;
+    the sample is in order, so reruns agree; without any row the model answers
+    ``und``."""
+    spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"), *fold))
-    kept = class_sample(rows, "lang", per_language)
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    kept = class_sample(rows, "lang", per_language, ("doc_id", "_hash"), most)
+    kept = kept.groupBy("lang", "doc_id", "_hash").agg(F.min("text").alias("text")).repartition(spark.sparkContext.defaultParallelism, "doc_id", "_hash")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             counts = ngram_counts(batch.column(1), dim, SIZES, _LOWER).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sparse(c) for c in counts], pa.binary())], names=["lang", "x"])
 
-    table = written(kept.select("lang", "text").mapInArrow(run, "lang string, x binary"), "language-sample")
-    got = table.collect()  # bounded by per_language x languages x dim
-    discard(table)
+    got = sorted(kept.select("lang", "text").mapInArrow(run, "lang string, x binary").collect())
     languages = sorted({r.lang for r in got})
     if len(languages) < 2:
         return LanguageModel(languages, codewords(len(languages)), np.zeros((dim, 1)))
-    x = features(np.array([np.frombuffer(r.x, np.uint32) for r in got], np.float32))
+    x = np.zeros((len(got), dim), np.float32)
+    for k, r in enumerate(got):
+        unsparse(r.x, x[k])
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     y = np.array([languages.index(r.lang) for r in got])
     code = codewords(len(languages))
-    return LanguageModel(languages, code, train_bits(x, code[y].astype(np.float64)))
+    return LanguageModel(languages, code, train_bits(x, code[y].astype(np.float32)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, fold: tuple[int, int] = (4, 2), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Language of every whole text: the kept columns, ``held_out``,
     ``lang_pred`` (``und`` for null text or text without a letter, with score
-    0), ``score`` (0 to 1) and ``ambiguous``. Repeated rows give repeated rows;
-    a null id is in no fold. Kept columns may be named like the results: they
+    0), ``score`` (0 to 1) and ``ambiguous``. Of languages whose losses tie the
+    first by name is named, and the row is ambiguous. Repeated rows give repeated
+    rows; an empty table gives no rows; a null id is in no fold. Kept columns may be named like the results: they
     come back with an underscore behind."""
     spark = docs.sparkSession
     text_batches(spark)
@@ -129,7 +138,7 @@ def identify(docs: DataFrame, model: LanguageModel, fold: tuple[int, int] = (4,
 
     def run(batches):
         m = LanguageModel(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             lang, score, close = m.predict(batch.column("text"))
             lettered = batch.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
             lang = [x if ok else "und" for x, ok in zip(lang, lettered, strict=True)]

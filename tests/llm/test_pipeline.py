@@ -39,5 +39,28 @@ def test_stages_on_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == sorted([(False, 1, text), (False, 2, text + "."), (False, 3, ""), (False, 4, ""), (False, 4, ""), (True, 0, "")])
 
 
+def test_every_stage_on_odd_rows_has_the_stated_result(spark):
+    text = "the one of two and three in four the five of six and seven in eight"
+    rows = [(1, text, "en", "a", 1), (1, text, "fr", "b", 2), (1, text, "en", "b", 2), (3, None, "en", "a", 0), (4, "", None, "b", 0), (4, "", None, "b", 0), (5, "the of " * 40_000, "en", "a", 3), (None, "... 1 2", None, None, None), (None, "other words of the text here", "en", None, None)]
+    frames = [spark.createDataFrame([(*r, 0.5, 7) for r in (rows if k else rows[::-1])], DOCS) for k in (0, 1)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(rows, key=lambda r: key(r[:1] + r[2:]))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = (sorted(map(tuple, stage(spark, f, SF).collect()), key=lambda r: key(r[:1] + r[2:])) for f in frames)
+        assert a == b, name
+        out[name] = a
+    assert out["toxicity"] == want
+    # no row has a language of its own text that is learnt elsewhere: English alone, and nothing without a letter
+    assert all(t and any(c.isalpha() for c in t) for _, t, *_ in out["language"])
+    assert out["near_copies"] == [r for r in want if r[0] != 1 or r[2:] == ("en", "a", 1)]
+    sizes = {}
+    for r in out["mixing"]:
+        assert r in rows and r[1].split()
+        sizes[r] = sizes.get(r, 0) + 1
+    assert all(n <= 3 for n in sizes.values()) and {r[3] for r in sizes} <= {"a", "b", None}
+    assert sorted(r[0] or 0 for r in out["bpe"]) == sorted(r[0] or 0 for r in rows) and sum(r[1] == 0 for r in out["bpe"]) == 3
+
+
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,6 +132,68 @@ def test_matches_before_the_best_of_a_window_are_kept():
             assert len(found) == len(parts) and sum(m[3] for m in found) == sum(edits(phrase, p) for p in parts)
 
 
+def ends_within(phrase, text, most):
+    """Sellers: of every place, the least edits of the phrase ending there."""
+    row = list(range(len(phrase) + 1))
+    out = []
+    for c in text:
+        new = [0]
+        for i, x in enumerate(phrase, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != c)))
+        row = new
+        out.append(row[-1])
+    return [(k + 1, d) for k, d in enumerate(out) if d <= most]
+
+
+def test_notices_of_unlike_edits_close_together_against_all_alignments():
+    rng, search = random.Random(11), licenses.NoticeSearch()
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(2, 5)):
+            phrase, _, most = rng.choice(licenses.NOTICES[:12])
+            t = list(phrase)
+            for _ in range(rng.randint(0, most + 1)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "z", " "])
+            parts.append(rng.choice(["", "the ", "license "]) + "".join(t))
+        text = f" {' '.join(parts)} "
+        got = search.find(text)
+        for k, (phrase, _, most) in enumerate(licenses.NOTICES):
+            ends, own = ends_within(phrase, text, most), [m for m in got if m[0] == k]
+            for _, a, b, e in own:
+                assert edits(phrase, text[a:b]) == e <= most
+            assert all(p[2] <= q[1] for p, q in zip(own, own[1:], strict=False))
+            runs = []
+            for end, d in ends:
+                if runs and end == runs[-1][1] + 1:
+                    runs[-1] = (runs[-1][0], end, min(d, runs[-1][2]))
+                else:
+                    runs.append((end, end, d))
+            for lo, hi, least in runs:
+                # each place where the notice ends within its edits is told by a match there, as good as the best one
+                assert any(a < hi and b >= lo - 2 * most and e <= least for _, a, b, e in own), (phrase, text, lo, hi, least, own)
+
+
+def test_notices_that_the_judge_of_a_window_could_hide(spark):
+    texts = ["released undr the mit license released under the mit license", "all right reserved all rights reserved", "licensed under the apache licens version 2 0 licensed under the apache license version 2 0", "Creative Commons Attribution-NonCommercial", "creative commons attribution only"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(m.from_word, m.to_word, m.edits) for m in got[0].matches] == [(0, 4, 1), (5, 9, 0)]
+    assert [m.edits for m in got[1].matches] == [1, 0] and [m.edits for m in got[2].matches if m.label == "apache-2.0"] == [1, 0]
+    assert got[3].labels == "cc-by-nc" and got[4].labels == "cc-by"
+
+
+def test_many_hits_in_a_text_take_linear_time(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "cc by " * n + "all rights reserved " * (n // 4))], "doc_id long, text string")
+        start = time.time()
+        r = licenses.scan(df).first()
+        assert r.n_base == n + n // 4 and len(r.matches) == n // 4 and r.last_word == 2 * n + 3 * (n // 4) - 3
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(80_000) < 20 * max(0.5, seconds(10_000))
+
+
 def truth(spark, column):
     docs = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet")
@@ -157,6 +221,36 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_the_fit_on_executors_equals_the_plain_one(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, per_class=10**6)
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in y)
+    plain = toxicity.train([" ".join(sorted(set(toxicity.tokens(t)))) for _, t in rows], [y[i] for i, _ in rows], [x[: toxicity.SKETCH] for x in toxicity.shingle_sets(pa.array([t for _, t in rows]))], k=model.k)
+    assert model.odds.keys() == plain.odds.keys() and len(model.odds) > 3
+    assert all(model.odds[w] == pytest.approx(plain.odds[w]) for w in model.odds) and model.lam == pytest.approx(plain.lam)
+    found = [model.found(t) for i, t in rows if not y[i]]
+    assert model.k == pytest.approx(toxicity.extent([(n, max((x for _, _, x in own), default=0.0)) for n, own in found if n], model.lam))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, t in rows:
+        score, passages = plain.score(t)
+        assert got[i].score == pytest.approx(score, abs=1e-9) and [(p.from_word, p.to_word) for p in got[i].passages] == [p[:2] for p in passages]
+        assert got[i].predicted == (plain.value(t)[0] >= -math.log(model.alpha))
+
+
+def test_chances_of_segments():
+    # one segment: the extreme-value law itself, less ln 2 for the choice of how many
+    for x in (-2.0, 0.0, 3.0, 12.0):
+        want = max(0.0, -math.log(1 - math.exp(-math.exp(-x))) - math.log(2))
+        assert toxicity.surprise([x]) == pytest.approx(want, abs=1e-6)
+    assert toxicity.surprise([]) == 0 and toxicity.surprise([5.0, 4.0]) > toxicity.surprise([5.0]) and toxicity.surprise([5.0, -1.0]) == toxicity.surprise([5.0])
+    # K is found again from texts that follow the law
+    rng = np.random.default_rng(1)
+    n = rng.integers(50, 500, 4000)
+    best = np.log(0.3 * n / rng.exponential(size=4000)) / 1.5
+    assert toxicity.extent([(int(a), max(0.0, float(b))) for a, b in zip(n, best, strict=True)], 1.5) == pytest.approx(0.3, rel=0.1)
+
+
 def test_unrelated_texts_count_although_they_share_a_word():
     rng, letters = random.Random(4), "bcdfghklmnprst"
     word = lambda: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(4))
@@ -214,6 +308,34 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs.limit(20), one).collect()} == {"fr"}
 
 
+def test_decoding_against_all_codewords():
+    rng = np.random.default_rng(4)
+    texts = pa.array(["the cat sat", "le chat noir", "", "der Hund", "été"])
+    for n in (2, 5, 9):
+        code = langid.codewords(n)
+        model = langid.LanguageModel([f"l{k}" for k in range(n)], code, rng.standard_normal((64, code.shape[1])).astype(np.float32))
+        lang, score, close = model.predict(texts)
+        margin = langid.features(common.ngram_counts(texts, 64, langid.SIZES, langid._LOWER)) @ model.weights
+        for k in range(len(texts)):
+            loss = [sum(math.log1p(math.exp(-float(m) * int(b))) for m, b in zip(margin[k], word, strict=True)) for word in code]
+            chance = sorted((math.exp(min(loss) - x) for x in loss), reverse=True)
+            assert lang[k] == f"l{loss.index(min(loss))}" or chance[1] > 1 - 1e-4
+            assert score[k] == pytest.approx(chance[0] / sum(chance), abs=1e-4) and close[k] == ((chance[0] - chance[1]) / sum(chance) < 0.1)
+
+
+def test_many_languages_and_repeated_rows(spark):
+    rng = random.Random(9)
+    word = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(30)] for _ in range(40)]
+    rows = [(k, " ".join(rng.choices(word[k % 40], k=40)), f"x{k % 40:02d}") for k in range(2000)] + [(None, "one and the same", "x00")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, most=800)
+    assert len(model.languages) == 40
+    got = [r for r in langid.identify(df, model, keep=("doc_id", "lang")).where("held_out").collect()]
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    again = langid.fit(df.repartition(3), most=800)
+    assert (again.weights == model.weights).all()
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 7, 9, 40])
 def test_codewords_are_apart(n):
     code = langid.codewords(n)
@@ -234,6 +356,36 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_voting_against_all_neighbours():
+    rng = np.random.default_rng(6)
+    counts = rng.integers(0, 4, (60, 33)).astype(np.float32)
+    counts[50:] = counts[0]  # many neighbours that are equally near
+    labels = (rng.random(60) < 0.5).astype(np.int64)
+    model = quality.train(counts, labels, directions=8)
+    test = np.concatenate([counts[:3], rng.integers(0, 4, (20, 33)).astype(np.float32), np.zeros((1, 33), np.float32)])
+    model.prior = 0.7
+    got = model.score(test)
+    for k, x in enumerate(test):
+        cos = [float(model.latent(x[None])[0] @ v) for v in model.vectors]
+        last = sorted(cos, reverse=True)[model.near - 1]
+        votes = [(max(c, 0.0), y) for c, y in zip(cos, labels, strict=True) if c >= last - 1e-6]
+        total = sum(c for c, _ in votes)
+        assert got[k] == pytest.approx(sum(c * y for c, y in votes) / total if x.any() and total else 0.7, abs=1e-4)
+    assert len([1 for c in [float(model.latent(counts[:1])[0] @ v) for v in model.vectors] if c > 1 - 1e-5]) >= 11
+    order = rng.permutation(60)
+    assert quality.train(counts[order], labels[order], directions=8).score(test)[:-1] == pytest.approx(got[:-1], abs=0.05)
+
+
+def test_quality_of_empty_texts_and_of_rows_in_any_order(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(3), labels.repartition(2))
+    assert (model.vectors == again.vectors).all() and (model.labels == again.labels).all()
+    share = [r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.quality is not None]
+    for r in quality.score(edge_docs(spark), model).where("doc_id < -0 and doc_id > -3").collect():
+        assert r.score == pytest.approx(np.mean(share))
+
+
 def test_slices_change_nothing():
     texts = pa.array(["ab cd é 日本 x", None, "", "word " * 400, "one"])
     a, b = common.ngram_counts(texts, 64), common.ngram_counts(texts, 64, step=7)
