@@ -19,7 +19,10 @@ def _columns(docs: DataFrame) -> list[str]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go. The model learns
-    from the labels outside its held-out fold."""
+    from the labels outside its held-out fold. Null and empty texts are not
+    toxic and stay, repeated rows stay, an empty table gives an empty one, whole
+    texts of any length are scored; other columns than those of ``documents``
+    do not come back, whatever their names (so too in the stages below)."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     keep = _columns(docs)
     scored = toxicity.score(docs, model, passages=False, keep=tuple(keep))
@@ -27,8 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold no letter (``und``), or whose language is
-    ambiguous: the runner-up is about as likely."""
+    """Documents go that hold no letter (``und``: null and empty texts too), or
+    whose language is ambiguous: the runner-up is about as likely, or ties.
+    Repeated rows stay; if no row teaches a language all documents go; an empty
+    table gives an empty one."""
     keep = _columns(docs)
     named = langid.identify(docs, langid.fit(docs), keep=tuple(keep))
     return named.where("lang_pred <> 'und' AND NOT ambiguous").select(*keep)
@@ -36,31 +41,38 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the row with the
-    smallest id (and text hash, should ids repeat). Rows are known by id and
-    text hash, and only those that go are joined; of rows equal in both, one
-    stays. Texts without a word are groups of their own."""
+    smallest id, null last (and text hash, should ids repeat). Rows are known by
+    id and text hash, and only those that go are joined; of rows equal in both,
+    the one that is least in all columns stays, whatever their order. Texts
+    without a word are groups of their own."""
     keep = _columns(docs)
     groups = jaccard.join(docs)
-    gone = written(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("handle").alias("_handle")).distinct(), "gone", 16)
-    again = groups.where("kept AND n_shingles > 0").groupBy("doc_id", "handle").count().where("count > 1").limit(1).count()
+    names = [F.col("doc_id").alias("_id"), F.col("handle").alias("_handle")]
+    gone = written(groups.where("NOT kept").select(*names).distinct(), "gone", packed=True)
+    again = written(groups.where("kept AND n_shingles > 0").groupBy(*names).count().where("count > 1").select("_id", "_handle"), "again", packed=True)
     discard(groups)
     rows = docs.select(*keep).withColumn("_h", F.xxhash64("text"))
-    left = rows.join(side(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_handle")), "left_anti")
-    if again:
-        # repeated rows: one of each stays, but texts without a word all do
-        worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        left = left.where(worded).dropDuplicates(["doc_id", "_h"]).unionByName(left.where(~worded))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_handle"))
+    left = rows.join(side(gone), same, "left_anti")
+    if again.limit(1).count():
+        repeated = side(again)
+        one = left.join(repeated, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*keep)).alias("row")).select("row.*")
+        return left.join(repeated, same, "left_anti").select(*keep).unionByName(one)
     return left.select(*keep)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document is repeated as often as it is taken, and goes if it
-    is not taken."""
+    is not taken. Null and wordless texts have size 0 and go; the null source is
+    a source of its own; repeated rows count each; the order of rows does not
+    matter; an empty table gives an empty one."""
     return mixing.mixed_documents(docs, _columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and decoded text."""
+    """Token counts of every document, with digests of ids and decoded text.
+    Null texts count as empty; repeated rows give repeated rows; whole texts of
+    any length are encoded; an empty table gives no rows."""
     return bpe.encode(docs, tokenizer_path(), outputs=("digests",))
 
 
@@ -77,8 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet and read again by the next."""
+    """All stages, each written as Parquet and read again by the next; a table
+    goes once the next one is written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
