@@ -26,6 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.where("a <> b").distinct(), "edges")
+    if not edges.limit(1).count():
+        none = written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+        discard(edges)
+        return none
     label = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "roots")
     while True:
         # smallest root around, offered to the node and to its present root
@@ -69,7 +73,7 @@ def linked(held: DataFrame, order: list[str], may: Callable[[Callable, Callable]
     marked = written(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "marked")
     open_ = marked.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     still = written(dealt_pairs(marked.join(open_, "token", "left_semi"), ["token"], F.ceil(F.count("*") / CHUNK)), "open")
-    discard(marked, roots)
+    discard(marked)
     l, r = still.alias("l"), still.alias("r")
     of = lambda side: lambda c: F.col(f"{side}.{c}")
     cell = (F.col("l.token") == F.col("r.token")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
@@ -77,8 +81,13 @@ def linked(held: DataFrame, order: list[str], may: Callable[[Callable, Callable]
     rest = l.join(r, cell & once & (F.col("l.root") != F.col("r.root")) & may(of("l"), of("r")))
     rest = rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    discard(star, still)
+    if not rest.limit(1).count():
+        discard(links, rest)
+        return roots
+    discard(roots)
     more = verify(rest)
-    discard(star, still, rest)
+    discard(rest)
     both = written(links.unionByName(more), "links")
     roots = components(both)
     discard(links, more, both)
