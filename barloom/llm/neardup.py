@@ -2,8 +2,8 @@
 
 Vectors are scaled to length 1 and grouped into classes of equal direction and
 label. A table hashes a vector by pseudo-random rotations (sign flips and a
-fast Hadamard transform, three times): two rotations give two nearest signed
-axes, which name a bucket together. Multiprobe: a vector is also filed under
+fast Hadamard transform, three times): two rotations, more for very large
+labels, give a nearest signed axis each, which name a bucket together. Multiprobe: a vector is also filed under
 the next nearest axes. Pairs that share a bucket of a label and whose sketches
 (signs of 64 rotated components) are not far apart are candidates; they are
 verified by exact cosine in double precision.
@@ -16,6 +16,8 @@ is capped and no bucket is gathered.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -42,10 +44,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotations(dim: int, seed: int, tables: int = TABLES) -> np.ndarray:
-    """Signs of three flips, for two rotations a table."""
+def axes_for(n: int, dim: int) -> int:
+    """Rotations of a table, such that a bucket holds about 64 of ``n`` unlike
+    vectors at any size of the input; 2 at least."""
+    return max(2, math.ceil(math.log(max(1.0, n / 64)) / math.log(2 * max(2, dim))))
+
+
+def rotations(dim: int, seed: int, tables: int = TABLES, axes: int = 2) -> np.ndarray:
+    """Signs of three flips, for each rotation of a table."""
     width = 1 << max(0, (max(1, dim) - 1).bit_length())
-    return np.random.default_rng([seed, width]).choice([-1.0, 1.0], (tables, 2, 3, width))
+    return np.random.default_rng([seed, width]).choice([-1.0, 1.0], (tables, axes, 3, width))
 
 
 def rotated(x: np.ndarray, flips: np.ndarray) -> np.ndarray:
@@ -64,8 +72,8 @@ def bucket_keys(x: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> tuple
     wide[:, : x.shape[1]] = x
     out, sketch = [], np.zeros(len(x), np.int64)
     for t in range(len(signs)):
-        axes, cost = [], []
-        for r in range(2):
+        name, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for r in range(signs.shape[1]):
             y = rotated(wide, signs[t, r])
             if t == r == 0 and width >= BITS:
                 sketch = np.packbits(y[:, :BITS] > 0, axis=1).view(np.int64).ravel()
@@ -75,12 +83,12 @@ def bucket_keys(x: np.ndarray, signs: np.ndarray, probes: int = PROBES) -> tuple
             value = np.take_along_axis(both, top, 1)
             order = np.lexsort((top, -value), axis=1)
             top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-            axes.append(top)
-            cost.append(value[:, :1] - value)
-        total = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(x), -1)
-        name = (axes[0][:, :, None] * (2 * width) + axes[1][:, None, :]).reshape(len(x), -1)
-        pick = np.argsort(total, axis=1, kind="stable")[:, :probes]
-        keys = np.take_along_axis(name, pick, 1) + t * 4 * width * width
+            # the likeliest names so far, each with the likeliest next axes
+            total = (total[:, :, None] + (value[:, :1] - value)[:, None, :]).reshape(len(x), -1)
+            name = (name[:, :, None] * (2 * width) + top[:, None, :]).reshape(len(x), -1)
+            pick = np.argsort(total, axis=1, kind="stable")[:, :probes]
+            total, name = np.take_along_axis(total, pick, 1), np.take_along_axis(name, pick, 1)
+        keys = name * len(signs) + t
         if keys.shape[1] < probes:
             keys = np.concatenate([keys, np.repeat(keys[:, :1], probes - keys.shape[1], 1)], 1)
         out.append(keys)
@@ -114,9 +122,9 @@ def unpacked(raw: list[bytes]) -> np.ndarray:
     return _unit([np.frombuffer(r, np.float32 if r[:1] == b"s" else np.float64, offset=1) for r in raw])
 
 
-def filed(reps: DataFrame, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> DataFrame:
+def filed(reps: DataFrame, n: int, tables: int = TABLES, probes: int = PROBES, seed: int = 7) -> DataFrame:
     """``node, weight, dim, sketch, keys, raw`` of each class; keys are hashes of
-    bucket, length and label."""
+    bucket, length and label; ``n`` is the size of the largest label."""
 
     def run(batches):
         for batch in batches:
@@ -125,7 +133,7 @@ def filed(reps: DataFrame, tables: int = TABLES, probes: int = PROBES, seed: int
             dims = np.array([len(r) for r in rows], np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                keys[at], sketch[at] = bucket_keys(_unit([rows[k] for k in at]), rotations(int(d), seed, tables), probes)
+                keys[at], sketch[at] = bucket_keys(_unit([rows[k] for k in at]), rotations(int(d), seed, tables, axes_for(n, int(d))), probes)
             cols = [batch.column(0), batch.column(2), batch.column(1), pa.array(dims, pa.int32()), pa.array(sketch), pa.array(list(keys), pa.list_(pa.int64())), pa.array([packed(r) for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["node", "weight", "label", "dim", "sketch", "keys", "raw"])
 
@@ -198,7 +206,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = TABLE
     """
     text_batches(vectors.sparkSession)
     own = classes(vectors)
-    file = written(filed(own.groupBy("cls", "label", "unit").agg(F.count("*").alias("n")), tables, probes), "vectors")
+    most = own.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    file = written(filed(own.groupBy("cls", "label", "unit").agg(F.count("*").alias("n")), most, tables, probes), "vectors")
     many = file.select("node", "sketch", F.explode("keys").alias("token"))
     shared = many.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     held = written(many.join(shared, "token"), "held")

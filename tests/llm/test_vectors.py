@@ -133,3 +133,17 @@ def test_sketches_of_links_are_close():
     differ = np.array([bin(int(p) & (2**64 - 1)).count("1") for p in a ^ b])
     assert link.sum() > 5000 and (differ[link] <= neardup.MOST).all()
     assert (np.array([bin(int(p) & (2**64 - 1)).count("1") for p in a ^ np.roll(b, 1)]) > neardup.MOST).mean() > 0.99
+
+
+@pytest.mark.parametrize("axes", [2, 3, 4])
+def test_links_share_buckets_at_any_number_of_axes(axes):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    y = x + 0.17 * rng.standard_normal(x.shape)
+    x, y = neardup._unit(list(x)), neardup._unit(list(y))
+    link = np.einsum("ij,ij->i", x, y) >= 0.98
+    signs = neardup.rotations(64, 7, axes=axes)
+    a, b = (neardup.bucket_keys(z, signs)[0] for z in (x, y))
+    met = np.array([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)])
+    assert link.sum() > 2000 and met[link].mean() > 0.98
+    assert [neardup.axes_for(n, 64) for n in (0, 10**5, 10**6, 10**8, 10**10)] == [2, 2, 2, 3, 4]
