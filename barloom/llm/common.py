@@ -37,7 +37,7 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 512 << 10
+BATCH_BYTES = 256 << 10
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -253,62 +253,70 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str =
     text_batches(spark)
     # the sample is bounded by per_class, so it can be broadcast
     text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
-    kept = written(text.repartition(spark.sparkContext.defaultParallelism, "doc_id"), "toxic-sample")
 
     def distinct(batches):
         for batch in batches:
             words = [sorted(set(tokens(t))) for t in batch.column(2).to_pylist()]
             name = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
             sketch = [s[:SKETCH].tobytes() for s in shingle_sets(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "y", "words", "name", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(name, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "y", "text", "words", "name", "sketch"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    own = written(kept.mapInArrow(distinct, f"doc_id {ids}, y int, words array<string>, name binary, sketch binary"), "toxic-words")
-    copies, size, counted = Copies(), [0, 0], []
+    cores = spark.sparkContext.defaultParallelism
+    own = written(text.repartition(cores, "doc_id").mapInArrow(distinct, f"doc_id {ids}, y int, text string, words array<string>, name binary, sketch binary"), "toxic-sample")
+    copies, size, counted = Copies(), [0, 0], set()
     for r in sorted(own.select("doc_id", "y", "name", "sketch").collect()):
         if not copies.seen(r.y, r.name, np.frombuffer(r.sketch, np.uint64)):
             size[r.y] += 1
-            counted.append((r.doc_id,))
+            counted.add(r.doc_id)
     if not size[0] or not size[1]:
-        discard(kept, own)
+        discard(own)
         return ToxicityModel({}, drift, 1.0, 1.0, alpha)
 
-    once = own.join(F.broadcast(spark.createDataFrame(counted, f"doc_id {ids}")), "doc_id")
-    w = F.col("word")
-    stem = lambda w, n: F.concat(F.substring(w, 1, n), F.lit("*"))
-    parts = lambda w: F.when(F.length(w) > 5, F.array(w, stem(w, 5), stem(w, 4))).when(F.length(w) > 4, F.array(w, stem(w, 4))).otherwise(F.array(w))
-    per_class_of = lambda df, key: df.groupBy(key).agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1"))
-    features = written(per_class_of(once.select("y", F.explode(F.array_distinct(F.flatten(F.transform("words", parts)))).alias("feature")), "feature"), "toxic-features")
+    def count(batches):
+        found = Counter(), Counter()
+        for batch in batches:
+            for i, y, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if i in counted:
+                    found[y].update({s for w in words for s in stems(w)})
+        every = list(found[0].keys() | found[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[s] for s in every], pa.int64()) for c in found)], names=["feature", "c0", "c1"])
+
+    counts = own.select("doc_id", "y", "words").mapInArrow(count, "feature string, c0 long, c1 long")
+    features = written(counts.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxic-features")
     n0, n1, many = features.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c1") > 0)).first()
     share, least = size[1] / sum(size), math.log(max(1, many)) + margin
     c0, c1 = F.col("c0"), F.col("c1")
     n = c0 + c1
     evidence = c1 * F.log(c1 / (n * share)) + F.when(c0 > 0, c0 * F.log(c0 / (n * (1 - share)))).otherwise(0.0)
-    significant = features.where((c1 > 0) & (c1 > n * share) & (evidence >= least))
-    table = [tuple(r) for r in significant.select("feature", "c0", "c1").collect()]
-    of_word = per_class_of(once.select("y", F.explode("words").alias("word")), "word").where("c1 > 0")
-    of_stem = of_word.select(F.explode(F.slice(parts(w), 2, 2)).alias("feature"), "c1").groupBy("feature").agg(F.max("c1").alias("c"))
-    leading = {r.feature: r.c for r in of_stem.join(F.broadcast(spark.createDataFrame([(f,) for f, _, _ in table if f[-1] == "*"], "feature string")), "feature").collect()}
+    table = [tuple(r) for r in features.where((c1 > 0) & (c1 > n * share) & (evidence >= least)).collect()]
+    # words that significant stems stand for
+    stem = lambda n: F.concat(F.substring("feature", 1, n), F.lit("*"))
+    word = features.where((c1 > 0) & ~F.col("feature").endswith("*") & (F.length("feature") > 4))
+    five = F.when(F.length("feature") > 5, stem(5))
+    of_stem = word.select(F.explode(F.array(five, stem(4))).alias("stem"), "c1").where(F.col("stem").isin([f for f, _, _ in table if f[-1] == "*"]))
+    leading = {r.stem: r.c for r in of_stem.groupBy("stem").agg(F.max("c1").alias("c")).collect()}
     shared = ToxicityModel(log_odds(table, leading, size, n0, n1, spread), drift, 2.0, 1.0, alpha).parts()
 
-    def gains(batches):
+    def clean(batches):
+        """Words and best segment of each text; at the end how often each gain."""
         m, found = ToxicityModel(*shared), Counter()
-        for batch in batches:
-            found.update(round(g, 2) if g > 0 else -drift for g in map(m.gain, pa.concat_arrays([batch.column(0)]).flatten().to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["g", "n"])
-
-    lam = decay({r.g: r.n for r in own.where("y = 0").select("words").mapInArrow(gains, "g double, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()})
-
-    def best(batches):
-        m = ToxicityModel(*shared)
         for batch in batches:
             got = [m.found(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for _, _, s in x), default=0.0) for _, x in got], pa.float64())], names=["n", "s"])
+            for words in batch.column(1).to_pylist():
+                found.update(round(g, 2) if g > 0 else -drift for g in map(m.gain, words))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([max((s for _, _, s in x), default=0.0) for _, x in got], pa.float64()), pa.array([False] * len(got))], names=["n", "s", "gain"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.float64()), pa.array([True] * len(found))], names=["n", "s", "gain"])
 
     # two numbers a text of the sample
-    clean = [(r.n, r.s) for r in kept.where("y = 0").select("text").mapInArrow(best, "n long, s double").where("n > 0").collect()]
-    discard(kept, own, features)
-    return ToxicityModel(*shared[:2], lam, extent(sorted(clean), lam), alpha)
+    got = own.where("y = 0").select("text", "words").mapInArrow(clean, "n long, s double, gain boolean").collect()
+    discard(own, features)
+    gains: Counter = Counter()
+    for r in got:
+        if r.gain:
+            gains[r.s] += r.n
+    lam = decay(gains)
+    return ToxicityModel(*shared[:2], lam, extent(sorted((r.n, r.s) for r in got if not r.gain and r.n), lam), alpha)
 
 
 def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0), passages: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
