@@ -6,14 +6,22 @@ All dates come from rules, so a calendar for any span is made on the driver
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Full-day closures of the exchange that no rule gives.
+CLOSURES = frozenset({
+    date(2001, 9, 11), date(2001, 9, 12), date(2001, 9, 13), date(2001, 9, 14), date(2004, 6, 11), date(2007, 1, 2),
+    date(2012, 10, 29), date(2012, 10, 30), date(2018, 12, 5), date(2025, 1, 9),
+})
+
+
 def easter(year: int) -> date:
-    """Easter Sunday (Gregorian computus)."""
+    """Easter Sunday by the published Gregorian computus (golden number,
+    century corrections, paschal full moon)."""
     century, gold = year // 100, year % 19
     moon = (century - century // 4 - (8 * century + 13) // 25 + 19 * gold + 15) % 30
     moon -= (moon // 28) * (1 - (moon // 28) * (29 // (moon + 1)) * ((21 - gold) // 11))
@@ -55,7 +63,7 @@ def early_closes(year: int) -> set[date]:
 @dataclass(frozen=True)
 class Calendar:
     """Sessions of a market. ``always_open``: every day trades (test data).
-    ``closed`` adds one-off closures."""
+    ``closed`` holds one-off closures, by default those that are known."""
 
     premarket: time = time(4, 0)
     regular: time = time(9, 30)
@@ -63,7 +71,7 @@ class Calendar:
     aftermarket_end: time = time(20, 0)
     early_close: time = time(13, 0)
     always_open: bool = False
-    closed: frozenset[date] = field(default_factory=frozenset)
+    closed: frozenset[date] = CLOSURES
 
     def is_session(self, day: date) -> bool:
         return self.always_open or (day.weekday() < 5 and day not in holidays(day.year) and day not in self.closed)

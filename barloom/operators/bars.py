@@ -108,20 +108,24 @@ def gap_audit(regular: DataFrame, group: list[str], step: int, ts: str = "dateti
 def resample(df: DataFrame, minutes: int, step: int, group: list[str], ts: str = "datetime") -> DataFrame:
     """Bars of a longer frame, anchored at the session start and cut at its end.
 
-    Needs ``session_start, session_end, is_observed, is_imputed``. First valid
-    open, highest high, lowest low, last valid close, sums that stay NULL if all
-    is NULL, volume-weighted ``wap`` over rows with volume and a close (else the
-    last valid one), counters and a quality status.
+    Needs ``session_start, session_end, is_observed, is_imputed``. Of the rows
+    with a close: first valid open, highest high, lowest low, last close, sums
+    that stay NULL if all is NULL, ``wap`` weighted by all volume above 0 (a
+    missing one adds nothing), else the last valid one. Counters and a quality
+    status over all rows.
     """
     at, n = F.col(ts), F.col
     start = bucket_start(at, minutes, n("session_start"))
-    valid = lambda c: F.when(n(c).isNotNull(), at)
-    paid = (n("volume") > 0) & n("close").isNotNull() & n("wap").isNotNull()
+    market = n("close").isNotNull()
+    own = lambda c: F.when(market, n(c))
+    valid = lambda c: F.when(market & n(c).isNotNull(), at)
+    paid = (n("volume") > 0) & market
     weight = exact_sum(F.when(paid, n("volume")))
+    worth = F.coalesce(F.sum(F.when(paid, n("wap") * n("volume"))), F.lit(0.0))
     out = df.withColumn("_start", start).groupBy(*group, "session_start", "session_end", "_start").agg(
-        F.min_by("open", valid("open")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", valid("close")).alias("close"),
-        exact_sum(n("volume")).alias("volume"), F.sum("bar_count").alias("bar_count"),
-        F.coalesce(F.try_divide(F.sum(F.when(paid, n("wap") * n("volume"))), weight), F.max_by("wap", valid("wap"))).alias("wap"),
+        F.min_by("open", valid("open")).alias("open"), F.max(own("high")).alias("high"), F.min(own("low")).alias("low"), F.max_by("close", valid("close")).alias("close"),
+        exact_sum(own("volume")).alias("volume"), F.sum(own("bar_count")).alias("bar_count"),
+        F.coalesce(F.try_divide(worth, weight), F.max_by("wap", valid("wap"))).alias("wap"),
         (F.count("*") * step).alias("source_grid_minutes"), (F.count_if("is_observed") * step).alias("observed_minutes"), (F.count_if("is_imputed") * step).alias("imputed_minutes"),
     )
     out = out.withColumn("bar_end", F.least(F.timestamp_add("MINUTE", F.lit(minutes), n("_start")), n("session_end"))).withColumn("available_at", n("bar_end"))

@@ -7,6 +7,8 @@ partial aggregate), not through one job each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .windows import prefix_sum
@@ -96,13 +98,22 @@ def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: list[float]) -> D
     up = F.col("_k") > F.col("_i")
     m = spread.groupBy("_i").agg(F.sum(F.when(up, F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("_n")).otherwise(0)).alias("fp"), F.sum(F.when(~up, F.col("_n")).otherwise(0)).alias("tn"), F.sum(F.when(~up, F.col("_p")).otherwise(0)).alias("fn"))
     n = F.col
-    recall_up, recall_down = ratio0(n("tp"), n("tp") + n("fn")), ratio0(n("tn"), n("tn") + n("fp"))
-    return m.select(F.element_at(grid, (n("_i") + 1).cast("int")).alias("threshold"), "tp", "fp", "tn", "fn", ((recall_up + recall_down) / 2).alias("balanced_accuracy"), ratio0(n("tp"), n("tp") + n("fp")).alias("precision_up"), recall_up.alias("recall_up"))
+    # a class without rows has no recall, and so no balanced accuracy
+    share = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(float("nan")))
+    all_ = n("tp") + n("fp") + n("tn") + n("fn")
+    recall_up, recall_down = share(n("tp"), n("tp") + n("fn")), share(n("tn"), n("tn") + n("fp"))
+    f1_up, f1_down = (ratio0(2 * n(x), 2 * n(x) + n("fp") + n("fn")) for x in ("tp", "tn"))
+    return m.select(
+        F.element_at(grid, (n("_i") + 1).cast("int")).alias("threshold"), "tp", "fp", "tn", "fn", ((recall_up + recall_down) / 2).alias("balanced_accuracy"),
+        ratio0(n("tp"), n("tp") + n("fp")).alias("precision_up"), recall_up.alias("recall_up"), all_.alias("samples"), share(n("tp") + n("tn"), all_).alias("accuracy"),
+        ratio0(n("tn"), n("tn") + n("fn")).alias("precision_down"), recall_down.alias("recall_down"), f1_up.alias("f1_up"), f1_down.alias("f1_down"), ((f1_up + f1_down) / 2).alias("macro_f1"),
+        (100 * share(n("tp") + n("fp"), all_)).alias("predicted_up_pct"), (100 * share(n("tn") + n("fn"), all_)).alias("predicted_down_pct"),
+    )
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """Highest balanced accuracy; ties go to the nearest to 0.5, then the lowest."""
-    return sweep.orderBy(F.round("balanced_accuracy", 12).desc(), F.round(F.abs(F.col("threshold") - 0.5), 9), "threshold").limit(1)
+    return sweep.orderBy(F.round(F.nanvl("balanced_accuracy", F.lit(-1.0)), 12).desc(), F.round(F.abs(F.col("threshold") - 0.5), 9), "threshold").limit(1)
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
@@ -112,14 +123,30 @@ def calibration(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
 
 
 def precision_at_coverage(df: DataFrame, y: str, p: str, coverages: list[float], key: list[str]) -> DataFrame:
-    """Share of right signs among the floor(n * c) rows (at least one) that are
-    most confident; ties go by ``key``."""
+    """Share of right signs, and percent called up, among the floor(n * c) rows
+    that are most confident; ties go by ``key``. A coverage of less than one row
+    has no result.
+
+    Rows are counted per confidence, and the counts are summed in order; single
+    rows are ordered only where a coverage ends within rows of one confidence.
+    """
     unsure = -F.round(F.abs(F.col(p) - 0.5), 12)
-    right = ((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("int")
-    d = prefix_sum(df.select(right.alias("_r"), unsure.alias("_u"), *key), ["_u", *key], F.lit(1), "_k")
-    d = d.join(F.broadcast(df.agg(F.count("*").alias("_all"))))  # one row
-    d = d.withColumn("coverage", F.explode(F.array(*[F.lit(c) for c in coverages])))
-    return d.where(F.col("_k") < F.greatest(F.floor(F.col("_all") * F.col("coverage")), F.lit(1))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg(F.col("_r").cast("double")).alias("precision"))
+    up = (F.col(p) >= 0.5).cast("int")
+    rows = df.select(unsure.alias("_u"), up.alias("_up"), (up == F.col(y)).cast("int").alias("_r"), *key)
+    sums = lambda n, r, u: [n.alias("n"), r.alias("_right"), u.alias("_ups")]
+    steps = rows.groupBy("_u").agg(*sums(F.count("*"), F.sum("_r"), F.sum("_up")))
+    steps = prefix_sum(steps, ["_u"], F.col("n"), "_before")
+    takes = df.agg(F.count("*").alias("_all")).select("_all", F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"))
+    takes = F.broadcast(takes.select("coverage", F.floor(F.col("_all") * F.col("coverage")).alias("_take")).where("_take > 0"))  # a row a coverage
+    met = steps.join(takes, F.col("_before") < F.col("_take"))
+    whole = met.where(F.col("_before") + F.col("n") <= F.col("_take")).select("coverage", "n", "_right", "_ups")
+    # the one confidence of each coverage that is cut
+    cut = met.where(F.col("_before") + F.col("n") > F.col("_take")).select("coverage", F.col("_u").alias("_cut"), (F.col("_take") - F.col("_before")).alias("_some"))
+    tied = rows.join(F.broadcast(cut.select(F.col("_cut").alias("_u")).distinct()), "_u", "left_semi")
+    tied = prefix_sum(tied, key, F.lit(1), "_k", by=["_u"])
+    part = tied.join(F.broadcast(cut), (F.col("_u") == F.col("_cut")) & (F.col("_k") < F.col("_some"))).select("coverage", F.lit(1).cast("long").alias("n"), F.col("_r").alias("_right"), F.col("_up").alias("_ups"))
+    both = whole.unionByName(part).groupBy("coverage").agg(F.sum("n").alias("n"), F.sum("_right").alias("_right"), F.sum("_ups").alias("_ups"))
+    return both.select("coverage", "n", (F.col("_right") / F.col("n")).alias("precision"), (100 * F.col("_ups") / F.col("n")).alias("predicted_up_pct"))
 
 
 def regression(actual: str, predicted: str) -> dict[str, Column]:
@@ -167,21 +194,30 @@ def scaled(df: DataFrame, fitted: DataFrame, columns: list[str], narrow: bool =
     return d.withColumns({c: x.cast("float") if narrow else x for c, x in made.items()}).drop(*[f"_{c}" for c in columns])
 
 
-def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """``c, rank`` for each distinct value; ties share their mean rank."""
-    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    return prefix_sum(counts, [c], F.col("_n"), "_before").select(c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
-
-
-def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of all pairs over rows where all columns are there,
-    strongest first."""
-    whole = df.select(*columns).dropna()
-    d = whole
-    for c in columns:
-        d = d.join(average_ranks(whole, c), c)
-    d = d.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    one = d.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs])
-    return one.select(F.explode(rows).alias("r")).select("r.*", F.abs("r.rho").alias("strength"))
+def average_ranks(counts: DataFrame, c: str, n: str) -> DataFrame:
+    """``c, rank`` of each value, given how many rows hold it; ties share their
+    mean rank."""
+    one = counts.groupBy(c).agg(F.sum(n).alias("_n"))
+    return prefix_sum(one, [c], F.col("_n"), "_before").select(c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"_rank_{c}"))
+
+
+def spearman_pairs(df: DataFrame, columns: list[str], least: int | None = None) -> DataFrame:
+    """Rank correlation of all pairs: ``left, right, rho, strength``. Each pair is
+    ranked over the rows where both are there; with fewer than ``least`` of them
+    (a tenth of all rows, 100 to 5000) ``rho`` is NULL. Rows are counted per pair
+    of values first, so frequent values (zeros) are one row of the joins."""
+    enough = df.agg(F.greatest(F.lit(100), F.least(F.lit(5000), F.floor(F.count("*") / 10))).alias("_least"))
+    if least is not None:
+        enough = enough.select(F.lit(least).alias("_least"))
+    out = []
+    for k, a in enumerate(columns):
+        for b in columns[k + 1 :]:
+            counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)).groupBy(a, b).agg(F.count("*").alias("_m"))
+            ranked = counts.join(average_ranks(counts, a, "_m"), a).join(average_ranks(counts, b, "_m"), b)
+            m, x, y = F.col("_m"), F.col(f"_rank_{a}"), F.col(f"_rank_{b}")
+            sums = ranked.agg(F.sum(m).alias("n"), F.sum(m * x).alias("x"), F.sum(m * y).alias("y"), F.sum(m * x * x).alias("xx"), F.sum(m * y * y).alias("yy"), F.sum(m * x * y).alias("xy"))
+            n = F.col("n")
+            spread = F.sqrt((n * F.col("xx") - F.col("x") * F.col("x")) * (n * F.col("yy") - F.col("y") * F.col("y")))
+            rho = F.try_divide(n * F.col("xy") - F.col("x") * F.col("y"), spread)
+            out.append(sums.join(F.broadcast(enough)).select(F.lit(a).alias("left"), F.lit(b).alias("right"), F.when(n >= F.col("_least"), rho).alias("rho")))  # one row each
+    return reduce(DataFrame.unionByName, out).withColumn("strength", F.abs("rho"))

@@ -112,7 +112,9 @@ def prefix_sum(df: DataFrame, order: list[str], value: Column, name: str, by: li
     The first order column (numeric or time) is cut into ranges at approximate
     quantiles, which one action fetches (``ranges`` numbers); sums per range
     give offsets, and only ranges are sorted. NULLs come first. The cuts move
-    work, not results.
+    work, not results. That action runs when the plan is built, not when it is
+    executed: of all functions here, this one and those that rank or cut by it are
+    not lazy.
     """
     by = by or []
     x = order_number(df, order[0])

@@ -121,8 +121,8 @@ def resampled(spark, sf, minutes=60):
 
 HOURS = GRID + """, rs AS (SELECT reg.*, CASE session WHEN 'overnight' THEN trading_date::TIMESTAMP - INTERVAL 240 MINUTE WHEN 'premarket' THEN trading_date::TIMESTAMP + INTERVAL 240 MINUTE WHEN 'regular' THEN trading_date::TIMESTAMP + INTERVAL 570 MINUTE ELSE trading_date::TIMESTAMP + INTERVAL 960 MINUTE END AS a,
    CASE session WHEN 'overnight' THEN trading_date::TIMESTAMP + INTERVAL 240 MINUTE WHEN 'premarket' THEN trading_date::TIMESTAMP + INTERVAL 570 MINUTE WHEN 'regular' THEN trading_date::TIMESTAMP + INTERVAL 960 MINUTE ELSE trading_date::TIMESTAMP + INTERVAL 1200 MINUTE END AS z FROM reg),
- hb AS (SELECT symbol, trading_date, session, z, a + INTERVAL 60 MINUTE * (datediff('minute', a, datetime) // 60) AS h, first(open ORDER BY datetime) FILTER (open IS NOT NULL) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY datetime) FILTER (close IS NOT NULL) AS close,
-   sum(volume::DECIMAL(28,6))::DOUBLE AS volume, sum(bar_count)::BIGINT AS bar_count, coalesce(sum(wap * volume) FILTER (volume > 0) / sum(volume) FILTER (volume > 0), last(wap ORDER BY datetime) FILTER (wap IS NOT NULL)) AS wap,
+ hb AS (SELECT symbol, trading_date, session, z, a + INTERVAL 60 MINUTE * (datediff('minute', a, datetime) // 60) AS h, first(open ORDER BY datetime) FILTER (open IS NOT NULL AND close IS NOT NULL) AS open, max(high) FILTER (close IS NOT NULL) AS high, min(low) FILTER (close IS NOT NULL) AS low, last(close ORDER BY datetime) FILTER (close IS NOT NULL) AS close,
+   (sum(volume::DECIMAL(28,6)) FILTER (close IS NOT NULL))::DOUBLE AS volume, (sum(bar_count) FILTER (close IS NOT NULL))::BIGINT AS bar_count, coalesce(coalesce(sum(wap * volume) FILTER (volume > 0 AND close IS NOT NULL), 0) / sum(volume) FILTER (volume > 0 AND close IS NOT NULL), last(wap ORDER BY datetime) FILTER (wap IS NOT NULL AND close IS NOT NULL)) AS wap,
    count(*) * 15 AS source_grid_minutes, count(CASE WHEN is_observed THEN 1 END) * 15 AS observed_minutes, count(CASE WHEN is_imputed THEN 1 END) * 15 AS imputed_minutes FROM rs GROUP BY ALL),
  hc AS (SELECT * EXCLUDE (z, h), h AS datetime, least(h + INTERVAL 60 MINUTE, z) AS bar_end FROM hb),
  hd AS (SELECT *, datediff('minute', datetime, bar_end) AS expected_minutes, greatest(datediff('minute', datetime, bar_end) - observed_minutes - imputed_minutes, 0) AS missing_minutes FROM hc),

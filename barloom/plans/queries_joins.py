@@ -134,9 +134,9 @@ def _(spark, sf):
     return raw_bars(spark, sf).groupBy(F.year("datetime").alias("year"), F.month("datetime").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("S7_bounded_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate <= TIMESTAMP '1994-06-30'")
+@query("S7_bounded_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-06-30'")
 def _(spark, sf):
-    last = F.lit("1994-06-30 00:00:00").cast("timestamp_ntz")
+    last = F.lit("1996-06-30 00:00:00").cast("timestamp_ntz")
     return S.bounded(table(spark, sf, "lineitem"), last_time=last, ts="l_shipdate").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
@@ -196,6 +196,20 @@ def _(spark, sf):
     return spark.createDataFrame([(d,) for d in Calendar().sessions(dt.date(2024, 1, 1), dt.date(2024, 12, 31))], "day date")
 
 
+DAYS = """SELECT d::DATE AS day, CASE WHEN d::DATE IN (DATE '2018-07-03', DATE '2018-11-23', DATE '2018-12-24', DATE '2025-07-03', DATE '2025-11-28', DATE '2025-12-24') THEN 13 ELSE 16 END::INT AS close_hour,
+ CASE WHEN d::DATE IN (DATE '2018-07-03', DATE '2018-11-23', DATE '2018-12-24', DATE '2025-07-03', DATE '2025-11-28', DATE '2025-12-24') THEN 17 ELSE 20 END::INT AS aftermarket_end_hour
+ FROM (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2018-12-31', INTERVAL 1 DAY)) AS d UNION ALL SELECT unnest(generate_series(TIMESTAMP '2025-01-01', TIMESTAMP '2025-12-31', INTERVAL 1 DAY)))
+ WHERE isodow(d) < 6 AND d::DATE NOT IN (DATE '2018-01-01', DATE '2018-01-15', DATE '2018-02-19', DATE '2018-03-30', DATE '2018-05-28', DATE '2018-07-04', DATE '2018-09-03', DATE '2018-11-22', DATE '2018-12-05', DATE '2018-12-25',
+ DATE '2025-01-01', DATE '2025-01-09', DATE '2025-01-20', DATE '2025-02-17', DATE '2025-04-18', DATE '2025-05-26', DATE '2025-06-19', DATE '2025-07-04', DATE '2025-09-01', DATE '2025-11-27', DATE '2025-12-25')"""
+
+
+@query("F11_closures_and_early_closes", DAYS)
+def _(spark, sf):
+    at = lambda name, what: F.max(F.when(F.col("session") == name, F.hour(what))).cast("int")
+    years = [Calendar().session_windows(spark, dt.date(y, 1, 1), dt.date(y, 12, 31)) for y in (2018, 2025)]
+    return years[0].unionByName(years[1]).groupBy(F.col("trading_date").alias("day")).agg(at("regular", "end").alias("close_hour"), at("aftermarket", "end").alias("aftermarket_end_hour"))
+
+
 @query("K3_merge_insert", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS new_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 5 IN (1, 2)) AS identical, (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 3) AS conflicts, (SELECT count(*) FROM orders) AS merged")
 def _(spark, sf):
     o, k = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), F.col("o_orderkey") % 5

@@ -80,8 +80,8 @@ def _(spark, sf):
 
 
 GRID = [round(0.05 * k, 2) for k in range(1, 20)]
-SWEEP = ", g(threshold) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in GRID) + "), sw AS (SELECT threshold, count(CASE WHEN p >= threshold AND y = 1 THEN 1 END) AS tp, count(CASE WHEN p >= threshold AND y = 0 THEN 1 END) AS fp, count(CASE WHEN p < threshold AND y = 0 THEN 1 END) AS tn, count(CASE WHEN p < threshold AND y = 1 THEN 1 END) AS fn FROM pp, g GROUP BY 1), sx AS (SELECT *, (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2 AS balanced_accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision_up, coalesce(tp / nullif(tp + fn, 0), 0) AS recall_up FROM sw)"
-SWEPT = "threshold, tp, fp, tn, fn, round(balanced_accuracy, 6) AS balanced_accuracy, round(precision_up, 6) AS precision_up, round(recall_up, 6) AS recall_up"
+SWEEP = ", g(threshold) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in GRID) + "), sw AS (SELECT threshold, count(CASE WHEN p >= threshold AND y = 1 THEN 1 END) AS tp, count(CASE WHEN p >= threshold AND y = 0 THEN 1 END) AS fp, count(CASE WHEN p < threshold AND y = 0 THEN 1 END) AS tn, count(CASE WHEN p < threshold AND y = 1 THEN 1 END) AS fn FROM pp, g GROUP BY 1), sx AS (SELECT *, (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2 AS balanced_accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision_up, coalesce(tp / nullif(tp + fn, 0), 0) AS recall_up, tp + fp + tn + fn AS samples, (tp + tn) / (tp + fp + tn + fn) AS accuracy, coalesce(tn / nullif(tn + fn, 0), 0) AS precision_down, coalesce(tn / nullif(tn + fp, 0), 0) AS recall_down, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1_up, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) AS f1_down, 100 * (tp + fp) / (tp + fp + tn + fn) AS predicted_up_pct, 100 * (tn + fn) / (tp + fp + tn + fn) AS predicted_down_pct FROM sw)"
+SWEPT = "threshold, tp, fp, tn, fn, round(balanced_accuracy, 6) AS balanced_accuracy, round(precision_up, 6) AS precision_up, round(recall_up, 6) AS recall_up, samples, round(accuracy, 6) AS accuracy, round(precision_down, 6) AS precision_down, round(recall_down, 6) AS recall_down, round(f1_up, 6) AS f1_up, round(f1_down, 6) AS f1_down, round((f1_up + f1_down) / 2, 6) AS macro_f1, round(predicted_up_pct, 6) AS predicted_up_pct, round(predicted_down_pct, 6) AS predicted_down_pct"
 
 
 @query("A28_threshold_sweep", sql("pp", SWEEP + f" SELECT {SWEPT} FROM sx"))
@@ -99,9 +99,9 @@ def _(spark, sf):
     return rounded(M.calibration(one_sided(spark, sf), "y", "p"))
 
 
-@query("A30_precision_at_coverage", sql("pp", ", k AS (SELECT CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END AS r, row_number() OVER (ORDER BY round(abs(p - 0.5), 12) DESC, l_orderkey, l_linenumber) AS k, count(*) OVER () AS c FROM pp), g(coverage) AS (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE)) SELECT coverage, count(*) AS n, round(avg(r), 6) AS precision FROM k, g WHERE k <= greatest(floor(c * coverage), 1) GROUP BY 1"))
+@query("A30_precision_at_coverage", sql("pp", ", k AS (SELECT CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END AS r, (p >= 0.5)::INT AS up, row_number() OVER (ORDER BY round(abs(p - 0.5), 12) DESC, l_orderkey, l_linenumber) AS k, count(*) OVER () AS c FROM pp), g(coverage) AS (VALUES (0.00000001::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE)) SELECT coverage, count(*) AS n, round(avg(r), 6) AS precision, round(100 * avg(up), 6) AS predicted_up_pct FROM k, g WHERE k <= floor(c * coverage) GROUP BY 1"))
 def _(spark, sf):
-    return rounded(M.precision_at_coverage(one_sided(spark, sf), "y", "p", [0.01, 0.1, 0.5], ["l_orderkey", "l_linenumber"]))
+    return rounded(M.precision_at_coverage(one_sided(spark, sf), "y", "p", [1e-8, 0.01, 0.1, 0.5], ["l_orderkey", "l_linenumber"]))
 
 
 @query("A40_binary_by_month", sql("pp", "SELECT month, " + class_sql((0, 1), "y", "(p >= 0.5)::INT") + " FROM pp GROUP BY 1"))
@@ -175,6 +175,13 @@ def _(spark, sf):
     return rounded(M.spearman_pairs(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
 
 
+@query("A32_spearman_pairwise", "WITH t AS (SELECT CASE WHEN l_linenumber % 3 > 0 THEN l_quantity END AS q, CASE WHEN l_linenumber % 2 > 0 THEN l_tax END AS t, CASE WHEN l_linenumber = 7 AND l_quantity < 5 THEN l_discount END AS d FROM lineitem), v AS (SELECT 'q' AS a, 't' AS b, q AS x, t AS y FROM t UNION ALL SELECT 'q', 'd', q, d FROM t UNION ALL SELECT 't', 'd', t, d FROM t), o AS (SELECT * FROM v WHERE x IS NOT NULL AND y IS NOT NULL), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2 AS y FROM o), c AS (SELECT a, b, CASE WHEN count(*) >= (SELECT greatest(100, least(5000, count(*) // 10)) FROM lineitem) THEN corr(x, y) END AS rho FROM r GROUP BY 1, 2) SELECT a AS left, b AS right, round(rho, 6) AS rho, round(abs(rho), 6) AS strength FROM c")
+def _(spark, sf):
+    n = F.col("l_linenumber")
+    d = table(spark, sf, "lineitem").select(F.when(n % 3 > 0, F.col("l_quantity")).alias("q"), F.when(n % 2 > 0, F.col("l_tax")).alias("t"), F.when((n == 7) & (F.col("l_quantity") < 5), F.col("l_discount")).alias("d"))
+    return rounded(M.spearman_pairs(d, ["q", "t", "d"]))
+
+
 @query("A33_missing_by_month", sql("rr", "SELECT strftime(datetime, '%Y-%m') AS month, feature, round(avg(CASE WHEN x IS NULL THEN 100.0 ELSE 0.0 END), 6) AS missing_percent FROM (SELECT datetime, 'r1' AS feature, r1 AS x FROM rr UNION ALL SELECT datetime, 'r5', r5 FROM rr) GROUP BY 1, 2"))
 def _(spark, sf):
     d = returns(spark, sf).select(F.date_format("datetime", "yyyy-MM").alias("month"), F.col("f_1m_log_return_1").alias("r1"), F.col("f_1m_log_return_5").alias("r5"))

@@ -71,7 +71,9 @@ def typed_bars(raw: DataFrame, numbers: list[str], zone: str) -> tuple[DataFrame
 
 
 def read_monthly(spark: SparkSession, root: str, symbol: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Scan ``symbol=/year=/month=`` partitions; symbol and columns prune."""
+    """Scan ``symbol=/year=/month=`` partitions; symbol and columns prune.
+    Folders are checked first (``discover_monthly``)."""
+    discover_monthly(spark, root)
     df = spark.read.parquet(root)
     if symbol is not None:
         df = df.where(F.col("symbol") == symbol.strip().lower())
@@ -132,12 +134,52 @@ def canonical_checks(df: DataFrame) -> DataFrame:
     return both.join(df.groupBy("datetime", "symbol").count().agg(F.count_if(F.col("count") > 1).alias("repeated_keys")))
 
 
-def write_monthly(df: DataFrame, root: str, ts: str = "datetime", mode: str = "overwrite") -> None:
-    """One directory a symbol and month, zstd; only months at hand are replaced."""
-    d = df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
+def write_monthly(df: DataFrame, root: str, ts: str = "datetime", mode: str = "overwrite", zone: str = "America/New_York") -> None:
+    """One directory a symbol and month of local time in ``zone`` (``ts`` is
+    UTC), zstd; only months at hand are replaced."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts).cast("timestamp_ntz")) if df.schema[ts].dataType == T.TimestampNTZType() else F.convert_timezone(F.current_timezone(), F.lit(zone), F.col(ts).cast("timestamp_ntz"))
+    d = df.withColumn("year", F.year(local)).withColumn("month", F.month(local))
     d.repartition("symbol", "year", "month").sortWithinPartitions("symbol", "year", "month", ts).write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year", "month").parquet(root)
 
 
+#: A partition folder of the monthly tables.
+MONTH_PATH = re.compile(r"symbol=([^/=]+)/year=(\d{4})/month=(\d{1,2})")
+
+
+def discover_monthly(spark: SparkSession, root: str) -> list[tuple[str, int, int, str]]:
+    """``symbol, year, month, path`` of every partition folder, in order, from
+    listings alone. Raises on a folder that is no valid partition, on files
+    outside of one, and on two folders that name the same one (``month=1`` and
+    ``month=01``)."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    base = fs.makeQualified(base)
+    found: dict[tuple[str, int, int], str] = {}
+
+    def walk(path, parts: list[str]) -> None:
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            if name[0] in "_.":
+                continue
+            here = [*parts, name]
+            if not status.isDirectory():
+                raise SchemaError(f"a file outside of a partition: {'/'.join(here)}")
+            if len(here) < 3:
+                walk(status.getPath(), here)
+                continue
+            m = MONTH_PATH.fullmatch("/".join(here))
+            if not m or not 1 <= int(m[3]) <= 12:
+                raise SchemaError(f"not a partition: {'/'.join(here)}")
+            key = (m[1], int(m[2]), int(m[3]))
+            if key in found:
+                raise SchemaError(f"partition {key} is there twice: {found[key]}, {status.getPath()}")
+            found[key] = status.getPath().toString()
+
+    walk(base, [])
+    return [(*k, p) for k, p in sorted(found.items())]
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-independent hash of all columns by name."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
@@ -152,38 +194,70 @@ def frames_equal(left: DataFrame, right: DataFrame) -> bool:
     return not left.exceptAll(r).limit(1).count() and not r.exceptAll(left).limit(1).count()
 
 
-def merge_insert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Insert-only merge: ``(merged, report)``. Equal rows of a known key are
-    ignored, new keys are added, and the report counts conflicts: known keys
-    whose row differs (NULLs equal). ``require_no_conflict`` raises on them."""
+def _by_key(df: DataFrame, keys: list[str], rest: list[str], name: str) -> DataFrame:
+    """One row a key (NULL is a value): the other columns, as text too, and
+    whether rows of the key differ."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    text = F.to_json(F.struct(*rest), {"ignoreNullFields": "false", "timestampFormat": micros, "timestampNTZFormat": micros}) if rest else F.lit("")
+    d = df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.struct(*rest, F.lit(1).alias("_")).alias("_row"), text.alias("_text"))
+    return d.groupBy(*[f"{name}_{k}" for k in keys]).agg(F.first("_row").alias(f"{name}_row"), F.min("_text").alias(f"{name}_lo"), F.max("_text").alias(f"{name}_hi"))
+
+
+def _compared(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Every incoming key once, with the row of the table if it knows the key,
+    and ``state``: new, identical or conflict."""
     if set(existing.columns) != set(incoming.columns):
         raise SchemaError("columns of the two tables differ")
     rest = [c for c in existing.columns if c not in keys]
-    e = existing.select(*keys, F.struct(*rest).alias("_e"))
-    j = incoming.select(*keys, F.struct(*rest).alias("_i")).join(e, keys, "left")
-    same = F.to_json(F.col("_e"), {"ignoreNullFields": "false"}).eqNullSafe(F.to_json(F.col("_i"), {"ignoreNullFields": "false"}))
-    report = j.agg(F.count_if(F.col("_e").isNull()).alias("new_rows"), F.count_if(F.col("_e").isNotNull() & same).alias("identical"), F.count_if(F.col("_e").isNotNull() & ~same).alias("conflicts"))
-    new = incoming.join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(new), report
+    i, e = _by_key(incoming, keys, rest, "i"), _by_key(existing, keys, rest, "e")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"i_{k}").eqNullSafe(F.col(f"e_{k}"))
+    j = i.join(e, same, "left")
+    differ = (F.col("i_lo") != F.col("i_hi")) | (F.col("e_lo") != F.col("e_hi")) | (F.col("e_lo") != F.col("i_lo"))
+    return j.withColumn("state", F.when(F.coalesce(differ, F.col("i_lo") != F.col("i_hi")), "conflict").when(F.col("e_lo").isNull(), "new").otherwise("identical"))
+
+
+def _new_rows(compared: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    return compared.where("state = 'new'").select(*[F.col(f"i_{c}" if c in keys else f"i_row.{c}").alias(c) for c in columns])
+
+
+def _report(compared: DataFrame) -> DataFrame:
+    of = lambda s: F.count_if(F.col("state") == s)
+    return compared.agg(of("new").alias("new_rows"), of("identical").alias("identical"), of("conflict").alias("conflicts"))
+
+
+def merge_insert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Insert-only merge: ``(merged, report)``. New keys are added once, equal
+    rows of a key (in the table, or repeated) are ignored, and the report counts
+    conflicts: keys whose rows differ, on either side or between the two. NULLs
+    are equal, in keys too."""
+    compared = _compared(existing, incoming, keys)
+    return existing.unionByName(_new_rows(compared, keys, existing.columns)), _report(compared)
 
 
-def upsert(spark: SparkSession, root: str, incoming: DataFrame, keys: list[str], staging: str | None = None) -> dict:
+def upsert(spark: SparkSession, root: str, incoming: DataFrame, keys: list[str], prune: list[str] | None = None) -> dict:
     """Insert-only merge into a Parquet table. Identical data writes nothing;
-    a conflict raises; new keys are appended, so a lost job leaves the old
-    files as they were."""
+    a conflict raises, also among the incoming rows of a new table; new keys are
+    appended, so a lost job leaves the old files as they were. ``prune`` names
+    partition columns: only partitions that the incoming rows touch are read."""
     try:
         existing = spark.read.parquet(root)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        incoming.write.parquet(root)
-        return {"new_rows": incoming.count(), "identical": 0, "conflicts": 0}
-    _, report = merge_insert(existing, incoming.select(*existing.columns), keys)
-    row = report.first().asDict()
+        existing = spark.createDataFrame([], incoming.schema)
+    columns = existing.columns
+    if prune:
+        # few distinct values: symbol and month of a batch
+        existing = existing.join(F.broadcast(incoming.select(*prune).distinct()), prune, "left_semi")
+    compared = _compared(existing, incoming.select(*columns), keys)
+    row = _report(compared).first().asDict()
     if row["conflicts"]:
-        raise MergeConflict(f"{row['conflicts']} known keys differ")
+        raise MergeConflict(f"rows of {row['conflicts']} keys differ")
     if row["new_rows"]:
-        incoming.select(*existing.columns).join(existing.select(*keys), keys, "left_anti").write.mode("append").parquet(root)
+        new = _new_rows(compared, keys, columns).write.mode("append")
+        (new.partitionBy(*prune) if prune else new).parquet(root)
     return row
 
 

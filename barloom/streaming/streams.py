@@ -134,12 +134,13 @@ def broker_side(quantity: Column) -> Column:
     return F.when(quantity > 0, "LONG").when(quantity < 0, "SHORT").otherwise("FLAT")
 
 
-def merge_sink(stream: DataFrame, root: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+def merge_sink(stream: DataFrame, root: str, keys: list[str], checkpoint: str, prune: list[str] | None = None) -> StreamingQuery:
     """Micro-batches go through the insert-only merge; a replayed batch is
-    identical and writes nothing."""
+    identical and writes nothing. With ``prune`` (partition columns) a batch reads
+    only the partitions that it touches."""
 
     def put(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, root, batch, keys)
+        upsert(batch.sparkSession, root, batch, keys, prune)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,7 @@
 """Grids, fills, resampling, sessions, calendars, joins, checks and stores."""
 
+import datetime as dt
+import math
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -170,6 +172,60 @@ def test_store_roundtrip(spark, tmp_path):
         S.write_once(bars, path)
 
 
+def test_merge_keeps_null_keys_apart_and_raises_among_incoming_rows(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["k", "j"]
+    rows = spark.createDataFrame([(1, "a", 1.0), (None, "a", 2.0), (1, None, None), (1, "a", 1.0)], "k int, j string, x double")
+    assert S.upsert(spark, path, rows, keys) == {"new_rows": 3, "identical": 0, "conflicts": 0}
+    assert S.upsert(spark, path, rows, keys) == {"new_rows": 0, "identical": 3, "conflicts": 0} and spark.read.parquet(path).count() == 3
+    twice = spark.createDataFrame([(7, "a", 1.0), (7, "a", None)], rows.schema)
+    with pytest.raises(S.MergeConflict):
+        S.upsert(spark, path, twice, keys)
+    with pytest.raises(S.MergeConflict):
+        S.upsert(spark, str(tmp_path / "new"), twice, keys)
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "new").exists()
+    merged, report = S.merge_insert(rows, twice, keys)
+    assert report.first().conflicts == 1 and merged.count() == 4
+
+
+def test_merge_reads_touched_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)], "symbol string, k int, x double")
+    assert S.upsert(spark, path, rows, ["symbol", "k"], ["symbol"])["new_rows"] == 3
+    more = spark.createDataFrame([("b", 1, 3.0), ("b", 2, 4.0)], rows.schema)
+    assert S.upsert(spark, path, more, ["symbol", "k"], ["symbol"]) == {"new_rows": 1, "identical": 1, "conflicts": 0}
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_months_are_local_and_folders_are_checked(spark, tmp_path):
+    root = tmp_path / "store"
+    late = spark.createDataFrame([("abc", dt.datetime(2024, 2, 1, 2, 0), 1.0), ("abc", dt.datetime(2024, 2, 1, 14, 0), 2.0)], "symbol string, datetime timestamp_ntz, close double")
+    S.write_monthly(late, str(root))
+    assert [x[:3] for x in S.discover_monthly(spark, str(root))] == [("abc", 2024, 1), ("abc", 2024, 2)]
+    assert S.read_monthly(spark, str(root), "abc").where("month = 1").count() == 1
+    (root / "symbol=abc/year=2024/month=02").mkdir()
+    with pytest.raises(S.SchemaError, match="twice"):
+        S.read_monthly(spark, str(root))
+    (root / "symbol=abc/year=2024/month=02").rmdir()
+    (root / "symbol=abc/year=24/month=3").mkdir(parents=True)
+    with pytest.raises(S.SchemaError, match="not a partition"):
+        S.discover_monthly(spark, str(root))
+
+
+def test_a_class_without_rows_has_no_recall(spark):
+    d = spark.createDataFrame([(1, 0.9), (1, 0.2)], "y int, p double")
+    r = M.threshold_sweep(d, "y", "p", [0.5]).first()
+    assert math.isnan(r.recall_down) and math.isnan(r.balanced_accuracy) and r.recall_up == 0.5 and r.accuracy == 0.5
+    assert M.best_threshold(M.threshold_sweep(d, "y", "p", [0.1, 0.5, 0.7])).first().threshold == 0.5
+
+
+def test_coverage_below_one_row_and_ties(spark):
+    d = spark.createDataFrame([(k, int(k % 3 == 0), 0.9 if k < 6 else 0.4) for k in range(20)], "k long, y int, p double")
+    got = {r.coverage: r for r in M.precision_at_coverage(d, "y", "p", [0.01, 0.2, 0.5], ["k"]).collect()}
+    # four of the six tied rows, by key: 0 and 3 are right; then six and four of those at 0.4 (7, 8 of 6..9)
+    assert got.keys() == {0.2, 0.5} and (got[0.2].n, got[0.2].precision, got[0.2].predicted_up_pct) == (4, 0.5, 100.0)
+    assert got[0.5].n == 10 and got[0.5].precision == pytest.approx((2 + 2) / 10) and got[0.5].predicted_up_pct == 60.0
+
+
 def test_csv_scan(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text(" DateTime ,open,High,low,close,volume,wap,bar_count\n2024-01-15 09:30:00,1,2,0.5,1.5,10,1.2,3\n2024-07-15T09:30:00-04:00,1,2,x,1.5,10,1.2,3\nbad,1,2,0.5,1.5,,1.2,3\n")
