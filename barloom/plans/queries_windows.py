@@ -205,19 +205,21 @@ def _(spark, sf):
     return rounded(FE.one_minute_features(with_windows(gridded(spark, sf)[2]), STEP).drop("session_start", "session_end"))
 
 
-MERGE = """, iv AS (SELECT l_suppkey AS k, l_shipdate AS s, l_shipdate + INTERVAL 3 DAY AS e FROM lineitem WHERE l_quantity < 10),
+#: Distinct, as equal rows may come in another order in each window.
+MERGE = """, iv AS (SELECT DISTINCT l_suppkey AS k, l_shipdate AS s, l_shipdate + INTERVAL 3 DAY AS e FROM lineitem),
  q AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + INTERVAL {gap} MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM q),
  m AS (SELECT k, min(s) AS start, max(e) AS "end" FROM g GROUP BY k, run)"""
 
 
-#: The same over all line items; distinct, as equal rows may come in another order in each window.
-MERGE_ALL = MERGE.replace(" WHERE l_quantity < 10", "").replace("(SELECT l_suppkey", "(SELECT DISTINCT l_suppkey")
+def intervals(spark, sf, gap):
+    li = table(spark, sf, "lineitem")
+    return merge_intervals(li.select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("interval 3 days")).alias("end")), ["k"], "start", "end", gap)
 
 
-def intervals(spark, sf, gap, which="l_quantity < 10"):
-    li = table(spark, sf, "lineitem").where(which)
-    return merge_intervals(li.select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("interval 3 days")).alias("end")), ["k"], "start", "end", gap)
+def interval_keys(m):
+    each = m.select("k", F.timestamp_diff("MINUTE", "start", "end").alias("n"), F.size(F.sequence("start", "end", F.expr("interval 1 day"))).alias("d"))
+    return each.groupBy("k").agg(F.sum(F.col("n") + 1).alias("minutes"), F.count("*").alias("n"), F.sum("d").alias("days"))
 
 
 @query("E8_merge_touching", "WITH " + MERGE.format(gap=0)[2:] + ' SELECT k, start, "end" FROM m')
@@ -235,26 +237,6 @@ def _(spark, sf):
     return interval_keys(intervals(spark, sf, 1440))
 
 
-def interval_keys(m):
-    each = m.select("k", F.timestamp_diff("MINUTE", "start", "end").alias("n"), F.size(F.sequence("start", "end", F.expr("interval 1 day"))).alias("d"))
-    return each.groupBy("k").agg(F.sum(F.col("n") + 1).alias("minutes"), F.count("*").alias("n"), F.sum("d").alias("days"))
-
-
-@query("E8_merge_all_touching", "WITH " + MERGE_ALL.format(gap=0)[2:] + ' SELECT k, start, "end" FROM m')
-def _(spark, sf):
-    return intervals(spark, sf, 0, "true")
-
-
-@query("E8_merge_all_adjacent", "WITH " + MERGE_ALL.format(gap=1440)[2:] + ' SELECT k, start, "end" FROM m')
-def _(spark, sf):
-    return intervals(spark, sf, 1440, "true")
-
-
-@query("E9_all_interval_keys", "WITH " + MERGE_ALL.format(gap=1440)[2:] + " SELECT k, sum(datediff('minute', start, \"end\") + 1)::BIGINT AS minutes, count(*) AS n, sum(len(generate_series(start, \"end\", INTERVAL 1 DAY)))::BIGINT AS days FROM m GROUP BY k")
-def _(spark, sf):
-    return interval_keys(intervals(spark, sf, 1440, "true"))
-
-
 @query("W24_carried_close")
 def _(spark, sf):
     from ..operators.quality import carried_close

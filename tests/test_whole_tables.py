@@ -29,12 +29,12 @@ def run(spark, name, sf):
 
 def test_intervals_of_all_line_items(spark, store):
     sf, items, orders = store
-    assert sorted(run(spark, "P8_in_all_intervals", sf)) == sorted((k,) for k, _, _, at in orders if any(d <= at <= d + 2 * DAY for _, _, d in items))
+    assert sorted(run(spark, "P8_in_intervals", sf)) == sorted((k,) for k, _, _, at in orders if any(d <= at <= d + 2 * DAY for _, _, d in items))
     months = {((d + n * DAY).year, (d + n * DAY).month) for _, _, d in items for n in range(41)}
-    assert sorted(run(spark, "S10_all_required_months", sf)) == sorted(months)
+    assert sorted(run(spark, "S10_required_months", sf)) == sorted(months)
 
 
-@pytest.mark.parametrize("name,gap", [("E8_merge_all_touching", 0), ("E8_merge_all_adjacent", 1)])
+@pytest.mark.parametrize("name,gap", [("E8_merge_touching", 0), ("E8_merge_adjacent", 1)])
 def test_merged_intervals_of_all_line_items(spark, store, name, gap):
     sf, items, _ = store
     want = []
@@ -47,17 +47,17 @@ def test_merged_intervals_of_all_line_items(spark, store, name, gap):
     assert sorted(run(spark, name, sf)) == want
     if gap:
         keys = sorted({k for k, _, _ in want})
-        assert sorted(run(spark, "E9_all_interval_keys", sf)) == [(k, sum((e - s) // timedelta(minutes=1) + 1 for q, s, e in want if q == k), sum(q == k for q, _, _ in want), sum((e - s).days + 1 for q, s, e in want if q == k)) for k in keys]
+        assert sorted(run(spark, "E9_interval_keys", sf)) == [(k, sum((e - s) // timedelta(minutes=1) + 1 for q, s, e in want if q == k), sum(q == k for q, _, _ in want), sum((e - s).days + 1 for q, s, e in want if q == k)) for k in keys]
 
 
 def test_snapshot_of_all_orders(spark, store, tmp_path):
     sf, _, orders = store
     want = sorted(((k, at, c, status) for k, c, status, at in orders), key=lambda r: (r[1], r[0]))
-    assert run(spark, "S20_whole_snapshot", sf) == want
+    assert run(spark, "S20_snapshot", sf) == want
     bad = [*orders, (5, 99, "F", T0)]  # another row under a known key
     spark.createDataFrame(bad, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "bad" / "orders.parquet"))
     with pytest.raises(QualityError):
-        run(spark, "S20_whole_snapshot", str(tmp_path / "bad"))
+        run(spark, "S20_snapshot", str(tmp_path / "bad"))
 
 
 class Leaky:
