@@ -84,6 +84,8 @@ def test_bounded_scan_checks_what_comes_back(spark, monkeypatch):
         assert S.bounded(d, last_time=last, ts="l_shipdate").count() == 1
     with pytest.raises(S.SchemaError):
         S.bounded(Leaky(d.withColumn("day", F.to_date("l_shipdate"))), last_date=datetime(1994, 6, 30).date(), day="day")
-    monkeypatch.setattr(queries_joins, "table", lambda *_: Leaky(d))
+    # the query's bound is 1996-06-30, so one row lies behind it
+    late = d.withColumn("l_shipdate", F.col("l_shipdate") + F.expr("interval 2 years"))
+    monkeypatch.setattr(queries_joins, "table", lambda *_: Leaky(late))
     with pytest.raises(S.SchemaError):
         registry.QUERIES["S7_bounded_scan"](spark, "")
