@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import candle, cyclic_time, flag, log1p_clipped, log_positive, safe_bps, safe_ratio
 from .joins import asof_join
-from .windows import continuity, ewm, minutes_between, ordered, rolling, true_range
+from .windows import continuity, minutes_between, ordered, rolling, true_range, with_ewm
 
 MARKET = ("open", "high", "low", "close", "volume", "bar_count", "wap")
 
@@ -38,8 +38,12 @@ def return_features(bars: DataFrame, key: str = "symbol", lags: tuple[int, ...]
     return bars.withColumns(made)
 
 
+def session_keys(key: str = "symbol") -> list[str]:
+    return [key, "trading_date", "session", "segment_id"]
+
+
 def session_window(key: str = "symbol"):
-    return ordered([key, "trading_date", "session", "segment_id"], "datetime")
+    return ordered(session_keys(key), "datetime")
 
 
 def volatility_features(bars: DataFrame, key: str = "symbol", windows: tuple[int, ...] = (5, 15, 30, 60), window: int = 20, prefix: str = "f_1m_") -> DataFrame:
@@ -70,7 +74,9 @@ def ema_features(bars: DataFrame, key: str = "symbol", spans: tuple[int, int] =
     their slopes, in bps."""
     w, c = session_window(key), F.col("close")
     a, b = spans
-    d = bars.withColumns({f"_ema{n}": ewm(c, w, n) for n in spans})
+    d = bars
+    for n in spans:
+        d = with_ewm(d, f"_ema{n}", c, session_keys(key), n)
     made = {f"{prefix}price_vs_ema{n}_bps": safe_bps(c - F.col(f"_ema{n}"), F.col(f"_ema{n}")) for n in spans}
     made[f"{prefix}ema{a}_vs_ema{b}_bps"] = safe_bps(F.col(f"_ema{a}") - F.col(f"_ema{b}"), F.col(f"_ema{b}"))
     for n in spans:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import availability_gate, flag, one_hot, safe_ratio
 from .joins import checked_join, in_any_interval
-from .windows import ewm, minutes_between, ordered, rolling, rsi, run_position, true_range, wilder
+from .windows import minutes_between, ordered, rolling, run_position, true_range, with_ewm, with_rsi, with_wilder
 
 
 def daily(bars: DataFrame, key: str = "symbol", day: str = "trading_date") -> DataFrame:
@@ -24,7 +24,7 @@ def daily_atr(days: DataFrame, period: int, key: str = "symbol", day: str = "tra
     """Wilder's range of daily bars, and that of the day before."""
     w = ordered([key], day)
     tr = F.coalesce(true_range(F.col("high"), F.col("low"), F.lag("close").over(w)), F.col("high") - F.col("low"))
-    d = days.withColumn("_tr", tr).withColumn("atr", wilder(F.col("_tr"), w, period)).drop("_tr")
+    d = with_wilder(days, "atr", tr, [key], period, day)
     return d.withColumn("prev_atr", F.lag("atr").over(w))
 
 
@@ -48,17 +48,21 @@ def pivots(days: DataFrame, key: str = "symbol", day: str = "trading_date", n: i
 
 
 def bollinger(bars: DataFrame, span: int = 36, width: float = 2.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    w = ordered(list(keys), "datetime")
-    basis, spread = ewm(F.col("close"), w, span), rolling(F.col("close"), w, span, "std")
-    return bars.withColumns({"basis": basis, "upper": basis + width * spread, "lower": basis - width * spread})
+    spread = rolling(F.col("close"), ordered(list(keys), "datetime"), span, "std")
+    d = with_ewm(bars, "basis", F.col("close"), list(keys), span).withColumn("_s", width * spread)
+    return d.withColumns({"upper": F.col("basis") + F.col("_s"), "lower": F.col("basis") - F.col("_s")}).drop("_s")
 
 
 def momentum(bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """RSI(14), means over 5 and 20, relative change, MACD(12, 26, 9)."""
     w, c = ordered(list(keys), "datetime"), F.col("close")
     d = bars.withColumn("_d", c - F.lag(c).over(w))
-    d = d.withColumns({"rsi_14": rsi(F.col("_d"), w), "sma_5": rolling(c, w, 5, "mean"), "sma_20": rolling(c, w, 20, "mean"), "pct_change": safe_ratio(F.col("_d"), F.lag(c).over(w)), "macd": ewm(c, w, 12, 1) - ewm(c, w, 26, 1)})
-    return d.withColumn("macd_signal", ewm(F.col("macd"), w, 9, 1)).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_d")
+    d = d.withColumns({"sma_5": rolling(c, w, 5, "mean"), "sma_20": rolling(c, w, 20, "mean"), "pct_change": safe_ratio(F.col("_d"), F.lag(c).over(w))})
+    d = with_rsi(d, "rsi_14", F.col("_d"), list(keys))
+    for span in (12, 26):
+        d = with_ewm(d, f"_e{span}", c, list(keys), span, 1)
+    d = with_ewm(d.withColumn("macd", F.col("_e12") - F.col("_e26")), "macd_signal", F.col("macd"), list(keys), 9, 1)
+    return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_d", "_e12", "_e26")
 
 
 def crosses(bars: DataFrame, level: Column, keys: list[str], confirm: int = 5, ts: str = "datetime") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import atr_label, direction, finite
-from .windows import minutes_between, ordered, prefix_sum, run_position, true_range, wilder
+from .windows import minutes_between, ordered, prefix_sum, run_position, true_range, with_wilder
 
 
 def add_target(df: DataFrame, horizon: int, step: int, key: str = "symbol", threshold: float = 0.0, same_session: bool = False) -> DataFrame:
@@ -104,7 +104,7 @@ def wilder_atr(df: DataFrame, period: int, step: int, key: str = "symbol") -> Da
     b = ordered([key, "_block"], "datetime")
     tr = F.coalesce(true_range(F.col("high"), F.col("low"), F.lag("close").over(b)), F.col("high") - F.col("low"))
     d = d.withColumn("true_range", tr)
-    return d.withColumn(f"atr_{period}", wilder(F.col("true_range"), b, period)).drop("_ok", "_b", "_block")
+    return with_wilder(d, f"atr_{period}", F.col("true_range"), [key, "_block"], period).drop("_ok", "_b", "_block")
 
 
 def labelled(df: DataFrame, value: str, atr: str, close: str = "close", multiplier: float = 0.75) -> DataFrame:

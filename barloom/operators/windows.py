@@ -61,29 +61,49 @@ def rolling(value: Column, w: WindowSpec, n: int, op: str, shift: int = 0) -> Co
     return F.when(F.count(value).over(frame) == n, made)
 
 
-def _fold(items: Column, start: Column, alpha: float) -> Column:
-    return F.aggregate(items, start, lambda e, x: alpha * x + (1 - alpha) * e)
-
-
-def ewm(value: Column, w: WindowSpec, span: int, least: int | None = None) -> Column:
+def _recurrence(df: DataFrame, name: str, value: Column, keys: list[str], ts: str, alpha: float, seed: int, enough: Column) -> DataFrame:
+    """Adds e = alpha * x + (1 - alpha) * e over the values that are not NULL,
+    seeded by the mean of the first ``seed`` ones; a NULL value keeps the last
+    e. ``enough`` tells by ``_n``, the number of values so far, where e is given.
+
+    As e is a sum of values weighted by powers of 1 - alpha, rows are cut into
+    blocks of ln(1e16) / alpha values: a running sum of scaled values within a
+    block, and the total of the block before, whose weights reach down to what a
+    double holds. Work a row is constant and no list is kept, however long the
+    partition is; blocks stay on the task of their keys, without a shuffle more.
+    """
+    w = ordered(keys, ts)
+    so_far, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    back, keep = math.ceil(37 / alpha), 1 - alpha
+    d = df.withColumn("_x", value.cast("double"))
+    d = d.withColumn("_n", F.count("_x").over(so_far))
+    at = F.col("_n") - 1
+    place = F.pmod(at, F.lit(back))
+    if keep > 0:
+        scaled = F.when(at < seed, F.lit(keep ** (1 - seed) / seed)).otherwise(alpha * F.pow(F.lit(keep), -place)) * F.col("_x")
+        block = Window.partitionBy(*keys, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumn("_b", F.floor(at / back))
+        d = d.withColumn("_p", F.pow(F.lit(keep), place) * F.sum(scaled).over(block))
+        ended = F.last(F.when(F.col("_x").isNotNull() & (place == back - 1), F.col("_p")), ignorenulls=True).over(past)
+        d = d.withColumn("_e", F.when(F.col("_x").isNotNull(), F.col("_p") + F.pow(F.lit(keep), place + 1) * F.coalesce(ended, F.lit(0.0))))
+    else:
+        d = d.withColumn("_e", F.col("_x"))
+    d = d.withColumn(name, F.when(enough, F.last("_e", ignorenulls=True).over(so_far)))
+    return d.drop("_x", "_n", "_b", "_p", "_e")
+
+
+def with_ewm(df: DataFrame, name: str, value: Column, keys: list[str], span: int, least: int | None = None, ts: str = "datetime") -> DataFrame:
     """Exponentially weighted mean with alpha = 2 / (span + 1), seeded by the
-    first value; NULL before ``least`` (span) values. Older rows than
-    ln(1e16) / alpha cannot change a double, so each row folds a frame of that
-    many rows: memory and time a row do not follow the length of a segment."""
-    alpha = 2.0 / (span + 1)
-    back = math.ceil(37 / alpha)
-    items = F.collect_list(value).over(w.rowsBetween(-back, 0))
-    enough = F.count(value).over(w.rowsBetween(-((least or span) - 1), 0)) >= (least or span)
-    return F.when(enough, _fold(F.slice(items, 2, back), items[0], alpha))
+    first value; NULL unless the last ``least`` (span) rows all have a value."""
+    least = least or span
+    before = F.lag("_n", least, 0).over(ordered(keys, ts))
+    return _recurrence(df, name, value, keys, ts, 2.0 / (span + 1), 1, F.col("_n") - before >= least)
 
 
-def wilder(value: Column, w: WindowSpec, period: int) -> Column:
+def with_wilder(df: DataFrame, name: str, value: Column, keys: list[str], period: int, ts: str = "datetime") -> DataFrame:
     """Wilder's mean: the plain mean of the first ``period`` values of the
     partition, then ((p - 1) * last + value) / p; NULL before that."""
-    back = 37 * period + period
-    items = F.collect_list(value).over(w.rowsBetween(-back, 0))
-    seed = F.aggregate(F.slice(items, 1, period), F.lit(0.0), lambda a, x: a + x) / period
-    return F.when(F.size(items) >= period, _fold(F.slice(items, period + 1, back + 1), seed, 1.0 / period))
+    return _recurrence(df, name, value, keys, ts, 1.0 / period, period, F.col("_n") >= period)
 
 
 def islands(df: DataFrame, keys: list[str], ts: str = "datetime", step: int = 1, more: dict[str, Column] | None = None) -> DataFrame:
@@ -146,11 +166,12 @@ def true_range(h: Column, l: Column, previous_close: Column) -> Column:
     return F.when(previous_close.isNotNull(), F.greatest(h - l, F.abs(h - previous_close), F.abs(l - previous_close)))
 
 
-def rsi(change: Column, w: WindowSpec, period: int = 14) -> Column:
+def with_rsi(df: DataFrame, name: str, change: Column, keys: list[str], period: int = 14, ts: str = "datetime") -> DataFrame:
     """Relative strength index with Wilder smoothing of gains and losses."""
-    gain = wilder(F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), w, period)
-    loss = wilder(F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), w, period)
-    return F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+    d = with_wilder(df, "_gain", F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), keys, period, ts)
+    d = with_wilder(d, "_loss", F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), keys, period, ts)
+    strength = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_gain", "_loss")))
+    return d.withColumn(name, strength).drop("_gain", "_loss")
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, adjacent: int = 0) -> DataFrame:

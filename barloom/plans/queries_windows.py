@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..operators import features as FE
 from ..operators import indicators as I
-from ..operators.windows import ewm, merge_intervals, ordered, rolling, wilder
+from ..operators.windows import merge_intervals, ordered, rolling, with_ewm, with_wilder
 from .data import STEP, bars, raw_bars, returns, rounded, segmented, sql, table, with_windows
 from .queries_bars import GRID
 from .registry import query
@@ -83,7 +83,7 @@ EMA = """, e0 AS (SELECT symbol, trading_date, session, segment_id, datetime, cl
 @query("W12_ema", sql("cb", EMA + " SELECT symbol, datetime, round(ema4, 5) AS ema4, round((close - ema4) / nullif(ema4, 0) * 10000, 3) AS price_vs_ema4, round((ema4 - lag(ema4) OVER w) / nullif(lag(ema4) OVER w, 0) * 10000, 3) AS slope FROM ee WINDOW w AS (PARTITION BY symbol, trading_date, session, segment_id ORDER BY datetime)"))
 def _(spark, sf):
     w = FE.session_window()
-    d = segmented(spark, sf).where("is_usable").withColumn("ema4", ewm(F.col("close"), w, 4))
+    d = with_ewm(segmented(spark, sf).where("is_usable"), "ema4", F.col("close"), FE.session_keys(), 4)
     last = F.lag("ema4").over(w)
     return d.select("symbol", "datetime", F.round("ema4", 5).alias("ema4"), F.round(F.try_divide(F.col("close") - F.col("ema4"), F.col("ema4")) * 10000, 3).alias("price_vs_ema4"), F.round(F.try_divide(F.col("ema4") - last, last) * 10000, 3).alias("slope"))
 
@@ -96,14 +96,15 @@ def ema_sql(span: int) -> str:
 
 @query("W12_ema_production_spans", sql("rb", ", n0 AS (SELECT symbol, datetime, close, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS rn FROM rb), " + ema_sql(20) + ", " + ema_sql(50) + " SELECT symbol, datetime, round(e20.m, 5) AS ema_20, round(e50.m, 5) AS ema_50 FROM n0 LEFT JOIN e20 USING (symbol, rn) LEFT JOIN e50 USING (symbol, rn)"))
 def _(spark, sf):
-    w = Window.partitionBy("symbol").orderBy("datetime")
-    return raw_bars(spark, sf).select("symbol", "datetime", F.round(ewm(F.col("close"), w, 20), 5).alias("ema_20"), F.round(ewm(F.col("close"), w, 50), 5).alias("ema_50"))
+    d = with_ewm(raw_bars(spark, sf).select("symbol", "datetime", "close"), "ema_20", F.col("close"), ["symbol"], 20)
+    d = with_ewm(d, "ema_50", F.col("close"), ["symbol"], 50)
+    return d.select("symbol", "datetime", F.round("ema_20", 5).alias("ema_20"), F.round("ema_50", 5).alias("ema_50"))
 
 
 @query("W23_wilder_period_14", sql("rb", ", n0 AS (SELECT symbol, datetime, high - low AS tr, row_number() OVER (PARTITION BY symbol ORDER BY datetime) AS rn FROM rb), a14 AS (SELECT a.symbol, a.rn, sum(CASE WHEN b.rn <= 14 THEN pow(13.0 / 14, a.rn - 14) / 14 ELSE pow(13.0 / 14, a.rn - b.rn) / 14 END * b.tr) AS m FROM n0 a JOIN n0 b USING (symbol) WHERE b.rn <= a.rn AND a.rn >= 14 GROUP BY ALL) SELECT symbol, datetime, round(m, 5) AS wilder_14 FROM n0 LEFT JOIN a14 USING (symbol, rn)"))
 def _(spark, sf):
-    w = Window.partitionBy("symbol").orderBy("datetime")
-    return raw_bars(spark, sf).select("symbol", "datetime", F.round(wilder(F.col("high") - F.col("low"), w, 14), 5).alias("wilder_14"))
+    d = with_wilder(raw_bars(spark, sf).select("symbol", "datetime", "high", "low"), "wilder_14", F.col("high") - F.col("low"), ["symbol"], 14)
+    return d.select("symbol", "datetime", F.round("wilder_14", 5).alias("wilder_14"))
 
 
 @query("W14_W15_higher_timeframe")

@@ -21,23 +21,49 @@ VALUES = [3.0, 1.0, 4.0, 1.5, 9.0, 2.5, 6.0, 5.0, 3.5, 8.0, 9.5, 7.0]
 
 
 def test_ewm_equals_pandas(spark):
-    got = [r.e for r in series(spark, VALUES).withColumn("e", W.ewm(F.col("x"), W.ordered(["k"], "datetime"), 3)).orderBy("datetime").collect()]
+    got = [r.e for r in W.with_ewm(series(spark, VALUES), "e", F.col("x"), ["k"], 3).orderBy("datetime").collect()]
     want = pd.Series(VALUES).ewm(span=3, adjust=False, min_periods=3).mean()
     assert [g is None for g in got] == want.isna().tolist()
     assert [g for g in got if g is not None] == pytest.approx(want.dropna().tolist())
 
 
-def test_long_ewm_frame_is_enough(spark):
-    values = [float((k * 7919) % 101) for k in range(400)]
-    got = [r.e for r in series(spark, values).withColumn("e", W.ewm(F.col("x"), W.ordered(["k"], "datetime"), 3)).orderBy("datetime").collect()]
-    assert got[-1] == pytest.approx(pd.Series(values).ewm(span=3, adjust=False).mean().iloc[-1], rel=1e-12)
+@pytest.mark.parametrize("span", [1, 2, 3, 50])
+def test_long_ewm_over_many_blocks(spark, span):
+    """Series of several blocks, signs mixed, with missing values of which some
+    lie at the ends of blocks (74 values at span 3)."""
+    for missing in ((), range(70, 90), (0, 1, 5, 74, 75, 76, 1500)):
+        values = [None if k in missing else float((k * 7919) % 101) - 40 for k in range(2200 if span == 50 else 400)]
+        got = [r.e for r in W.with_ewm(series(spark, values), "e", F.col("x"), ["k"], span, 1).orderBy("datetime").collect()]
+        own = pd.Series(values, dtype=float).dropna()
+        want = own.ewm(span=span, adjust=False).mean().reindex(range(len(values)))
+        assert [g is None for g in got] == want.isna().tolist()
+        assert [g for g in got if g is not None] == pytest.approx(want.dropna().tolist(), rel=1e-11, abs=1e-11)
+
+
+def test_missing_values_hold_ewm_back(spark):
+    got = [r.e for r in W.with_ewm(series(spark, [1.0, 2.0, None, 4.0, 5.0, 6.0]), "e", F.col("x"), ["k"], 3).orderBy("datetime").collect()]
+    assert got == [None, None, None, None, None, pytest.approx(0.5 * 6 + 0.5 * (0.5 * 5 + 0.5 * (0.5 * 4 + 0.5 * 1.5)))]
+
+
+def test_long_wilder_over_many_blocks(spark):
+    for p in (1, 2, 14):
+        values = [None if k % 11 == 3 else float((k * 7919) % 101) for k in range(1300)]
+        want, seen, e = [], [], None
+        for v in values:
+            if v is not None:
+                seen.append(v)
+                e = sum(seen) / p if len(seen) == p else ((p - 1) * e + v) / p if len(seen) > p else None
+            want.append(e)
+        got = [r.e for r in W.with_wilder(series(spark, values), "e", F.col("x"), ["k"], p).orderBy("datetime").collect()]
+        assert [g is None for g in got] == [x is None for x in want]
+        assert [g for g in got if g is not None] == pytest.approx([x for x in want if x is not None], rel=1e-11)
 
 
 def test_wilder(spark):
     p, want = 3, []
     for k, v in enumerate(VALUES):
         want.append(None if k < p - 1 else sum(VALUES[:p]) / p if k == p - 1 else ((p - 1) * want[-1] + v) / p)
-    got = [r.e for r in series(spark, VALUES).withColumn("e", W.wilder(F.col("x"), W.ordered(["k"], "datetime"), p)).orderBy("datetime").collect()]
+    got = [r.e for r in W.with_wilder(series(spark, VALUES), "e", F.col("x"), ["k"], p).orderBy("datetime").collect()]
     assert got[: p - 1] == [None] * (p - 1)
     assert got[p - 1 :] == pytest.approx(want[p - 1 :])
 
