@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["flagship"](spark, sf_dir)
 
 
-from . import queries_bars, queries_checks, queries_joins, queries_metrics, queries_more, queries_targets, queries_windows  # noqa: E402, F401
+from . import queries_bars, queries_checks, queries_joins, queries_metrics, queries_more, queries_scans, queries_targets, queries_windows  # noqa: E402, F401
