@@ -165,10 +165,10 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", ST.broker_side(q).alias("side"), ST.needs_action(F.signum(q).cast("int"), t).alias("needs"))
 
 
-@query("T4_state_carry", sql("cb", "SELECT symbol, datetime, contiguous_history FROM cb WHERE datetime >= TIMESTAMP '2024-01-16'"))
+@query("T4_state_carry", sql("cb", "SELECT symbol, datetime, contiguous_history FROM cb"))
 def _(spark, sf):
     """What the loop over months carries as state is one window over all rows."""
-    return segmented(spark, sf).where(F.col("datetime") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")).select("symbol", "datetime", "contiguous_history")
+    return segmented(spark, sf).select("symbol", "datetime", "contiguous_history")
 
 
 @query("J8_label_alignment", sql("cb", "SELECT count(*) AS n_rows, count(CASE WHEN is_usable THEN 1 END) AS labelled FROM cb"))
@@ -178,10 +178,10 @@ def _(spark, sf):
     return J.checked_join(d.select("symbol", "datetime"), labels, ["symbol", "datetime"], matched="found").agg(F.count("*").alias("n_rows"), F.count_if("found").alias("labelled"))
 
 
-@query("J11_grid_lookup", sql("ss", "SELECT symbol, datetime, session FROM ss WHERE minute(datetime) = 0"))
+@query("J11_grid_lookup", sql("ss", "SELECT symbol, datetime, session FROM ss"))
 def _(spark, sf):
     d = with_windows(raw_bars(spark, sf)).select("symbol", "datetime", "session")
-    return d.select("symbol", "datetime").where(F.minute("datetime") == 0).join(d, ["symbol", "datetime"])
+    return d.select("symbol", "datetime").join(d, ["symbol", "datetime"])
 
 
 @query("W31_daily_bars", sql("ss", "SELECT symbol, trading_date, first(open ORDER BY datetime) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY datetime) AS close FROM ss GROUP BY 1, 2"))
