@@ -11,6 +11,10 @@ class CardinalityError(ValueError):
     """A declared key is not unique."""
 
 
+class MissingPartnerError(ValueError):
+    """A row that must have a partner has none."""
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -22,13 +26,18 @@ def require_unique(df: DataFrame, keys: list[str], name: str = "table") -> None:
         raise CardinalityError(f"{name}: key {keys} repeats, e.g. {bad[0].asDict()}")
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "one_to_one", matched: str | None = None) -> DataFrame:
+def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "one_to_one", matched: str | None = None, complete: bool = False) -> DataFrame:
     """Equi-join that first proves the declared cardinality (``one_to_one``,
-    ``many_to_one``); ``matched`` names a flag of found partners."""
+    ``many_to_one``); ``matched`` names a flag of found partners. With
+    ``complete`` a left row without a partner raises, NULL keys included."""
     if validate == "one_to_one":
         require_unique(left, on, "left")
     if validate in ("one_to_one", "many_to_one"):
         require_unique(right, on, "right")
+    if complete:
+        alone = left.select(*on).join(right.select(*on), on, "left_anti").limit(1).collect()
+        if alone:
+            raise MissingPartnerError(f"no partner for {alone[0].asDict()}")
     if matched:
         right = right.withColumn(matched, F.lit(True))
     out = left.join(right, on, how)

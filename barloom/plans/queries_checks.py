@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import targets as T
 from .data import STEP, one_sided, raw_bars, returns, rounded, segmented, sql, table, three_class, with_windows
+from .queries_windows import ATR
 from .registry import query
 
 BROKEN = """, br AS (SELECT * REPLACE (CASE WHEN hour(datetime) = 1 THEN low - 1 ELSE high END AS high, CASE WHEN hour(datetime) = 2 THEN -volume ELSE volume END AS volume, CASE WHEN hour(datetime) = 3 THEN high + 1 ELSE wap END AS wap, CASE WHEN hour(datetime) = 4 THEN -close ELSE close END AS close) FROM rb),
@@ -103,10 +104,11 @@ def _(spark, sf):
     return spark.createDataFrame([(x,) for x in v["o_orderpriority"]], "value string")
 
 
-@query("J7_atr_join", sql("cb", "SELECT count(*) AS n_rows FROM cb WHERE is_usable AND high > 0 AND low > 0 AND close > 0"))
+@query("J7_atr_join", sql("cb", ATR + " SELECT symbol, datetime, round(atr_3, 5) AS atr_3 FROM atr_t"))
 def _(spark, sf):
+    """The range of every bar that must have one; a missing partner raises."""
     from ..operators.joins import checked_join
 
     d = segmented(spark, sf).where("is_usable AND high > 0 AND low > 0 AND close > 0").select("symbol", "datetime")
-    atr = T.wilder_atr(segmented(spark, sf), 14, STEP).select("symbol", "datetime", "atr_14")
-    return checked_join(d, atr, ["symbol", "datetime"], matched="found").where("found").agg(F.count("*").alias("n_rows"))
+    atr = T.wilder_atr(segmented(spark, sf), 3, STEP).select("symbol", "datetime", F.round("atr_3", 5).alias("atr_3"))
+    return checked_join(d, atr, ["symbol", "datetime"], complete=True)

@@ -80,7 +80,9 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left")
 
 
-@query("J17_state_features")
+@query("J17_state_features", sql("ss", """, e AS (SELECT symbol, trading_date, avg(close) AS v FROM ss GROUP BY 1, 2),
+ b AS (SELECT symbol, datetime, hour(datetime) >= 10 AND bar_count > 1 AS sa, v > 10 AS ea, session = 'regular' AS ra, close > open AS up, high - low AS width, v FROM ss JOIN e USING (symbol, trading_date))
+ SELECT symbol, datetime, sa AS sm_available, ea AS sm_env_available, ra AS sm_regime_available, round(CASE WHEN sa THEN width ELSE 0.0 END, 6) AS f_sm_width, round(CASE WHEN ea THEN v ELSE 0.0 END, 6) AS f_sm_atr_value, (sa AND NOT up)::INT AS f_sm_state_down, (sa AND up)::INT AS f_sm_state_up, (NOT sa)::INT AS f_sm_state_unavailable, 0 AS f_sm_state_unseen, ra::INT AS f_sm_regime_r1, (NOT ra)::INT AS f_sm_regime_unavailable, 0 AS f_sm_regime_unseen FROM b"""))
 def _(spark, sf):
     """The state layer over bars: state, context and regime by bar, environment by date."""
     base = with_windows(raw_bars(spark, sf)).withColumn("prediction_time", F.timestamp_add("MINUTE", F.lit(STEP), F.col("datetime")))

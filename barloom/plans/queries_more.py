@@ -13,6 +13,7 @@ from ..operators.windows import islands
 from ..sources import tables as S
 from ..streaming import streams as ST
 from .data import STEP, bars, raw_bars, returns, rounded, segmented, sql, table, with_windows
+from .queries_windows import ATR
 from .registry import query
 
 
@@ -144,7 +145,7 @@ def _(spark, sf):
     return dedupe_or_raise(d.unionByName(d), ["o_orderkey"])
 
 
-@query("A38_contract_hash")
+@query("A38_contract_hash", sql("ss", """, n AS (SELECT session, count(*) AS n FROM ss GROUP BY 1) SELECT sha256('[' || string_agg('{"session":"' || session || '","n":' || n || '}', ',' ORDER BY session) || ']') AS contract FROM n"""))
 def _(spark, sf):
     d = with_windows(raw_bars(spark, sf)).groupBy("session").agg(F.count("*").alias("n"))
     rows = F.to_json(F.array_sort(F.collect_list(F.struct("session", "n"))))
@@ -171,11 +172,12 @@ def _(spark, sf):
     return segmented(spark, sf).select("symbol", "datetime", "contiguous_history")
 
 
-@query("J8_label_alignment", sql("cb", "SELECT count(*) AS n_rows, count(CASE WHEN is_usable THEN 1 END) AS labelled FROM cb"))
+@query("J8_label_alignment", sql("cb", ATR + ", lb AS (SELECT symbol, datetime, CASE WHEN (close - open) / close < -0.75 * atr_3 / close THEN -1 WHEN (close - open) / close > 0.75 * atr_3 / close THEN 1 WHEN atr_3 IS NOT NULL THEN 0 END AS label FROM atr_t JOIN (SELECT symbol, datetime, open FROM cb) USING (symbol, datetime)) SELECT symbol, datetime, label, lb.symbol IS NOT NULL AS found FROM cb LEFT JOIN lb USING (symbol, datetime)"))
 def _(spark, sf):
+    """Every bar, with the label of those that have one."""
     d = segmented(spark, sf)
-    labels = T.wilder_atr(d, 14, STEP).select("symbol", "datetime", F.lit(1).alias("label"))
-    return J.checked_join(d.select("symbol", "datetime"), labels, ["symbol", "datetime"], matched="found").agg(F.count("*").alias("n_rows"), F.count_if("found").alias("labelled"))
+    labels = T.labelled(T.wilder_atr(d, 3, STEP).withColumn("r", (F.col("close") - F.col("open")) / F.col("close")), "r", "atr_3").select("symbol", "datetime", "label")
+    return J.checked_join(d.select("symbol", "datetime"), labels, ["symbol", "datetime"], matched="found")
 
 
 @query("J11_grid_lookup", sql("ss", "SELECT symbol, datetime, session FROM ss"))

@@ -148,9 +148,9 @@ def _(spark, sf):
     return T.even_sample(one_sided(spark, sf), 100, ["l_orderkey", "l_linenumber"], ["grp"]).select("l_orderkey", "l_linenumber", "grp")
 
 
-@query("P14_sample")
+@query("P14_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR || '|7'), o_orderkey LIMIT 500")
 def _(spark, sf):
-    return table(spark, sf, "orders").orderBy(F.xxhash64("o_orderkey", F.lit(7)), "o_orderkey").limit(500).select("o_orderkey", "o_totalprice")
+    return table(spark, sf, "orders").orderBy(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit("|7"))), "o_orderkey").limit(500).select("o_orderkey", "o_totalprice")
 
 
 @query("W27_tabular", sql("ss", "SELECT symbol, datetime, lag(close, 1) OVER w AS close_lag1, lag(close, 3) OVER w AS close_lag3, round(CASE WHEN count(close) OVER f = 5 THEN avg(close) OVER f END, 6) AS close_mean, round(CASE WHEN count(close) OVER f = 5 THEN stddev_pop(close) OVER f END, 6) AS close_std FROM ss WINDOW w AS (PARTITION BY symbol ORDER BY datetime), f AS (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"))

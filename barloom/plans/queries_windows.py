@@ -7,8 +7,8 @@ from pyspark.sql import Window, functions as F
 from ..operators import features as FE
 from ..operators import indicators as I
 from ..operators.windows import merge_intervals, ordered, rolling, with_ewm, with_wilder
-from .data import STEP, bars, raw_bars, returns, rounded, segmented, sql, table, with_windows
-from .queries_bars import GRID
+from .data import STEP, bars, r6, raw_bars, returns, rounded, segmented, sql, table, with_windows
+from .queries_bars import GRID, HOURS
 from .registry import query
 
 K = "symbol, datetime, "
@@ -107,7 +107,21 @@ def _(spark, sf):
     return d.select("symbol", "datetime", F.round("wilder_14", 5).alias("wilder_14"))
 
 
-@query("W14_W15_higher_timeframe")
+@query("W14_W15_higher_timeframe", sql("ss", HOURS + """, c0 AS (SELECT *, CASE WHEN lag(bar_end) OVER w = datetime THEN 0 ELSE 1 END AS b FROM h60 WHERE is_complete AND close IS NOT NULL WINDOW w AS (PARTITION BY symbol, trading_date, session ORDER BY datetime)),
+ c1 AS (SELECT *, sum(b) OVER (PARTITION BY symbol, trading_date, session ORDER BY datetime) AS seg FROM c0),
+ c2 AS (SELECT *, lag(close) OVER w AS pc, ln(close) - ln(lag(close) OVER w) AS r1, ln(close) - ln(lag(close, 3) OVER w) AS r3 FROM c1 WINDOW w AS (PARTITION BY symbol, trading_date, session, seg ORDER BY datetime))
+ SELECT symbol, trading_date, session, datetime, round(r1, 6) AS log_return_1, round(r3, 6) AS log_return_3, round(greatest(high - low, abs(high - pc), abs(low - pc)) / pc * 10000, 4) AS true_range_bps, round(ln(1 + greatest(volume, 0)), 6) AS log_volume, round(ln(1 + bar_count), 6) AS log_bar_count, has_imputation::INT::DOUBLE AS has_imputation, expected_minutes::DOUBLE AS expected_minutes,
+ round(CASE WHEN count(r1) OVER f = 3 THEN stddev_pop(r1) OVER f END, 6) AS volatility_3 FROM c2 WINDOW f AS (PARTITION BY symbol, trading_date, session, seg ORDER BY datetime ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""))
+def _(spark, sf):
+    """What longer bars add; their candle shape is compared in F5 to F7."""
+    from .queries_bars import GROUP, resampled
+
+    d = FE.higher_timeframe_features(resampled(spark, sf), "1h", GROUP)
+    f = lambda c, places=6: F.round(F.col(f"f_1h_{c}").cast("double"), places).alias(c)
+    return d.select(*GROUP, "datetime", *[f(c) for c in ("log_return_1", "log_return_3", "log_volume", "log_bar_count", "has_imputation", "expected_minutes", "volatility_3")], f("true_range_bps", 4))
+
+
+@query("W14_W15_all_columns")
 def _(spark, sf):
     from .queries_bars import GROUP, resampled
 
@@ -147,9 +161,19 @@ def _(spark, sf):
     return rounded(I.momentum(raw_bars(spark, sf)).select("symbol", "datetime", "sma_5", "sma_20", "pct_change"))
 
 
-@query("W30_rsi_macd")
+def weighted(value: str, a: str, seed: int = 1) -> str:
+    """The recurrence at row a.rn as a weighted sum over rows b, seeded by a mean."""
+    return f"sum(CASE WHEN b.rn <= {seed} THEN pow(1 - {a}, a.rn - {seed}) / {seed} ELSE {a} * pow(1 - {a}, a.rn - b.rn) END * b.{value})"
+
+
+@query("W30_rsi_macd", sql("rb", f""", n0 AS (SELECT symbol, datetime, close, row_number() OVER w AS rn, close - lag(close) OVER w AS d FROM rb WINDOW w AS (PARTITION BY symbol ORDER BY datetime)),
+ m0 AS (SELECT symbol, a.rn, {weighted("close", "2.0 / 13")} - {weighted("close", "2.0 / 27")} AS macd FROM n0 a JOIN n0 b USING (symbol) WHERE b.rn <= a.rn GROUP BY ALL),
+ m1 AS (SELECT symbol, a.rn, {weighted("macd", "2.0 / 10")} AS signal FROM m0 a JOIN m0 b USING (symbol) WHERE b.rn <= a.rn AND a.rn >= 1 GROUP BY ALL),
+ g0 AS (SELECT symbol, rn - 1 AS rn, greatest(d, 0) AS up, greatest(-d, 0) AS down FROM n0 WHERE rn > 1),
+ g1 AS (SELECT symbol, a.rn + 1 AS rn, {weighted("up", "1.0 / 14", 14)} AS gain, {weighted("down", "1.0 / 14", 14)} AS loss FROM g0 a JOIN g0 b USING (symbol) WHERE b.rn <= a.rn AND a.rn >= 14 GROUP BY ALL)
+ SELECT symbol, datetime, round(CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END, 5) AS rsi_14, round(macd, 5) AS macd, round(signal, 5) AS macd_signal, round(macd - signal, 5) AS macd_histogram FROM n0 JOIN m0 USING (symbol, rn) JOIN m1 USING (symbol, rn) LEFT JOIN g1 USING (symbol, rn)"""))
 def _(spark, sf):
-    return rounded(I.momentum(raw_bars(spark, sf, 240)).select("symbol", "datetime", "rsi_14", "macd", "macd_signal", "macd_histogram"))
+    return rounded(I.momentum(raw_bars(spark, sf)).select("symbol", "datetime", "rsi_14", "macd", "macd_signal", "macd_histogram"), 5)
 
 
 DAYS = ", dd AS (SELECT symbol, trading_date, first(open ORDER BY datetime) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY datetime) AS close FROM ss GROUP BY 1, 2)"
@@ -164,7 +188,11 @@ def _(spark, sf):
     return I.opening_range(with_windows(raw_bars(spark, sf)).where("session = 'regular'"), 60, "session_start")
 
 
-@query("W31_acd_levels")
+@query("W31_acd_levels", sql("ss", DAYS + f""", o AS (SELECT symbol, trading_date, max(high) AS or_high, min(low) AS or_low FROM ss WHERE session = 'regular' AND datediff('minute', session_start, datetime) BETWEEN 0 AND 59 GROUP BY 1, 2),
+ t0 AS (SELECT symbol, trading_date, high, low, lag(close) OVER w AS c, row_number() OVER w AS rn FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY trading_date)),
+ t1 AS (SELECT symbol, trading_date, rn, CASE WHEN c IS NULL THEN high - low ELSE greatest(high - low, abs(high - c), abs(low - c)) END AS tr FROM t0),
+ t2 AS (SELECT symbol, a.rn + 1 AS rn, {weighted("tr", "1.0 / 5", 5)} AS prev_atr FROM t1 a JOIN t1 b USING (symbol) WHERE b.rn <= a.rn AND a.rn >= 5 GROUP BY ALL)
+ SELECT symbol, trading_date, {r6("or_high or_low")}, round(prev_atr, 6) AS prev_atr, round(or_high + 0.1 * prev_atr, 6) AS a_up, round(or_low - 0.1 * prev_atr, 6) AS a_down, round(or_high + 0.15 * prev_atr, 6) AS c_up, round(or_low - 0.15 * prev_atr, 6) AS c_down FROM o LEFT JOIN t1 USING (symbol, trading_date) LEFT JOIN t2 USING (symbol, rn)"""))
 def _(spark, sf):
     days = daily(spark, sf)
     ranges = I.opening_range(with_windows(raw_bars(spark, sf)).where("session = 'regular'"), 60, "session_start")
@@ -176,9 +204,9 @@ def _(spark, sf):
     return rounded(I.pivots(daily(spark, sf)).select("symbol", "trading_date", "pivot", "pivot_distance", "pivot_high", "pivot_low"))
 
 
-@query("W33_bollinger")
+@query("W33_bollinger", sql("rb", ", n0 AS (SELECT symbol, datetime, close, row_number() OVER w AS rn, 2 * stddev_pop(close) OVER (PARTITION BY symbol ORDER BY datetime ROWS BETWEEN 35 PRECEDING AND CURRENT ROW) AS sd FROM rb WINDOW w AS (PARTITION BY symbol ORDER BY datetime)), " + ema_sql(36) + " SELECT symbol, datetime, round(m, 5) AS basis, round(m + sd, 5) AS upper, round(m - sd, 5) AS lower FROM n0 LEFT JOIN e36 USING (symbol, rn)"))
 def _(spark, sf):
-    return rounded(I.bollinger(raw_bars(spark, sf, 60)).select("symbol", "datetime", "basis", "upper", "lower"))
+    return rounded(I.bollinger(raw_bars(spark, sf)).select("symbol", "datetime", "basis", "upper", "lower"), 5)
 
 
 @query("W34_crosses", sql("ss", ", x AS (SELECT symbol, trading_date, datetime, coalesce(close > 60, false) AS above FROM ss), y AS (SELECT *, lag(above) OVER w AS p FROM x WINDOW w AS (PARTITION BY symbol, trading_date ORDER BY datetime)), z AS (SELECT *, sum(CASE WHEN above IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, trading_date ORDER BY datetime) AS run FROM y), v AS (SELECT *, CASE WHEN above THEN row_number() OVER (PARTITION BY symbol, trading_date, run ORDER BY datetime) ELSE 0 END::INT AS rows_above FROM z) SELECT symbol, datetime, coalesce(above AND NOT p, false)::INT AS cross_up, rows_above, (rows_above >= 3)::INT AS confirmed FROM v"))
@@ -238,7 +266,7 @@ def _(spark, sf):
     return interval_keys(intervals(spark, sf, 1440))
 
 
-@query("W24_carried_close")
+@query("W24_carried_close", sql("ss", GRID + ", c0 AS (SELECT symbol, session, volume = 0 AND bar_count = 0 AND datediff('minute', lag(datetime) OVER w, datetime) = 15 AND lag(session) OVER w = session AND lag(close) OVER w = close AS carried FROM reg WINDOW w AS (PARTITION BY symbol ORDER BY datetime)) SELECT symbol, session, count(CASE WHEN carried THEN 1 END) AS carried, count(*) AS n FROM c0 GROUP BY 1, 2"))
 def _(spark, sf):
     from ..operators.quality import carried_close
     from .queries_bars import gridded

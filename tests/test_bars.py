@@ -97,6 +97,12 @@ def test_checked_join_refuses(spark):
     with pytest.raises(J.CardinalityError):
         J.checked_join(spark.createDataFrame([(1,)], "k int"), d, ["k"])
     assert J.checked_join(d, spark.createDataFrame([(1, 5)], "k int, w int"), ["k"], validate="many_to_one", matched="m").where("m").count() == 2
+    one = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    with pytest.raises(J.MissingPartnerError):
+        J.checked_join(one.where("k > 0"), d.select("k").distinct(), ["k"], validate="many_to_one", complete=True)
+    with pytest.raises(J.MissingPartnerError):
+        J.checked_join(one, one, ["k"], complete=True)
+    assert J.checked_join(one.where("k > 0"), one, ["k"], complete=True).count() == 2
 
 
 def test_candle_edges(spark):
