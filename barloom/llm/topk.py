@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import text_batches
 
 #: Queries of a cell; candidates of a block; candidates of a cell if there are
-#: cells enough for all cores.
+#: cells enough for all cores. Long vectors fill a block by its bytes.
 QUERY_BLOCK, CANDIDATE_BLOCK, CANDIDATE_CELL = 8192, 4096, 65536
+BLOCK_BYTES = 16 << 20
 LONG = 2**63 - 1
 
 
@@ -47,6 +48,23 @@ def dense(column: pa.Array) -> np.ndarray:
     return out
 
 
+def alike(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of about one length (up to twice), with their matrix:
+    a long row never widens short ones."""
+    kind = np.ceil(np.log2(np.maximum(np.diff(np.asarray(column.offsets, np.int64)), 1)))
+    return [(at, dense(column.take(pa.array(at)))) for at in (np.flatnonzero(kind == x) for x in np.unique(kind))]
+
+
+def stacked(blocks: list[np.ndarray]) -> np.ndarray:
+    """One matrix of all rows, narrow ones filled with zeros."""
+    out = np.zeros((sum(map(len, blocks)), max(b.shape[1] for b in blocks)))
+    lo = 0
+    for b in blocks:
+        out[lo : lo + len(b), : b.shape[1]] = b
+        lo += len(b)
+    return out
+
+
 def postings(block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each dimension the places with a nonzero weight, and the weights."""
     out = []
@@ -154,6 +172,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     at = best(score, own, k)
                 top[j] = (own[at], score[at])
 
+        def flush():
+            """The waiting candidates, whatever batches they came in, as blocks of like length."""
+            for parts in waiting.values():
+                ids, block = np.concatenate([i for i, _ in parts]), stacked([b for _, b in parts])
+                large = np.abs(block).max(1, initial=0)
+                # the few vectors with weights beyond a float's whole numbers go by themselves
+                huge = large >= 2.0**26
+                for own in (~huge, huge):
+                    if own.any():
+                        meet(ids[own], block[own], float(large[own].max()))
+            waiting.clear()
+
+        waiting: dict = {}
+        held = size = 0
         for batch in batches:
             keys = batch.column(0).to_numpy().astype(np.int64) * (1 << 32) + batch.column(1).to_numpy()
             mark = keys * 2 + batch.column(2).to_numpy()
@@ -162,23 +194,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 if lo == hi:
                     continue
                 if keys[lo] != cell:
+                    flush()
+                    held = size = 0
                     yield from results()
                     cell, names, rows, top, most = keys[lo], [], [], {}, []
                 part = batch.slice(lo, hi - lo)
-                block, times = dense(part.column(5)), part.column(4).to_numpy()
-                large = np.abs(block).max(1, initial=0)
-                if mark[lo] % 2 == 0:
-                    names += zip(part.column(3).to_pylist(), times.tolist(), strict=True)
-                    rows += list(block)
-                    most += large.tolist()
-                    continue
-                at = np.repeat(np.arange(len(block)), times)
-                ids, block, large = part.column(3).to_numpy()[at], block[at], large[at]
-                # the few vectors with weights beyond a float's whole numbers go by themselves
-                huge = large >= 2.0**26
-                for own in (~huge, huge):
-                    if own.any():
-                        meet(ids[own], block[own], float(large[own].max()))
+                ids, times = part.column(3).to_numpy(), part.column(4).to_numpy()
+                for at, block in alike(part.column(5)):
+                    if mark[lo] % 2 == 0:
+                        names += zip(ids[at].tolist(), times[at].tolist(), strict=True)
+                        rows += list(block)
+                        most += np.abs(block).max(1, initial=0).tolist()
+                        continue
+                    again = np.repeat(np.arange(len(at)), times[at])
+                    block = block[again]
+                    waiting.setdefault(int(block.shape[1] - 1).bit_length(), []).append((ids[at][again], block))
+                    held, size = held + len(block), size + block.nbytes
+                    if held >= CANDIDATE_BLOCK or size >= BLOCK_BYTES:
+                        flush()
+                        held = size = 0
+        flush()
         yield from results()
 
     part = grid.mapInArrow(run, "query_id long, variant long, vec_id long, score long, key string")
