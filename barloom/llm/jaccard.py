@@ -24,9 +24,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
+from .common import BROADCAST_ROWS, LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
 from .components import link_counts, linked
 
 #: Sets, and tokens, of a chunk of a component.
@@ -168,18 +169,16 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     return out, sum(r.total for r in got) / (1 << bits)
 
 
-def entries(docs: DataFrame, levels: np.ndarray, load: float, words: int, bits: int, num: int, den: int, name: Callable) -> DataFrame:
+def entries(docs: DataFrame, levels: Broadcast, load: float, words: int, bits: int, num: int, den: int, name: Callable) -> DataFrame:
     """Prefixes under the rare-first order as ``key, node, code``. ``code``
     packs set size, position and whether the token is ``hot``: its count is far
     above the mean, so it certainly has partners. The key is the token; that of
     a hot one also holds six bits of the node, so that no task gets it whole."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(levels.tobytes())
+    text_batches(docs.sparkSession)
     hot = int(min(255, round(STEPS * np.log2(1.0 + 64 + 16 * load))))
 
     def run(batches):
-        level, seen = np.frombuffer(shared.value, np.uint8), set()
+        level, seen = np.frombuffer(levels.value, np.uint8), set()
         for batch in batches:
             out = []
             for s in shingle_sets(batch.column(0), words):
@@ -223,9 +222,15 @@ def may_reach(x: Callable, y: Callable, num: int, den: int) -> Column:
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * rest >= num * (n + m))
 
 
-def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose heads under the second and the third order agree."""
-    one = lambda k, h, n: nodes.select(F.col("node").alias(k), F.col("head").alias(h), F.col("n").alias(n))
+def by_heads(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose heads under the second and the third order agree.
+    ``heads`` has ``node, n, head`` of every document. One shuffle drops what
+    repeats and serves both ends; of few pairs, only their nodes take part."""
+    if pairs.count() <= BROADCAST_ROWS // 2:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        heads = heads.join(F.broadcast(ends), "node", "left_semi")
+    each = heads.dropDuplicates(["node"])
+    one = lambda k, h, n: each.select(F.col("node").alias(k), F.col("head").alias(h), F.col("n").alias(n))
     full = pairs.join(one("a", "x", "n"), "a").join(one("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
 
     def run(batches):
@@ -238,7 +243,9 @@ def by_heads(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
 
 
 def sets_of(docs: DataFrame, need: DataFrame, words: int, name: Callable) -> DataFrame:
-    """``node, tokens`` of the texts whose handle is in ``need``."""
+    """``node, tokens`` of the texts whose handle is in ``need``; written without
+    a shuffle, so a node may repeat: the join that reads it drops repeats in the
+    shuffle that it needs anyway."""
     text = docs.select("text", F.xxhash64("text").alias("handle")).where(F.col("text").isNotNull())
     found = text.join(side(need), "handle", "left_semi")
 
@@ -251,16 +258,17 @@ def sets_of(docs: DataFrame, need: DataFrame, words: int, name: Callable) -> Dat
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "tokens"])
 
-    return written(found.select("text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    return written(found.select("text").mapInArrow(sets, "node long, tokens binary"), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, num: int, den: int, name: Callable) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, heads: DataFrame, words: int, num: int, den: int, name: Callable) -> DataFrame:
     """The pairs ``a, b`` (nodes) that link. Only texts of nodes in pairs that
     pass every order are read again, by the handle that ``nodes`` has."""
-    pairs = by_heads(pairs, nodes, num, den)
+    pairs = by_heads(pairs, heads, num, den)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = written(nodes.join(ends, "node").select("handle"), "needed", packed=True)
-    own = sets_of(docs, need, words, name)
+    sets = sets_of(docs, need, words, name)
+    own = sets.dropDuplicates(["node"])
 
     def check(batches):
         for batch in batches:
@@ -275,7 +283,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, nu
 
     full = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     out = written(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    discard(need, own, pairs)
+    discard(need, sets, pairs)
     return out
 
 
@@ -319,17 +327,17 @@ def counted(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, num
     def count(names, weight, side, same, raw):
         return cell_links(names, weight, side, same, [np.frombuffer(r, np.uint64) for r in raw], num, den)
 
-    out = written(link_counts(own, parts, sets, count), "near")
+    out = written(link_counts(own, parts, sets.dropDuplicates(["node"]), count), "near")
     discard(own, need, sets)
     return out
 
 
 def nodes_of(members: DataFrame) -> DataFrame:
-    """Nodes with size, head, weight (documents), the smallest row, and whether
-    all sets of that name are the same (``lo`` and ``hi`` of the twins)."""
+    """Nodes with size, weight (documents), the smallest row, and whether all
+    sets of that name are the same (``lo`` and ``hi`` of the twins)."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "handle"))
-    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.min("head").alias("head"), F.count("*").alias("weight"), F.min("twin").alias("lo"), F.max("twin").alias("hi"))
-    return written(nodes.select("node", "n", "head", "weight", "first", F.col("first.handle").alias("handle"), "lo", "hi"), "nodes")
+    nodes = members.where("n > 0").groupBy("node").agg(least.alias("first"), F.min("n").alias("n"), F.count("*").alias("weight"), F.min("twin").alias("lo"), F.max("twin").alias("hi"))
+    return written(nodes.select("node", "n", "weight", "first", F.col("first.handle").alias("handle"), "lo", "hi"), "nodes")
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 24, name_bits: int = 64) -> DataFrame:
@@ -368,8 +376,11 @@ def join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: i
         return node_of(tokens, clash, name_bits)
 
     # what the first order brings together; tokens of one set alone go
-    held = written(shared_entries(entries(docs, levels, load, words, bits, num, den, name)), "held")
-    roots = linked(held, ["pos", "n"], lambda x, y: may_reach(x, y, num, den), lambda pairs: verified(pairs, docs, nodes, words, num, den, name))
+    shared = spark.sparkContext.broadcast(levels.tobytes())
+    held = written(shared_entries(entries(docs, shared, load, words, bits, num, den, name)), "held")
+    shared.destroy()
+    heads = members.where("n > 0").select("node", "n", "head")
+    roots = linked(held, ["pos", "n"], lambda x, y: may_reach(x, y, num, den), lambda pairs: verified(pairs, docs, nodes, heads, words, num, den, name))
     discard(held)
     near = counted(docs, nodes, roots, words, num, den, name)
 

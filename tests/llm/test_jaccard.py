@@ -151,3 +151,28 @@ def test_components(spark):
         least.setdefault(r[k], k)
     assert got == {k: least[r[k]] for k in {x for a, b in links if a != b for x in (a, b)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_heads_are_shuffled_once(spark, monkeypatch, tmp_path):
+    """Both ends of a pair read one shuffle of the heads, which drops repeats."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(6)]
+    rows = [(k, len(s), bytearray(jaccard.head_of(s))) for k, s in enumerate(sets) for _ in range(2)]
+    spark.createDataFrame(rows, "node long, n int, head binary").write.parquet(f"{tmp_path}/heads")
+    spark.createDataFrame([(0, 1), (2, 2), (3, 4), (5, 5)], "a long, b long").write.parquet(f"{tmp_path}/pairs")
+    pairs, heads = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("pairs", "heads"))
+    made = []
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(jaccard, "written", lambda df, *_: made.append(df) or df)
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        got = jaccard.by_heads(pairs, heads, 80, 100).collect()
+        plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == [(2, 2), (5, 5)]
+    assert plan.count("ReusedExchange") == 1
