@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import spread, text_batches
+from .common import resident, spread, text_batches, tidy
 
 #: The byte-level pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,15 +225,8 @@ class ByteBPE:
         return raw.decode("utf-8", "replace").encode()
 
 
-_models: dict[bytes, ByteBPE] = {}
-
-
 def _model(spec: bytes) -> ByteBPE:
-    key = hashlib.sha256(spec).digest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = ByteBPE(spec)
-    return _models[key]
+    return resident(("bpe", hashlib.sha256(spec).digest()), lambda: ByteBPE(spec))
 
 
 def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decoded"), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -271,4 +264,4 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "decod
                 cols["decoded_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in back])
             yield pa.RecordBatch.from_pydict(cols)
 
-    return spread(docs.select(key, text)).mapInArrow(run, schema)
+    return spread(docs.select(key, text)).mapInArrow(tidy(run, keep=True), schema)

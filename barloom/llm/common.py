@@ -3,15 +3,19 @@ Arrow batch sizes, and flat views of string columns for vectorised work."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of the contracts: runs without space and the ASCII controls 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -58,6 +62,45 @@ def sliced(batches, rows: int = 128):
             yield batch.slice(at, rows)
 
 
+_resident: dict = {}
+
+
+def resident(key, make: Callable):
+    """What a Python worker keeps from task to task; a new key takes the place
+    of the one before."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def _trim() -> None:
+    """Free memory goes back to the system, as idle workers share the
+    executor's with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable, keep: bool = False) -> Callable:
+    """``run`` of a ``mapInArrow`` as a task that leaves no free memory behind.
+    Unless it is to ``keep`` it, what earlier operators hold by ``resident`` in
+    its worker goes first."""
+
+    def task(batches):
+        if not keep and _resident:
+            _resident.clear()
+            gc.collect()
+            _trim()
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
     Where it is unset, as in local tests, a temporary one is set."""
@@ -180,8 +223,9 @@ def class_sample(rows: DataFrame, label: str, per_class: int, keys: tuple[str, .
     if most is not None:
         per_class = max(1, min(per_class, most // max(1, len(counts))))
     bounds = [(r[label], int(grain * min(1.0, per_class / r["n"]))) for r in counts]
-    kind = rows.schema[label].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(bounds, f"_label {kind}, _bound long")
+    # by Arrow, as rows would start a second set of Python workers
+    kind = to_arrow_type(rows.schema[label].dataType)
+    table = rows.sparkSession.createDataFrame(pa.table({"_label": pa.array([v for v, _ in bounds], kind), "_bound": pa.array([n for _, n in bounds], pa.int64())}))
     drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(*keys, F.lit(17)), F.lit(grain)))
     return drawn.join(F.broadcast(table), F.col(label) == F.col("_label")).where("_draw < _bound").drop("_draw", "_label", "_bound")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import dealt_pairs, discard, written
+from .common import dealt_pairs, discard, tidy, written
 
 #: Rows of a key, or of a component, in a chunk.
 CHUNK = 1024
@@ -126,4 +126,4 @@ def link_counts(own: DataFrame, parts: Column, payload: DataFrame, count: Callab
                 rows.append(row)
         yield from flush()
 
-    return full.mapInArrow(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
+    return full.mapInArrow(tidy(run), "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))

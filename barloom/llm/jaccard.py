@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import BROADCAST_ROWS, LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, word_hashes, written
+from .common import BROADCAST_ROWS, LOWER_ASCII, discard, flat, mixed, side, spread, text_batches, tidy, word_hashes, written
 from .components import link_counts, linked
 
 #: Sets, and tokens, of a chunk of a component.
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, words: int, bits: int, name_bits: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.nulls(slices, types), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int32()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("handle"))
-    return written(spread(rows).mapInArrow(run, f"doc_id {kind}, node long, twin long, n int, handle long, head binary, slice int, counts binary"), "signatures")
+    return written(spread(rows).mapInArrow(tidy(run), f"doc_id {kind}, node long, twin long, n int, handle long, head binary, slice int, counts binary"), "signatures")
 
 
 def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
@@ -162,7 +162,7 @@ def token_levels(signed: DataFrame, bits: int) -> tuple[np.ndarray, float]:
 
     text_batches(signed.sparkSession)
     rows = signed.where(F.col("slice").isNotNull()).select("slice", "counts").repartition(64, "slice")
-    got = rows.mapInArrow(run, "slice int, level binary, total double").collect()
+    got = rows.mapInArrow(tidy(run), "slice int, level binary, total double").collect()
     out = np.zeros(1 << bits, np.uint8)
     for r in got:
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r.level, np.uint8)
@@ -201,7 +201,7 @@ def entries(docs: DataFrame, levels: Broadcast, load: float, words: int, bits: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["key", "node", "code"])
 
-    return spread(docs.select("text")).mapInArrow(run, "key long, node long, code long")
+    return spread(docs.select("text")).mapInArrow(tidy(run), "key long, node long, code long")
 
 
 def shared_entries(found: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def by_heads(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFram
             keep = pa.array([heads_agree(*r, num, den) for r in zip(x, n, y, m, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return written(full.mapInArrow(run, "a long, b long"), "candidates")
+    return written(full.mapInArrow(tidy(run), "a long, b long"), "candidates")
 
 
 def sets_of(docs: DataFrame, need: DataFrame, words: int, name: Callable) -> DataFrame:
@@ -258,7 +258,7 @@ def sets_of(docs: DataFrame, need: DataFrame, words: int, name: Callable) -> Dat
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["node", "tokens"])
 
-    return written(found.select("text").mapInArrow(sets, "node long, tokens binary"), "sets")
+    return written(found.select("text").mapInArrow(tidy(sets), "node long, tokens binary"), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, heads: DataFrame, words: int, num: int, den: int, name: Callable) -> DataFrame:
@@ -282,7 +282,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, heads: DataFra
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     full = pairs.join(own.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    out = written(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    out = written(full.select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long"), "links")
     discard(need, sets, pairs)
     return out
 

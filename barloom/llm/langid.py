@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, held_out, ngram_counts, sliced, sparse, spread, text_batches, unsparse
+from .common import class_sample, held_out, ngram_counts, sliced, sparse, spread, text_batches, tidy, unsparse
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, per_language: int = 800, dim: int = 4096, fold: tuple[i
             counts = ngram_counts(batch.column(1), dim, SIZES, _LOWER).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sparse(c) for c in counts], pa.binary())], names=["lang", "x"])
 
-    got = sorted(kept.select("lang", "text").mapInArrow(run, "lang string, x binary").collect())
+    got = sorted(kept.select("lang", "text").mapInArrow(tidy(run), "lang string, x binary").collect())
     languages = sorted({r.lang for r in got})
     if len(languages) < 2:
         return LanguageModel(languages, codewords(len(languages)), np.zeros((dim, 1)))
@@ -145,4 +145,4 @@ def identify(docs: DataFrame, model: LanguageModel, fold: tuple[int, int] = (4,
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(np.where(lettered, score, 0.0), pa.float64()), pa.array(close | ~lettered, pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
 
-    return spread(own).mapInArrow(run, schema)
+    return spread(own).mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_sample, discard, held_out, spread, text_batches, written
+from .common import class_sample, discard, held_out, spread, text_batches, tidy, written
 from .jaccard import shingle_sets
 
 #: Names of result columns.
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str =
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     cores = spark.sparkContext.defaultParallelism
-    own = written(text.repartition(cores, "doc_id").mapInArrow(distinct, f"doc_id {ids}, y int, text string, words array<string>, name binary, sketch binary"), "toxic-sample")
+    own = written(text.repartition(cores, "doc_id").mapInArrow(tidy(distinct), f"doc_id {ids}, y int, text string, words array<string>, name binary, sketch binary"), "toxic-sample")
     copies, size, counted = Copies(), [0, 0], set()
     for r in sorted(own.select("doc_id", "y", "name", "sketch").collect()):
         if not copies.seen(r.y, r.name, np.frombuffer(r.sketch, np.uint64)):
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str =
         every = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[s] for s in every], pa.int64()) for c in found)], names=["feature", "c0", "c1"])
 
-    counts = own.select("doc_id", "y", "words").mapInArrow(count, "feature string, c0 long, c1 long")
+    counts = own.select("doc_id", "y", "words").mapInArrow(tidy(count), "feature string, c0 long, c1 long")
     features = written(counts.groupBy("feature").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "toxic-features")
     n0, n1, many = features.agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c1") > 0)).first()
     share, least = size[1] / sum(size), math.log(max(1, many)) + margin
@@ -309,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, label: str =
         yield pa.RecordBatch.from_arrays([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.float64()), pa.array([True] * len(found))], names=["n", "s", "gain"])
 
     # two numbers a text of the sample
-    got = own.where("y = 0").select("text", "words").mapInArrow(clean, "n long, s double, gain boolean").collect()
+    got = own.where("y = 0").select("text", "words").mapInArrow(tidy(clean), "n long, s double, gain boolean").collect()
     discard(own, features)
     gains: Counter = Counter()
     for r in got:
@@ -347,4 +347,4 @@ def score(docs: DataFrame, model: ToxicityModel, fold: tuple[int, int] = (5, 0),
                 cols.append(pa.array([[{"from_word": a, "to_word": b, "strength": x} for a, b, x in p] for _, p in got], pa.list_(pa.struct([("from_word", pa.int32()), ("to_word", pa.int32()), ("strength", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted", *["passages"] * passages])
 
-    return spread(own).mapInArrow(run, schema)
+    return spread(own).mapInArrow(tidy(run), schema)

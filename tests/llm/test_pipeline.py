@@ -1,7 +1,8 @@
 import json
 
 import corpus_pipeline
-from barloom.llm import jaccard, queries
+from barloom.llm import bpe, common, jaccard, queries
+from barloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, node long"
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,24 @@ def test_every_stage_on_odd_rows_has_the_stated_result(spark):
 
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_sample_starts_no_workers_of_rows(spark, monkeypatch):
+    """The table of bounds comes by Arrow: one of rows would start Python
+    workers of another kind, which stay beside those of the operators."""
+    rows = spark.range(200).selectExpr("id AS doc_id", "if(id % 4 = 0, 'a', if(id % 50 = 1, null, 'b')) AS lang").localCheckpoint()
+
+    def no(*args, **kwargs):
+        raise AssertionError("a table of rows")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no)
+    drawn = common.class_sample(rows, "lang", 40).groupBy("lang").count().collect()
+    assert 20 <= {r.lang: r["count"] for r in drawn}["a"] <= 50 and {r.lang for r in drawn} == {"a", "b"}
+
+
+def test_workers_drop_the_state_of_other_operators():
+    """A model that a worker keeps goes when a task of another operator runs."""
+    model = bpe._model(open(tokenizer_path(), "rb").read())
+    assert bpe._model(open(tokenizer_path(), "rb").read()) is model
+    assert list(common.tidy(iter, keep=True)([1, 2])) == [1, 2] and list(common._resident.values()) == [model]
+    assert list(common.tidy(iter)([1, 2])) == [1, 2] and not common._resident
